@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -27,3 +28,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a table that is expected to be small, and ask for a
+    broadcast only if its row count really is."""
+    small = materialise(df)
+    return F.broadcast(small) if small.count() <= limit else small
