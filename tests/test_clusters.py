@@ -1,0 +1,233 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from venuegrid.operators import cluster_scores, clustering, features, knn_join, profiles, similar
+from venuegrid.plans.workflow import run
+from venuegrid.schema import SOURCE_HEADERS, cluster_labels
+from venuegrid.sources.tables import read_published
+from venuegrid.streaming.scoring import assign_stream, write_stream
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    """Three well separated groups of places."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for g, (price, rating, distance, kind) in enumerate([(10e3, 3.5, 3, "Warung"), (30e3, 4.5, 1, "Cafe"), (50e3, 4, 2, "Indoor")]):
+        for i in range(30):
+            rows.append(
+                (g * 100 + i, f"n{g}-{i}", kind, float(round(price + rng.normal(0, 900))), float(rating + rng.choice([0, 0.5])),
+                 f"l{i}", float(round(distance + rng.normal(0, 0.1), 3)))
+            )
+    return spark.createDataFrame(
+        rows, "place_id long, name string, type string, price double, rating double, location string, distance double"
+    ).persist()
+
+
+@pytest.fixture(scope="module")
+def fitted(groups):
+    return clustering.fit_clusters(groups, 3, restarts=8)
+
+
+def test_labels():
+    assert cluster_labels(2) == ["Ekonomis", "Premium"]
+    assert cluster_labels(5)[3] == "Mewah"
+    assert cluster_labels(6)[5] == "Kategori 6"
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6])
+def test_cluster_names_follow_prices(spark, k):
+    rows = [(c, float((c * 7) % k + 1)) for c in range(k) for _ in range(2)]
+    df = spark.createDataFrame(rows, "cluster int, price double")
+    got = [r["cluster_name"] for r in profiles.cluster_names(df).orderBy("avg_price").collect()]
+    assert got == cluster_labels(k)
+
+
+def test_names_when_a_cluster_is_empty(spark):
+    df = spark.createDataFrame([(0, 5.0), (2, 1.0)], "cluster int, price double")
+    names = profiles.cluster_names(df, 3)
+    assert {r["cluster"]: r["cluster_name"] for r in names.collect()} == {2: "Ekonomis", 0: "Menengah"}
+    more = df.union(spark.createDataFrame([(7, 3.0)], df.schema))
+    assert more.transform(lambda d: profiles.with_cluster_names(d, names)).where("cluster = 7").first()["cluster_name"] == "Cluster 7"
+
+
+def test_profile(places):
+    p = {r["cluster"]: r for r in profiles.cluster_profile(places).collect()}
+    assert [r["cluster"] for r in profiles.cluster_profile(places).collect()] == [0, 1, 2]
+    assert (p[0]["count"], p[0]["percentage"], p[0]["common_type"]) == (3, 42.9, "Warung")
+    assert p[0]["std_price"] == pytest.approx(np.std([10000, 12000, 15000], ddof=1))
+    assert p[1]["price_range_pct"] == pytest.approx(4000 / 28000 * 100)
+    assert p[2]["type_distribution"] == {"Indoor": 2}
+    odd = places.where("cluster = 0").withColumn("type", F.when(F.col("place_id") == 1, F.lit("b")).when(F.col("place_id") == 3, F.lit("a")))
+    assert profiles.cluster_profile(odd).first()["common_type"] == "a"
+    none = places.withColumn("type", F.lit(None).cast("string"))
+    assert profiles.cluster_profile(none).first()["common_type"] == "Mixed"
+    single = profiles.cluster_profile(places.where("place_id = 1")).first()
+    assert single["std_price"] is None and single["price_cv"] is None
+
+
+def test_quality(places):
+    q = profiles.cluster_quality(places).first()
+    assert q["balance_score"] == pytest.approx(1 - np.std([3, 2, 2]) / (7 / 3))
+    means = [37000 / 3, 28000, 85000]
+    assert q["price_separation"] == pytest.approx(np.std(means) / np.mean(means))
+    cvs = [np.std(v, ddof=1) / np.mean(v) for v in ([10000, 12000, 15000], [30000, 26000], [90000, 80000])]
+    assert q["homogeneity_price"] == pytest.approx(1 - np.mean(cvs))
+    one = profiles.cluster_quality(places.where("place_id = 1"), 3).first()
+    assert one["price_separation"] == 0.0 and one["homogeneity_rating"] == 0.0
+
+
+def test_scores_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(140, 3)), 1)
+    y, z = rng.integers(0, 4, 140), np.where(np.arange(140) == 5, 9, rng.integers(0, 2, 140))
+    x[60:100] = x[60]  # copies
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i]), int(z[i])) for i in range(140)], "v array<double>, y int, z int")
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+    def width(labels):
+        out = []
+        for i in range(140):
+            own = labels == labels[i]
+            if own.sum() == 1:
+                out.append(0.0)
+                continue
+            a = apart[i][own].sum() / (own.sum() - 1)
+            b = min(apart[i][labels == c].mean() for c in set(labels) if c != labels[i])
+            out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+        return np.mean(out)
+
+    got = {r["labeling"]: r["silhouette"] for r in cluster_scores.euclidean_silhouette(df, "v", ["y", "z"], 16).collect()}
+    assert got == pytest.approx({"y": width(y), "z": width(z)})
+    centres = {c: x[y == c].mean(0) for c in range(4)}
+    within = sum(((x[y == c] - centres[c]) ** 2).sum() for c in range(4))
+    between = sum((y == c).sum() * ((centres[c] - x.mean(0)) ** 2).sum() for c in range(4))
+    assert cluster_scores.inertia(df, "v", "y").first()[0] == pytest.approx(within)
+    assert cluster_scores.calinski_harabasz(df, "v", "y").first()[0] == pytest.approx(between / 3 / (within / 136))
+    s = {c: np.linalg.norm(x[y == c] - centres[c], axis=1).mean() for c in range(4)}
+    db = np.mean([max((s[i] + s[j]) / np.linalg.norm(centres[i] - centres[j]) for j in range(4) if j != i) for i in range(4)])
+    assert cluster_scores.davies_bouldin(df, "v", "y").first()[0] == pytest.approx(db)
+    assert -1 <= cluster_scores.squared_silhouette(df, "v", "y") <= 1
+
+
+def test_fit_finds_the_groups(groups, fitted):
+    model, assigned = fitted
+    sizes = assigned.groupBy("type").agg(F.countDistinct("cluster").alias("k")).collect()
+    assert all(r["k"] == 1 for r in sizes) and assigned.select("cluster").distinct().count() == 3
+    m = model.info.metrics
+    assert m["silhouette"] > 0.5 and m["balance_score"] > 0.8
+    named = clustering.name_clusters(assigned, 3)
+    assert {(r["type"], r["cluster_name"]) for r in named.select("type", "cluster_name").distinct().collect()} == {
+        ("Warung", "Ekonomis"), ("Cafe", "Menengah"), ("Indoor", "Premium"),
+    }
+    share = {r["feature"]: r["importance"] for r in model.feature_importance().collect()}
+    assert set(share) == set(features.FEATURES) and sum(share.values()) == pytest.approx(1)
+
+
+def test_weights_only_count_after_scaling(groups, fitted):
+    plain = fitted[0].info.inertia
+    heavy = {"price": 9.0, "rating": 0.1, "distance": 0.1, "type_encoded": 0.1}
+    before, _ = clustering.fit_clusters(groups, 3, restarts=1, weights=heavy, silhouette=None)
+    after, _ = clustering.fit_clusters(groups, 3, restarts=1, weights=heavy, weight_after_scaling=True, silhouette="squared")
+    assert before.info.inertia == pytest.approx(plain)
+    assert after.info.inertia != pytest.approx(plain)
+
+
+def test_small_tables_and_new_types_are_refused(groups, fitted):
+    with pytest.raises(ValueError, match="at least 10"):
+        clustering.fit_clusters(groups.limit(9), 2)
+    strange = groups.withColumn("type", F.lit("Rooftop"))
+    with pytest.raises(Exception, match="Unseen label|unseen label"):
+        fitted[0].assign(strange).collect()
+
+
+def test_assignment_policies(groups, fitted):
+    model, assigned = fitted
+    far = groups.withColumn("price", F.when(F.col("place_id") == 0, 9e9).otherwise(F.col("price")))
+    far = far.withColumn("distance", F.when(F.col("place_id") == 1, 0.0).otherwise(F.col("distance")))
+    assert model.assign(far).count() == 89
+    assert model.assign(far, "frozen").count() == 88
+    assert model.assign(far, "refit").count() == 88
+    same = model.assign(groups).select("place_id", "cluster").exceptAll(assigned.select("place_id", "cluster"))
+    assert same.count() == 0
+
+
+def test_save_and_load(groups, fitted, tmp_path):
+    model = fitted[0]
+    model.save(str(tmp_path / "m"))
+    again = clustering.ClusterModel.load(str(tmp_path / "m"))
+    assert again.info == model.info
+    assert again.assign(groups).exceptAll(model.assign(groups)).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        clustering.ClusterModel.load(str(tmp_path / "absent"))
+
+
+def test_choice_of_k(groups):
+    found = clustering.search_k(groups, max_k=5, restarts=8)
+    rows = found.orderBy("k").collect()
+    assert [r["k"] for r in rows] == [2, 3, 4, 5]
+    assert clustering.best_k(found) == max(rows, key=lambda r: r["composite"])["k"]
+    assert rows[0]["inertia"] > rows[1]["inertia"] > rows[2]["inertia"]
+    ch, db = max(r["calinski_harabasz"] for r in rows), max(r["davies_bouldin"] for r in rows)
+    for r in rows:
+        want = 0.5 * r["silhouette"] + 0.3 * r["calinski_harabasz"] / ch + 0.2 * (1 - r["davies_bouldin"] / db)
+        assert r["composite"] == pytest.approx(want)
+
+
+def test_stream(spark, groups, fitted, tmp_path):
+    model, assigned = fitted
+    groups.write.parquet(str(tmp_path / "in"))
+    names = {r["cluster"]: r["cluster_name"] for r in profiles.cluster_names(assigned).collect()}
+    stream = spark.readStream.schema(groups.schema).parquet(str(tmp_path / "in"))
+    write_stream(assign_stream(model, stream, names), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    want = clustering.name_clusters(model.assign(groups), 3).select("place_id", "cluster_name")
+    assert out.count() == 90 and out.select("place_id", "cluster_name").exceptAll(want).count() == 0
+
+
+def nearest(ids, x, k):
+    length = np.linalg.norm(x, axis=1)
+    unit = np.divide(x, length[:, None], out=np.zeros_like(x), where=length[:, None] > 0)
+    out = {}
+    for i in range(len(ids)):
+        scores = np.round(unit @ unit[i], 9)
+        out[ids[i]] = [ids[j] for j in np.lexsort((ids, -scores)) if j != i][:k]
+    return out
+
+
+@pytest.mark.parametrize("k,options", [(5, {}), (3, {"block_vectors": 16, "pivots": 7}), (60, {"block_vectors": 40})])
+def test_neighbours_of_all(spark, k, options):
+    """A third of all rows are copies; some have no direction."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(240, 4)), 2)
+    x[::3] = [1.0, 2.0, 0.0, -1.0]
+    x[[7, 50, 121]] = 0.0
+    ids = np.arange(240) * 2 + 1
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "place_id long, vector array<double>")
+    got = {}
+    for r in knn_join.nearest_for_all(df, k, **options).orderBy("place_id", "rank").collect():
+        got.setdefault(r["place_id"], []).append(r["neighbour"])
+    assert got == nearest(ids, x, k)
+    assert knn_join.nearest_for_all(df.limit(0), 3).count() == 0
+
+
+def test_similar_places(spark, groups):
+    rows = features.with_features(groups)
+    pdf = rows.select("place_id", *features.standardised(rows)).orderBy("place_id").toPandas()
+    ids, x = pdf["place_id"].to_numpy(), pdf.iloc[:, 1:].to_numpy()
+    got = [r["place_id"] for r in similar.similar_places(groups, 105, 6, digits=9).collect()]
+    assert got == nearest(ids, x, 6)[105]
+    assert similar.similar_places(groups, 9999).count() == 0
+    twins = groups.where("place_id < 2").withColumns({c: F.lit(1.0) for c in ("price", "rating", "distance")})
+    assert [r["similarity_score"] for r in similar.similar_places(twins, 0).collect()] == [0.0]
+
+
+def test_batch_run(spark, groups, tmp_path):
+    source = {role: F.col(role).alias(header) for header, role in SOURCE_HEADERS.items()}
+    groups.coalesce(1).select(*source.values()).write.option("header", True).csv(str(tmp_path / "in"))
+    result = run(spark, str(tmp_path / "in"), str(tmp_path / "store"), restarts=1, threshold=0.97)
+    assert result.removal.first()["initial_rows"] == 90
+    published = read_published(spark, str(tmp_path / "store"))
+    assert published.count() == result.model.info.rows
+    assert {r[0] for r in published.select("cluster_name").distinct().collect()} == {"Ekonomis", "Menengah", "Premium"}

@@ -6,9 +6,8 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from ..runtime import materialise
 from . import cluster_scores as scores
 from .cleaning import apply_fences, drop_outliers, usable_for_clustering
 from .features import FEATURES, TYPE_CODE, robust_scaled
+from .kmeans import fit_runs, nearest_centre
 from .profiles import cluster_names, cluster_quality, with_cluster_names
 
 # Feature weights, fit settings and the least number of rows.
@@ -26,7 +26,10 @@ DEFAULT_K = 3
 SEED = 42
 MAX_ITERATIONS = 2_000
 TOLERANCE = 1e-10
+RESTARTS = 100
 SEARCH_ITERATIONS = 500
+SEARCH_RESTARTS = 20
+SEARCH_TOLERANCE = 1e-4
 LEAST_ROWS = 10
 LARGEST_K = 8
 COMPOSITE = {"silhouette": 0.5, "calinski_harabasz": 0.3, "davies_bouldin": 0.2}
@@ -45,6 +48,7 @@ class FitInfo:
     weight_after_scaling: bool
     seed: int
     inertia: float
+    centres: list
     metrics: dict = field(default_factory=dict)
 
 
@@ -56,10 +60,6 @@ class ClusterModel:
     stages: PipelineModel
     info: FitInfo
 
-    @property
-    def centres(self) -> list:
-        return self.stages.stages[-1].clusterCenters()
-
     def assign(self, df: DataFrame, outliers: str = "keep") -> DataFrame:
         """Add ``cluster``. Rows a fit would refuse are dropped; ``outliers``
         says whether rows outside the fitted fences are kept, dropped
@@ -71,11 +71,17 @@ class ClusterModel:
             rows, _ = drop_outliers(rows)
         elif outliers != "keep":
             raise ValueError(f"unknown outlier policy: {outliers}")
-        return self.stages.transform(usable_for_clustering(rows)).drop("features", "weighted", SCALED, "unweighted")
+        return self.label(usable_for_clustering(rows)).drop("point")
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """Add the scaled features as ``point`` and the nearest centre as ``cluster``."""
+        scaled = self.stages.transform(rows).withColumn("point", vector_to_array(SCALED))
+        scaled = scaled.drop("features", "weighted", "unweighted", SCALED)
+        return scaled.withColumn("cluster", nearest_centre(F.col("point"), self.info.centres))
 
     def feature_importance(self) -> DataFrame:
         """Share of each feature in the variance of the centres."""
-        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
+        rows = list(enumerate(self.info.centres))
         centres = SparkSession.active().createDataFrame(rows, "cluster int, centre array<double>")
         spread = centres.select(F.posexplode("centre").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v"))
         total = spread.agg(F.sum("v")).scalar()
@@ -122,18 +128,6 @@ def _feature_stages(weights: dict, after_scaling: bool) -> Pipeline:
     return Pipeline(stages=[index, assemble, weigh, scale])
 
 
-def best_kmeans(points: DataFrame, k: int, *, seed: int, restarts: int, max_iter: int, tol: float, column=SCALED) -> KMeansModel:
-    """The fit with the least cost over several seeds, the first on ties."""
-    best = None
-    for start in range(restarts):
-        fit = KMeans(
-            k=k, seed=seed + start, maxIter=max_iter, tol=tol, featuresCol=column, predictionCol="cluster"
-        ).fit(points)
-        if best is None or fit.summary.trainingCost < best.summary.trainingCost:
-            best = fit
-    return best
-
-
 def evaluate(assigned: DataFrame, vector: str, silhouette: str | None = "euclidean") -> dict[str, float]:
     """Scores of one clustering. ``silhouette`` may be exact but quadratic
     (``euclidean``), linear (``squared``), or left out (None)."""
@@ -153,28 +147,24 @@ def search_k(
     *,
     max_k: int = 10,
     seed: int = SEED,
-    restarts: int = 3,
+    restarts: int = SEARCH_RESTARTS,
     max_iter: int = SEARCH_ITERATIONS,
-    tol: float = 1e-4,
-    weights: dict | None = None,
+    tol: float = SEARCH_TOLERANCE,
 ) -> DataFrame:
     """One row per k from 2 on, on robustly scaled features, with a composite
     of the three scores. Scaling divides weights out again, so they are not
-    applied. All silhouettes come from one pass over the distances."""
+    applied. All fits share their passes, and so do all silhouettes."""
     coded = prepared if TYPE_CODE in prepared.columns else _type_indexer().fit(prepared).transform(prepared)
-    points = coded.select(F.array(*robust_scaled(coded)).alias("point"))
-    points = points.withColumn(SCALED, array_to_vector("point")).persist(StorageLevel.MEMORY_AND_DISK)
+    points = coded.select(F.array(*robust_scaled(coded)).alias("point")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = points.count()
         ks = list(range(2, min(max_k + 1, rows // 2)))
         if not ks:
             raise ValueError("too few rows to compare numbers of clusters")
-        labelled, found = points, []
-        for k in ks:
-            fit = best_kmeans(points, k, seed=seed, restarts=restarts, max_iter=max_iter, tol=tol)
-            labelled = fit.transform(labelled).withColumnRenamed("cluster", f"k{k}")
-            found.append({"k": k, "inertia": float(fit.summary.trainingCost)})
-        labelled = materialise(labelled.drop(SCALED))
+        runs = fit_runs(points, ks, seed=seed, restarts=restarts, max_iter=max_iter, tol=tol)
+        found = [{"k": k, "inertia": runs[k].cost} for k in ks]
+        labels = {f"k{k}": nearest_centre(F.col("point"), runs[k].centres.tolist()) for k in ks}
+        labelled = materialise(points.withColumns(labels))
         widths = {
             r["labeling"]: r["silhouette"]
             for r in scores.euclidean_silhouette(labelled, "point", [f"k{k}" for k in ks]).collect()
@@ -209,7 +199,7 @@ def fit_clusters(
     k: int | None = DEFAULT_K,
     *,
     seed: int = SEED,
-    restarts: int = 10,
+    restarts: int = RESTARTS,
     max_iter: int = MAX_ITERATIONS,
     tol: float = TOLERANCE,
     weights: dict | None = None,
@@ -230,19 +220,21 @@ def fit_clusters(
         if k is None:
             k = best_k(search_k(rows, max_k=min(LARGEST_K, n // 3), seed=seed))
         stages = _feature_stages(weights, weight_after_scaling).fit(rows)
-        points = stages.transform(rows).select(SCALED).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            best = best_kmeans(points, k, seed=seed, restarts=restarts, max_iter=max_iter, tol=tol)
-            # Costs refer to the sample deviation; report the population one.
-            inertia = float(best.summary.trainingCost) * n / (n - 1)
-        finally:
-            points.unpersist()
-        model = ClusterModel(
-            PipelineModel(stages=[*stages.stages, best]),
-            FitInfo(k, n, {c: list(f) for c, f in fences.items()}, weights, weight_after_scaling, seed, inertia),
+        points = stages.transform(rows).select(vector_to_array(SCALED).alias("point"))
+        best = fit_runs(points, [k], seed=seed, restarts=restarts, max_iter=max_iter, tol=tol)[k]
+        info = FitInfo(
+            k=k,
+            rows=n,
+            fences={c: list(f) for c, f in fences.items()},
+            weights=weights,
+            weight_after_scaling=weight_after_scaling,
+            seed=seed,
+            # The scaler uses the sample deviation; report the population one.
+            inertia=best.cost * n / (n - 1),
+            centres=best.centres.tolist(),
         )
-        full = model.stages.transform(rows).withColumn("point", vector_to_array(SCALED))
-        assigned = materialise(full.select(*df.columns, TYPE_CODE, "cluster", "point"))
+        model = ClusterModel(stages, info)
+        assigned = materialise(model.label(rows).select(*df.columns, TYPE_CODE, "cluster", "point"))
     finally:
         rows.unpersist()
     metrics = evaluate(assigned, "point", silhouette)
