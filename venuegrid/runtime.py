@@ -30,6 +30,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions(df: DataFrame) -> int:
+    """Number of shuffle partitions the session asks for."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 BROADCAST_ROWS = 10_000
 
 
