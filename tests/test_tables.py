@@ -63,6 +63,21 @@ def test_row_ids_keep_file_order(spark, tmp_path):
     assert names == [f"p{i}" for i in range(3000)]
 
 
+def test_row_ids_over_several_files(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    for part, size in (("b 2", 900), ("a 1", 40), ("c", 300)):
+        write_csv(folder, [f"{part}-{i},Cafe,{i + 1},3,l{i},1" for i in range(size)], f"{part}.csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = csv_source.read_places(spark, str(folder))
+        names = [r[0] for r in df.orderBy("place_id").select("Nama Tempat").collect()]
+        assert df.select("place_id").distinct().count() == 1240
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert names == [f"{p}-{i}" for p, n in (("a 1", 40), ("b 2", 900), ("c", 300)) for i in range(n)]
+
+
 def test_exports_round_trip(spark, places, tmp_path):
     tables.export(places, str(tmp_path / "c"), "CSV")
     tables.export(places, str(tmp_path / "j"), "json")

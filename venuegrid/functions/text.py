@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 WORD = r"\p{L}\p{N}_"
 
 # Spellings given a canonical form wherever they occur in a type.
@@ -19,7 +20,7 @@ TYPE_WORDS = ("Indoor", "Outdoor", "Warung", "Cafe", "Mix")
 GENERIC_WORDS = ("restoran", "warung", "cafe", "kedai", "rumah makan", "rm", "depot")
 
 # Punctuation that is dropped from a match key.
-KEY_PUNCTUATION = r"""[.,;:!?()\[\]{}"'\-]"""
+KEY_PUNCTUATION = """.,;:!?()[]{}"'-"""
 
 
 def _col(c) -> Column:
@@ -28,12 +29,12 @@ def _col(c) -> Column:
 
 def strip(c) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(_col(c), F.lit(SPACES))
 
 
 def collapse(c) -> Column:
-    """Turn every run of whitespace into one blank."""
-    return F.regexp_replace(_col(c), f"[{SPACE}]+", " ")
+    """Turn every run of whitespace into one blank, none at either end."""
+    return F.trim(F.regexp_replace(_col(c), f"[{SPACE}]+", " "))
 
 
 def canonical_type(c) -> Column:
@@ -47,16 +48,17 @@ def canonical_type(c) -> Column:
 def match_key(c) -> Column:
     """Key under which two spellings of one place compare equal; never null."""
     out = collapse(F.lower(F.coalesce(_col(c).cast("string"), F.lit(""))))
-    out = F.regexp_replace(strip(out), KEY_PUNCTUATION, "")
-    words = "|".join(GENERIC_WORDS)
-    out = F.regexp_replace(out, f"(?<![{WORD}])(?:{words})(?![{WORD}])", "")
-    return strip(collapse(out))
+    out = F.translate(out, KEY_PUNCTUATION, "")
+    # Looking at one letter first spares the costlier tests almost everywhere.
+    words, initials = "|".join(GENERIC_WORDS), "".join(sorted({w[0] for w in GENERIC_WORDS}))
+    out = F.regexp_replace(out, f"(?=[{initials}])(?<![{WORD}])(?:{words})(?![{WORD}])", "")
+    return F.trim(F.regexp_replace(out, " {2,}", " "))
 
 
 def clean_text(c) -> Column:
     """Collapse whitespace and drop all but words and basic punctuation."""
-    out = collapse(strip(F.coalesce(_col(c).cast("string"), F.lit(""))))
-    return F.regexp_replace(out, rf"[^{WORD}{SPACE}.,!?()\-]", "")
+    out = collapse(F.coalesce(_col(c).cast("string"), F.lit("")))
+    return F.regexp_replace(out, rf"[^{WORD}{SPACE}.,!?()\-]+", "")
 
 
 def contains_text(c, query: str, regex: bool = False) -> Column:

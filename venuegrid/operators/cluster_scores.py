@@ -23,16 +23,16 @@ def dimensions(df: DataFrame, vector: str) -> int:
     return row[0] if row else 0
 
 
-def cluster_moments(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
-    """One row per cluster and dimension: size, mean and population variance."""
+def cluster_moments(df: DataFrame, vector: str, cluster: str = "cluster", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per cluster and dimension: size, mean and population variance.
+    ``by`` names columns that tell several clusterings apart. The few rows are
+    materialised, since every score starts from them."""
     d = dimensions(df, vector)
     x = [F.get(F.col(vector), F.lit(i)).cast("double") for i in range(d)]
-    wide = df.groupBy(F.col(cluster).alias("cluster")).agg(
-        F.count("*").alias("n"), *[F.struct(F.avg(c).alias("mean"), F.var_pop(c).alias("var")).alias(f"d{i}") for i, c in enumerate(x)]
-    )
-    return wide.select("cluster", "n", F.posexplode(F.array(*[F.col(f"d{i}") for i in range(d)])).alias("dim", "m")).select(
-        "cluster", "n", "dim", "m.mean", "m.var"
-    )
+    moments = [F.struct(F.avg(c).alias("mean"), F.var_pop(c).alias("var")).alias(f"d{i}") for i, c in enumerate(x)]
+    wide = df.groupBy(*by, F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), *moments)
+    long = wide.select(*by, "cluster", "n", F.posexplode(F.array(*[F.col(f"d{i}") for i in range(d)])).alias("dim", "m"))
+    return materialise(long.select(*by, "cluster", "n", "dim", "m.mean", "m.var"))
 
 
 def inertia(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
@@ -41,21 +41,24 @@ def inertia(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
     return moments.agg(F.coalesce(F.sum(F.col("n") * F.col("var")), F.lit(0.0)).alias("inertia"))
 
 
-def calinski_harabasz(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
-    """One row: between-cluster against within-cluster dispersion."""
-    per_dim = Window.partitionBy("dim")
-    centred = cluster_moments(df, vector, cluster).withColumn(
+def calinski_harabasz(
+    df: DataFrame, vector: str, cluster: str = "cluster", by: tuple[str, ...] = (), moments: DataFrame | None = None
+) -> DataFrame:
+    """Between-cluster against within-cluster dispersion, one row per clustering."""
+    per_dim = Window.partitionBy(*by, "dim")
+    centred = (cluster_moments(df, vector, cluster, by) if moments is None else moments).withColumn(
         "grand", F.sum(F.col("n") * F.col("mean")).over(per_dim) / F.sum("n").over(per_dim)
     )
     shift = F.col("mean") - F.col("grand")
-    sums = centred.agg(
+    sums = centred.groupBy(*by).agg(
         F.sum(F.col("n") * shift * shift).alias("between"),
         F.sum(F.col("n") * F.col("var")).alias("within"),
         F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("total"),
-        F.count_if(F.col("dim") == 0).alias("k"),
+        F.count_if(F.col("dim") == 0).alias("clusters"),
     )
-    ratio = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))
-    return sums.select(F.when(F.col("within") == 0, F.lit(1.0)).otherwise(ratio).alias("calinski_harabasz"))
+    freedom = F.col("total") - F.col("clusters")
+    ratio = F.try_divide(F.col("between") / (F.col("clusters") - 1), F.col("within") / freedom)
+    return sums.select(*by, F.when(F.col("within") == 0, F.lit(1.0)).otherwise(ratio).alias("calinski_harabasz"))
 
 
 def _distance(a: Column, b: Column, d: int) -> Column:
@@ -63,33 +66,32 @@ def _distance(a: Column, b: Column, d: int) -> Column:
     return F.sqrt(sum((t * t for t in terms), F.lit(0.0)))
 
 
-def davies_bouldin(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
-    """One row: mean over clusters of the worst ratio of spread to separation."""
-    d = dimensions(df, vector)
+def davies_bouldin(
+    df: DataFrame, vector: str, cluster: str = "cluster", by: tuple[str, ...] = (), moments: DataFrame | None = None
+) -> DataFrame:
+    """Mean over clusters of the worst ratio of spread to separation, one row
+    per clustering."""
+    moments = cluster_moments(df, vector, cluster, by) if moments is None else moments
+    d = moments.agg(F.max("dim")).first()[0]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda e: e["mean"])
-    centres = cluster_moments(df, vector, cluster).groupBy("cluster").agg(ordered.alias("centre"))
-    centres = broadcast_if_small(centres)
-    points = df.select(F.col(cluster).alias("cluster"), F.col(vector).alias("point"))
-    spread = (
-        points.join(centres, "cluster")
-        .groupBy("cluster")
-        .agg(F.avg(_distance(F.col("point"), F.col("centre"), d)).alias("spread"), F.first("centre").alias("centre"))
-    )
-    spread = materialise(spread)
+    centres = broadcast_if_small(moments.groupBy(*by, "cluster").agg(ordered.alias("centre")))
+    points = df.select(*by, F.col(cluster).alias("cluster"), F.col(vector).alias("point"))
+    gap = _distance(F.col("point"), F.col("centre"), (d or 0) + 1)
+    spread = points.join(centres, [*by, "cluster"]).groupBy(*by, "cluster").agg(F.avg(gap).alias("spread"))
     # k clusters: every one meets the others on each coordinate.
-    long = spread.select("cluster", "spread", F.posexplode("centre").alias("dim", "x"))
+    long = materialise(moments.select(*by, "cluster", "dim", "mean").join(spread, [*by, "cluster"]))
     a, b = long.alias("a"), long.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "dim")]
+    away = F.col("a.mean") - F.col("b.mean")
+    names = [F.col(f"a.{c}").alias(c) for c in by]
     pairs = (
-        a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.cluster") != F.col("b.cluster")))
-        .groupBy(F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j"))
-        .agg(
-            F.max(F.col("a.spread") + F.col("b.spread")).alias("spreads"),
-            F.sqrt(F.sum((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))).alias("apart"),
-        )
+        a.join(b, [*same, F.col("a.cluster") != F.col("b.cluster")])
+        .groupBy(*names, F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j"))
+        .agg(F.max(F.col("a.spread") + F.col("b.spread")).alias("spreads"), F.sqrt(F.sum(away * away)).alias("apart"))
     )
     ratio = F.coalesce(F.try_divide(F.col("spreads"), F.col("apart")), F.lit(0.0))
-    worst = pairs.groupBy("i").agg(F.max(ratio).alias("worst"))
-    return worst.agg(F.coalesce(F.avg("worst"), F.lit(0.0)).alias("davies_bouldin"))
+    worst = pairs.groupBy(*by, "i").agg(F.max(ratio).alias("worst"))
+    return worst.groupBy(*by).agg(F.coalesce(F.avg("worst"), F.lit(0.0)).alias("davies_bouldin"))
 
 
 def _distance_sums(width: int, offsets: list[int]):

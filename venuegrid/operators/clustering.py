@@ -131,9 +131,10 @@ def _feature_stages(weights: dict, after_scaling: bool) -> Pipeline:
 def evaluate(assigned: DataFrame, vector: str, silhouette: str | None = "euclidean") -> dict[str, float]:
     """Scores of one clustering. ``silhouette`` may be exact but quadratic
     (``euclidean``), linear (``squared``), or left out (None)."""
+    moments = scores.cluster_moments(assigned, vector)
     out = {
-        "calinski_harabasz": scores.calinski_harabasz(assigned, vector).first()[0],
-        "davies_bouldin": scores.davies_bouldin(assigned, vector).first()[0],
+        "calinski_harabasz": scores.calinski_harabasz(assigned, vector, moments=moments).first()[0],
+        "davies_bouldin": scores.davies_bouldin(assigned, vector, moments=moments).first()[0],
     }
     if silhouette == "euclidean":
         out["silhouette"] = scores.euclidean_silhouette(assigned, vector, ["cluster"]).first()["silhouette"]
@@ -169,11 +170,17 @@ def search_k(
             r["labeling"]: r["silhouette"]
             for r in scores.euclidean_silhouette(labelled, "point", [f"k{k}" for k in ks]).collect()
         }
+        long = labelled.select(
+            "point", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("cluster")) for k in ks]))
+        )
+        moments = scores.cluster_moments(long, "point", by=("k",))
+        ch = scores.calinski_harabasz(long, "point", by=("k",), moments=moments)
+        db = scores.davies_bouldin(long, "point", by=("k",), moments=moments)
+        both = {r["k"]: r for r in ch.join(db, "k").collect()}
         for row in found:
-            column = f"k{row['k']}"
-            row["silhouette"] = widths[column]
-            row["calinski_harabasz"] = scores.calinski_harabasz(labelled, "point", column).first()[0]
-            row["davies_bouldin"] = scores.davies_bouldin(labelled, "point", column).first()[0]
+            row["silhouette"] = widths[f"k{row['k']}"]
+            row["calinski_harabasz"] = both[row["k"]]["calinski_harabasz"]
+            row["davies_bouldin"] = both[row["k"]]["davies_bouldin"]
     finally:
         points.unpersist()
     top_ch = max(r["calinski_harabasz"] for r in found)

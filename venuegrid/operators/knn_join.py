@@ -25,7 +25,8 @@ from ..schema import ID
 from .features import standardised, with_features
 
 BLOCK_VECTORS = 1_024
-MOST_PIVOTS = 1_024
+MOST_PIVOTS = 16_384
+MATRIX_CELLS = 4_000_000
 DIGITS = 9
 SLACK = 1e-6
 
@@ -40,14 +41,21 @@ def _matrix(rows) -> np.ndarray:
 
 
 def _nearest_pivot(pivots: np.ndarray):
+    step = max(1, MATRIX_CELLS // len(pivots))
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = _matrix(batch)
-            apart = np.zeros((len(x), len(pivots)))
-            for d in range(pivots.shape[1]):
-                apart += (x[:, d, None] - pivots[None, :, d]) ** 2
-            cell = apart.argmin(axis=1)
-            yield pd.DataFrame({"cell": cell, "gap": np.sqrt(apart[np.arange(len(x)), cell])})
+            cells, gaps = [], []
+            for start in range(0, len(x), step):
+                part = x[start : start + step]
+                apart = np.zeros((len(part), len(pivots)))
+                for d in range(pivots.shape[1]):
+                    apart += (part[:, d, None] - pivots[None, :, d]) ** 2
+                cell = apart.argmin(axis=1)
+                cells.append(cell)
+                gaps.append(np.sqrt(apart[np.arange(len(part)), cell]))
+            yield pd.DataFrame({"cell": np.concatenate(cells), "gap": np.concatenate(gaps)})
 
     return run
 

@@ -12,10 +12,16 @@ from ..functions.rules import Rule
 from ..operators import cleaning, impute, quality, statistics
 from ..runtime import ensure_checkpoint_dir
 from ..sources import tables
+from ..sources.csv_source import read_places
 from .registry import query, rounded
 from .views import view
 
 
+def _scratch(spark) -> str:
+    """A folder of its own below the one that all executors reach."""
+    return f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+
+
 @query(
     "summary_stats",
     "lines",
@@ -162,6 +168,22 @@ def clean_ingest(spark, folder) -> DataFrame:
     return cleaning.clean_places(raw)
 
 
+@query(
+    "csv_ingest",
+    "raw_offers",
+    check=f"""SELECT place_id, trim(name) AS name, {TYPE_CASE} AS type, CAST(price AS DOUBLE) AS price,
+    CAST(rating AS DOUBLE) AS rating, location, CAST(distance AS DOUBLE) AS distance FROM raw_offers
+    WHERE try_cast(price AS DOUBLE) > 0 AND try_cast(rating AS DOUBLE) BETWEEN 1 AND 5 AND try_cast(distance AS DOUBLE) >= 0""",
+)
+def csv_ingest(spark, folder) -> DataFrame:
+    """Write raw offers as CSV with the source's headers, read and clean them."""
+    path = _scratch(spark) + "/raw"
+    raw = view(spark, folder, "raw_offers").withColumnsRenamed({v: k for k, v in cleaning.SOURCE_HEADERS.items()})
+    tables.export(raw, path, "csv")
+    read = read_places(spark, path, row_id=False)
+    return cleaning.clean_places(read.withColumn("place_id", F.col("place_id").cast("long")))
+
+
 @query(
     "drop_missing",
     "gaps",
@@ -318,27 +340,22 @@ def safe_math(spark, folder) -> DataFrame:
     )
 
 
-def _scratch(spark) -> str:
-    """A folder of its own below the one that all executors reach."""
-    return f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
-
-
 EXPORTED = "SELECT place_id, name, type, price, rating, location, distance, cluster FROM places"
-SCHEMA = "place_id long, name string, type string, price double, rating double, location string, distance double, cluster int"
+PLACES = "place_id long, name string, type string, price double, rating double, location string, distance double, cluster int"
 
 
 @query("export_csv", "places", check=EXPORTED)
 def export_csv(spark, folder) -> DataFrame:
     path = _scratch(spark) + "/csv"
     tables.export(view(spark, folder, "places"), path, "csv")
-    return spark.read.schema(SCHEMA).option("header", True).option("escape", '"').csv(path)
+    return spark.read.schema(PLACES).option("header", True).option("escape", '"').csv(path)
 
 
 @query("export_json", "places", check=EXPORTED)
 def export_json(spark, folder) -> DataFrame:
     path = _scratch(spark) + "/json"
     tables.export(view(spark, folder, "places"), path, "JSON")
-    return spark.read.schema(SCHEMA).json(path)
+    return spark.read.schema(PLACES).json(path)
 
 
 @query("publish_and_filter", "places", check=EXPORTED + " WHERE price <= 1000 AND cluster = 2")

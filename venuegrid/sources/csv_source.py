@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,24 +15,36 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+OFFSET_BITS = 40
 ROW_BITS = 33
+LISTED_FILES = 200_000
 
 
 def with_row_id(df: DataFrame, id_col: str = ID) -> DataFrame:
-    """Number rows by file, block and position, so that ids keep file order
-    whatever the partitioning. Must follow a file scan directly."""
-    scan = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("__row"),
-    )
-    # One row per block of the input, not per row of the table.
-    order = Window.orderBy("__file", "__start")
-    blocks = scan.select("__file", "__start").distinct().withColumn("__block", F.row_number().over(order) - 1)
-    joined = scan.join(blocks, ["__file", "__start"])
-    number = F.shiftleft(F.col("__block").cast("long"), ROW_BITS) + F.col("__row")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], number.alias(id_col))
+    """Number rows in file order, whatever the partitioning, without reading the
+    data twice. Must follow a file scan directly.
+
+    Within a file, the byte offset of a block plus the row's number in its
+    partition increases: blocks of full size fill a partition of their own, and a
+    row has at least one byte. Only last blocks share partitions, and nothing in
+    their file follows them. Files are ranked by path, from the scan's listing.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    position = F.col("_metadata.file_block_start") + row
+    files = sorted(df.inputFiles())
+    if len(files) == 1:
+        return df.select(*columns, position.alias(id_col))
+    # Listing and scan write local paths with a different number of slashes.
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9+.-]+):/+", "$1:/")
+    ranks = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "path string, rank long")
+    ranks = ranks.select(plain("path").alias("__file"), F.col("rank").alias("__rank"))
+    listed = F.broadcast(ranks) if len(files) <= LISTED_FILES else ranks
+    scan = df.select(*columns, plain(F.col("_metadata.file_path")).alias("__file"), position.alias("__position"))
+    unlisted = F.raise_error(F.concat(F.lit("file missing from the listing: "), F.col("__file")))
+    rank = F.when(F.col("__rank").isNull(), unlisted.cast("long")).otherwise(F.col("__rank"))
+    number = F.shiftleft(rank, OFFSET_BITS) + F.col("__position")
+    return scan.join(listed, "__file", "left").select(*columns, number.alias(id_col))
 
 
 def nullify_tokens(df: DataFrame) -> DataFrame:

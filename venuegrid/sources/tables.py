@@ -37,7 +37,8 @@ def export(df: DataFrame, path: str, format: str = "csv") -> None:
     """Write as CSV with header, or as one JSON record per line."""
     kind = format.lower()
     if kind == "csv":
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif kind == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
