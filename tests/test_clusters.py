@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuegrid.operators import cluster_scores, clustering, features, knn_join, profiles, similar
+from venuegrid.plans.requests import Places
 from venuegrid.plans.workflow import run
 from venuegrid.schema import SOURCE_HEADERS, cluster_labels
 from venuegrid.sources.tables import read_published
@@ -125,6 +126,14 @@ def test_fit_finds_the_groups(groups, fitted):
     assert set(share) == set(features.FEATURES) and sum(share.values()) == pytest.approx(1)
 
 
+def test_cluster_report(groups, fitted):
+    report = Places(fitted[1], groups, fitted[0]).cluster_report().first()
+    assert (report["n_clusters"], report["total_places"], report["silhouette_band"]) == (3, 90, "Good")
+    assert report["feature_weights"]["price"] == 0.5
+    with pytest.raises(ValueError):
+        Places(fitted[1]).cluster_report()
+
+
 def test_weights_only_count_after_scaling(groups, fitted):
     plain = fitted[0].info.inertia
     heavy = {"price": 9.0, "rating": 0.1, "distance": 0.1, "type_encoded": 0.1}
@@ -212,6 +221,15 @@ def test_neighbours_of_all(spark, k, options):
     assert knn_join.nearest_for_all(df.limit(0), 3).count() == 0
 
 
+def test_type_codes_follow_sorted_types(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["b", "a", None, "c", "b", "é", "B"])]
+    df = spark.createDataFrame(rows, "place_id long, type string")
+    want = {0: 2.0, 1: 1.0, 2: None, 3: 3.0, 4: 2.0, 5: 4.0, 6: 0.0}
+    assert {r["place_id"]: r["type_encoded"] for r in features.with_type_code(df).collect()} == want
+    monkeypatch.setattr(features, "FEW_TYPES", 1)
+    assert {r["place_id"]: r["type_encoded"] for r in features.with_type_code(df).collect()} == want
+
+
 def test_similar_places(spark, groups):
     rows = features.with_features(groups)
     pdf = rows.select("place_id", *features.standardised(rows)).orderBy("place_id").toPandas()

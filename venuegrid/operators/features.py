@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small, materialise
 from .quantiles import exact_quantiles
 
 TYPE_CODE = "type_encoded"
+FEW_TYPES = 200
 FEATURES = ("price", "rating", "distance", TYPE_CODE)
 
 
 def with_type_code(df: DataFrame) -> DataFrame:
-    """Code of the type: its place among the sorted distinct types."""
-    types = df.agg(F.array_sort(F.collect_set("type"))).scalar()
-    return df.withColumn(TYPE_CODE, (F.array_position(types, F.col("type")) - 1).cast("double"))
+    """Code of the type: its place among the sorted distinct types. A few types
+    become a literal list; many are looked up by a join."""
+    types = materialise(df.select("type").where(F.col("type").isNotNull()).distinct())
+    if types.count() <= FEW_TYPES:
+        found = [r["type"] for r in types.orderBy("type").collect()]
+        position = F.array_position(F.array(*[F.lit(t) for t in found]).cast("array<string>"), F.col("type"))
+        return df.withColumn(TYPE_CODE, (position - 1).cast("double"))
+    code = (F.row_number().over(Window.orderBy("type")) - 1).cast("double")
+    codes = broadcast_if_small(types.withColumn(TYPE_CODE, code))
+    return df.join(codes, "type", "left").select(*df.columns, TYPE_CODE)
 
 
 def with_features(df: DataFrame) -> DataFrame:
@@ -23,11 +32,12 @@ def with_features(df: DataFrame) -> DataFrame:
 
 
 def standardised(df: DataFrame, columns=FEATURES) -> list[Column]:
-    """(x - mean) / population deviation; a constant column becomes zero."""
-    stats = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]
-    s = df.agg(F.struct(*stats).alias("s")).scalar()
+    """(x - mean) / population deviation; a constant column becomes zero. One
+    pass for all columns; its few numbers become literals."""
+    stats = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]).first()
     return [
-        F.coalesce(F.try_divide(F.col(c).cast("double") - s[c]["mean"], s[c]["std"]), F.lit(0.0)) for c in columns
+        (F.col(c).cast("double") - F.lit(stats[c]["mean"])) / F.lit(stats[c]["std"]) if stats[c]["std"] else F.lit(0.0)
+        for c in columns
     ]
 
 

@@ -30,9 +30,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(df: DataFrame) -> int:
-    """Number of shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
+    """Partitions for costly work on ``rows`` rows: enough to use the cluster,
+    no more than the session's shuffle partitions."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // rows_each)))
 
 
 BROADCAST_ROWS = 10_000
