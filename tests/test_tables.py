@@ -137,6 +137,10 @@ def test_quantiles_by_bracketing(spark, accuracy):
     got = exact_quantiles(df, ["v"], probs, direct_rows=200, accuracy=accuracy)["v"]
     assert got == pytest.approx(np.quantile(data, probs).tolist(), rel=1e-12)
     assert exact_quantiles(df, ["v"], probs)["v"] == pytest.approx(got)
+    two = df.withColumn("w", -F.col("v")).withColumn("e", F.lit(None).cast("double"))
+    both = exact_quantiles(two, ["v", "w", "e"], [0.25, 0.5], direct_rows=1500, accuracy=accuracy)
+    assert both["v"] == pytest.approx(np.quantile(data, [0.25, 0.5])) and both["e"] == [None, None]
+    assert both["w"] == pytest.approx(np.quantile(-data, [0.25, 0.5]))
 
 
 def test_summaries(spark, places):

@@ -10,6 +10,7 @@ so the sketch's error affects cost, never the result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,18 +36,104 @@ def exact_quantiles(
     if small:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         out.update(values.agg(*[F.percentile(c, probs).alias(c) for c in small]).first().asDict())
-    for c in columns:
-        if counts[c] > direct_rows:
-            column = values.select(F.col(c).alias("v")).where(F.col("v").isNotNull())
-            out[c] = [_interpolated(column, counts[c], p, direct_rows, accuracy) for p in probabilities]
+    large = {c: counts[c] for c in columns if counts[c] > direct_rows}
+    if large:
+        out.update(_bracketed(values, large, probabilities, direct_rows, accuracy))
     return out
 
 
-def _interpolated(column: DataFrame, n: int, p: float, direct_rows: int, accuracy: int) -> float:
-    position = p * (n - 1)
-    below, share = math.floor(position), position - math.floor(position)
-    first, second = _order_statistics(column, n, below, min(below + 1, n - 1), direct_rows, accuracy)
-    return first if first == second else first + (second - first) * share
+@dataclass
+class _Target:
+    """One quantile: the ranks it lies between, and the bracket around them."""
+
+    column: str
+    rows: int
+    probability: float
+    low: float = 0.0
+    high: float = 0.0
+    before: int = 0
+    held: int = 0
+    distinct: int = 0
+    found: tuple[float, float] | None = None
+
+    @property
+    def position(self) -> float:
+        return self.probability * (self.rows - 1)
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        first = math.floor(self.position)
+        return first, min(first + 1, self.rows - 1)
+
+    def ends(self, accuracy: int) -> list[float]:
+        i, j = self.ranks
+        slack = 2.0 / accuracy
+        return [max(0.0, i / self.rows - slack), min(1.0, (j + 1) / self.rows + slack)]
+
+    @property
+    def proven(self) -> bool:
+        i, j = self.ranks
+        return self.before <= i and j < self.before + self.held
+
+    @property
+    def value(self) -> float:
+        first, second = self.found
+        return first if first == second else first + (second - first) * (self.position - math.floor(self.position))
+
+
+def _bracketed(values: DataFrame, rows: dict[str, int], probabilities, direct_rows: int, accuracy: int) -> dict:
+    """All quantiles of all columns in three passes: sketch, count, rank."""
+    targets = [_Target(c, n, p) for c, n in rows.items() for p in probabilities]
+    ends = {c: [e for t in targets if t.column == c for e in t.ends(accuracy)] for c in rows}
+    sketch = values.agg(
+        *[F.percentile_approx(c, F.array(*[F.lit(e) for e in es]), F.lit(accuracy)).alias(c) for c, es in ends.items()]
+    ).first()
+    for c in rows:
+        for k, t in enumerate(t for t in targets if t.column == c):
+            t.low, t.high = sketch[c][2 * k], sketch[c][2 * k + 1]
+    counts = []
+    for k, t in enumerate(targets):
+        inside = F.col(t.column).between(t.low, t.high)
+        counts += [
+            F.count_if(F.col(t.column) < t.low).alias(f"before{k}"),
+            F.count_if(inside).alias(f"held{k}"),
+            F.approx_count_distinct(F.when(inside, F.col(t.column))).alias(f"distinct{k}"),
+        ]
+    counted = values.agg(*counts).first()
+    for k, t in enumerate(targets):
+        t.before, t.held, t.distinct = (counted[f"{name}{k}"] for name in ("before", "held", "distinct"))
+        if t.proven and t.low == t.high:
+            t.found = (t.low, t.high)
+    ready = {k: t for k, t in enumerate(targets) if t.found is None and t.proven and t.distinct <= direct_rows // 2}
+    if ready:
+        _rank(values, ready)
+    for t in targets:
+        if t.found is None:  # a wide bracket: narrow it step by step
+            column = values.select(F.col(t.column).alias("v")).where(F.col("v").isNotNull())
+            t.found = _order_statistics(column, t.rows, *t.ranks, direct_rows, accuracy)
+    return {c: [t.value for t in targets if t.column == c] for c in rows}
+
+
+def _rank(values: DataFrame, targets: dict[int, _Target]) -> None:
+    """Look the ranks up among the values inside each bracket."""
+    inside = [
+        F.struct(
+            F.lit(k).alias("target"),
+            F.when(F.col(t.column).between(t.low, t.high), F.col(t.column)).alias("v"),
+            *[F.lit(r - t.before).alias(name) for name, r in zip(("i", "j"), t.ranks)],
+        )
+        for k, t in targets.items()
+    ]
+    held = values.select(F.inline(F.array(*inside))).where(F.col("v").isNotNull())
+    ranked = held.groupBy("target", "i", "j", "v").count()
+    w = Window.partitionBy("target").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("count").over(w)
+    found = ranked.withColumn("upto", upto).groupBy("target").agg(
+        F.min(F.when(F.col("upto") > F.col("i"), F.col("v"))).alias("first"),
+        F.min(F.when(F.col("upto") > F.col("j"), F.col("v"))).alias("second"),
+    )
+    for row in found.collect():
+        targets[row["target"]].found = (row["first"], row["second"])
 
 
 def _order_statistics(column: DataFrame, n: int, i: int, j: int, direct_rows: int, accuracy: int):
