@@ -3,9 +3,11 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from venuegrid.functions.text import match_key
 from venuegrid.operators import duplicates, text_join
+from venuegrid.operators.duplicates import Limits
 from venuegrid.operators.survivors import removed_ids
 
 SCHEMA = "place_id long, name string, location string, rating double"
@@ -67,10 +69,10 @@ def variants(rng, count, bases):
 BASES = ["Soto Banjar Ibu Ani", "Soto Lamongan Cak Har", "Kopi Kenangan Senja", "Bakso", "Nasi Kuning Cempaka Putih"]
 
 
-@pytest.mark.parametrize("seed,limits", [(1, {}), (2, {"group_rows": 4, "list_rows": 7}), (3, {"group_rows": 1, "list_rows": 2})])
+@pytest.mark.parametrize("seed,limits", [(1, Limits()), (2, Limits(4, 7)), (3, Limits(1, 2))])
 def test_pairs_equal_brute_force(spark, seed, limits):
     df = spark.createDataFrame(variants(random.Random(seed), 130, BASES), SCHEMA).repartition(5)
-    got = duplicates.find_duplicates(df, **limits).collect()
+    got = duplicates.find_duplicates(df, limits=limits).collect()
     want = brute(unique(keyed(df)))
     assert len(got) == len(want) > 50
     assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want
@@ -103,12 +105,22 @@ def test_a_third_of_all_rows_share_one_name(spark):
     rows += [(100 + i, f"Toko {rng.randrange(10**9)} {rng.randrange(10**9)}", f"gang {rng.randrange(10**9)}", 3.0) for i in range(80)]
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(keyed(df))
-    got = duplicates.find_duplicates(df, group_rows=6, list_rows=10).collect()
+    got = duplicates.find_duplicates(df, limits=Limits(6, 10)).collect()
     assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want
-    kept, _ = duplicates.remove_duplicates(df)
+    kept, _ = duplicates.remove_duplicates(df, limits=Limits(6, 10))
     assert {r["place_id"] for r in kept.collect()} == {r[0] for r in rows} - greedy(want, {r[0]: r[3] for r in rows})
 
 
+@pytest.mark.parametrize("ends", [[], [40], [4, 30, 31, 200], [100000]])
+def test_waves_do_not_change_the_outcome(spark, ends):
+    df = spark.createDataFrame(variants(random.Random(21), 110, BASES), SCHEMA)
+    rows = unique(keyed(df))
+    keys = duplicates.match_keys(df, "name", "location", "place_id", "rating").withColumn("copies", F.lit(1))
+    keys = keys.where("name <> '' and location <> ''").persist()
+    gone = duplicates.removed_keys(keys, limits=Limits(5, 10), ends=ends)
+    assert sorted(r["id"] for r in gone.collect()) == sorted(greedy(brute(rows), {r[0]: r[3] for r in rows}))
+
+
 def test_copies_are_counted_but_not_paired(spark):
     rng = random.Random(9)
     rows = variants(rng, 60, BASES[:3])
