@@ -27,7 +27,8 @@ def with_row_id(df: DataFrame, id_col: str = ID) -> DataFrame:
     Within a file, the byte offset of a block plus the row's number in its
     partition increases: blocks of full size fill a partition of their own, and a
     row has at least one byte. Only last blocks share partitions, and nothing in
-    their file follows them. Files are ranked by path, from the scan's listing.
+    their file follows them (as long as ``spark.sql.files.maxPartitionNum`` is not
+    set). Files are ranked by path, from the scan's listing.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
