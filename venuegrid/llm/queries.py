@@ -10,13 +10,36 @@ from pyspark.sql import functions as F
 
 from .common import run_folder, table
 from .packing import pack_documents
+from .quality import judge_quality
 from .token_files import read_tokens, token_digest, write_tokens
+from .url_rules import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels judge documents; a page has the label of the document with its number:
+    of low quality or toxic means blocked."""
+    blocked = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    known = table(spark, folder, "labels").where("quality IS NOT NULL OR toxic IS NOT NULL")
+    labels = known.select(F.col("doc_id").alias("page_id"), blocked.alias("blocked"))
+    return judge_urls(table(spark, folder, "pages"), labels, URL_RULES)
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(table(spark, folder, "documents"))
+
 
 def token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = run_folder(spark, "tokens")
@@ -29,7 +52,9 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_url_rules": url_rules,
     "op6_token_output": token_output,
+    "op7_quality_rules": quality_rules,
     "op8_packing": packing,
 }
 CHECKS: dict[str, str] = {}
