@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import run_folder, table
 from .packing import pack_documents
 from .quality import judge_quality
+from .secrets import scan_secrets
 from .token_files import read_tokens, token_digest, write_tokens
 from .url_rules import judge_urls
 
@@ -47,6 +48,10 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(read_tokens(spark, path))
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(table(spark, folder, "documents"))
+
+
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), TOKENIZER, END_ID)
 
@@ -56,5 +61,6 @@ QUERIES: dict[str, Query] = {
     "op6_token_output": token_output,
     "op7_quality_rules": quality_rules,
     "op8_packing": packing,
+    "op9_secret_scan": secret_scan,
 }
 CHECKS: dict[str, str] = {}
