@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import run_folder, table
+from .language import identify
 from .packing import pack_documents
 from .quality import judge_quality
 from .secrets import scan_secrets
+from .sharding import shard_documents
 from .token_files import read_tokens, token_digest, write_tokens
 from .url_rules import judge_urls
 
@@ -29,6 +31,14 @@ URL_RULES = (
 )
 
 
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
+def sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(table(spark, folder, "documents"), shards=16)
+
+
 def url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Labels judge documents; a page has the label of the document with its number:
     of low quality or toxic means blocked."""
@@ -57,6 +67,8 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language": language,
+    "op4_sharding": sharding,
     "op5_url_rules": url_rules,
     "op6_token_output": token_output,
     "op7_quality_rules": quality_rules,
