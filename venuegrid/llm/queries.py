@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import run_folder, table
+from .common import id_crc, run_folder, table
 from .language import identify
+from .lattice import score_documents
 from .packing import pack_documents
 from .quality import judge_quality
 from .secrets import scan_secrets
@@ -20,6 +21,7 @@ from .url_rules import judge_urls
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 URL_RULES = (
@@ -66,6 +68,10 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), TOKENIZER, END_ID)
 
 
+def lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"), id_crc(F.col("doc_id")) % 7 != 2, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     "op2_language": language,
     "op4_sharding": sharding,
@@ -74,5 +80,6 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": quality_rules,
     "op8_packing": packing,
     "op9_secret_scan": secret_scan,
+    "op10_lattice_score": lattice_score,
 }
 CHECKS: dict[str, str] = {}
