@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, run_folder, table
+from .decontamination import contaminated
+from .jaccard import near_duplicates
 from .language import identify
 from .lattice import score_documents
 from .packing import pack_documents
@@ -33,6 +35,15 @@ URL_RULES = (
 )
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "consistency", "n_slots")
+
+
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
@@ -73,7 +84,9 @@ def lattice_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": decontamination,
     "op2_language": language,
+    "op3_jaccard_join": jaccard_join,
     "op4_sharding": sharding,
     "op5_url_rules": url_rules,
     "op6_token_output": token_output,
