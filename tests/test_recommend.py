@@ -3,7 +3,7 @@ import pytest
 from conftest import PLACE, ids
 from pyspark.sql import functions as F
 
-from venuegrid.operators import filters, paging, recommend
+from venuegrid.operators import filters, paging, ranking, recommend, similar
 from venuegrid.operators.ranking import with_hybrid_score
 from venuegrid.plans.requests import Places
 
@@ -118,8 +118,38 @@ def test_pages(places):
     assert paging.page(places, 1, 100).count() == 7
     last = pages[0][-1].asDict()
     assert [r["place_id"] for r in paging.page_after(places, last, 3).collect()] == [r["place_id"] for r in pages[1]]
-    options = paging.filter_options(places).first()
-    assert options["types"] == ["Cafe", "Indoor", "Warung"] and options["clusters"] == [0, 1, 2]
+    options = [tuple(r) for r in paging.filter_options(places).collect()]
+    assert options == [("type", "Cafe"), ("type", "Indoor"), ("type", "Warung"), ("cluster", "0"), ("cluster", "1"), ("cluster", "2")]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_pages_after_reach_every_row(spark, size):
+    """Null ratings and distances come last and are paged through like others."""
+    rows = [(i, r, d) for i, (r, d) in enumerate([(4.0, 1.0), (4.0, None), (4.0, None), (None, 2.0), (None, 2.0), (None, None), (3.0, 1.0), (4.0, 1.0), (None, None)])]
+    df = spark.createDataFrame(rows, "place_id long, rating double, distance double")
+    want = [r["place_id"] for r in df.orderBy(*ranking.order_for("rating")).collect()]
+    got, last = [], None
+    while page := paging.page_after(df, last, size).collect():
+        got += [r["place_id"] for r in page]
+        last = page[-1].asDict()
+    assert got == want and len(got) == len(rows)
+
+
+def test_infinite_prices_are_shown_as_null(places):
+    one = places.where("place_id < 3").withColumn("price", F.when(F.col("place_id") == 1, float("inf")).otherwise(F.col("price")))
+    assert {r["place_id"]: r["price"] for r in recommend.recommend(one).collect()} == {1: None, 2: 30000}
+
+
+def test_filters_on_absent_columns_are_errors(places):
+    with pytest.raises(ValueError):
+        filters.recommendation_filter(places.drop("price"), max_price=1).count()
+    with pytest.raises(ValueError):
+        filters.recommendation_filter(places, cluster_name="Premium").count()
+    assert filters.listing_filter(places.drop("price"), max_price=1).count() == 7
+
+
+def test_detail_has_as_many_as_asked_for(places):
+    assert similar.place_detail(places, 1, 50).count() == 1 + similar.similar_places(places, 1, 50).count()
 
 
 def test_requests(places):

@@ -128,6 +128,32 @@ def test_outliers_are_removed_one_column_after_the_other(spark):
     assert cleaning.drop_outliers(df.limit(0))[1] == {}
 
 
+def test_quantiles_narrow_whatever_the_values(spark):
+    """Hot values, ties and a sketch far too coarse for the few rows that are ranked."""
+    rng = np.random.default_rng(3)
+    data = np.concatenate([np.full(300, 5.0), np.arange(90) / 7, rng.normal(size=90), np.full(200, -1.0)])
+    df = spark.createDataFrame([(float(x),) for x in data], "v double").coalesce(2)
+    probs = [0.1, 0.77]
+    got = exact_quantiles(df, ["v"], probs, direct_rows=20, accuracy=10)["v"]
+    assert got == pytest.approx(np.quantile(data, probs).tolist(), rel=1e-12)
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    header = list(SOURCE_HEADERS)
+    swapped = [header[0], header[1], header[3], header[2], *header[4:]]
+    for name, names in (("a", header), ("b", swapped)):
+        (tmp_path / f"{name}.csv").write_text(",".join(names) + "\nx,t,1,2,l,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_source.read_places(spark, str(tmp_path)).collect()
+
+
+def test_broken_stages_are_not_taken_for_absent_ones(spark, tmp_path):
+    assert tables.read_published(spark, str(tmp_path)).count() == 0
+    (tmp_path / "places_clustered").mkdir()
+    with pytest.raises(AnalysisException):
+        tables.read_published(spark, str(tmp_path))
+
+
 @pytest.mark.parametrize("accuracy", [50, 1000])
 def test_quantiles_by_bracketing(spark, accuracy):
     rng = np.random.default_rng(5)

@@ -14,6 +14,7 @@ from .text import SPACE, strip
 INTEGER = rf"^[{SPACE}]*[+-]?[0-9]+[{SPACE}]*$"
 
 
+# The messages of violated rules below are fixed values.
 @dataclass(frozen=True)
 class Rule:
     """What a column must satisfy. ``kind`` is int, float, string or list;
@@ -48,7 +49,9 @@ class Rule:
 
     def _number(self, c: Column, text: Column | None):
         if text is None:
-            value = c.cast("long") if self.kind == "int" else c.cast("double")
+            value = c.try_cast("long") if self.kind == "int" else c.cast("double")
+            if self.kind == "int":
+                yield c.isNotNull() & value.isNull(), "Invalid integer value"
         else:
             pattern, word = (INTEGER, "integer") if self.kind == "int" else (NUMERIC, "float")
             yield ~F.regexp_like(text, F.lit(pattern)), f"Invalid {word} value"

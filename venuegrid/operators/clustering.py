@@ -86,7 +86,7 @@ class ClusterModel:
         spread = centres.select(F.posexplode("centre").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v"))
         total = spread.agg(F.sum("v")).scalar()
         names = F.array(*[F.lit(c) for c in FEATURES])
-        return spread.select(F.get(names, F.col("i")).alias("feature"), (F.col("v") / total).alias("importance"))
+        return spread.select(F.get(names, F.col("i")).alias("feature"), F.try_divide("v", total).alias("importance"))
 
     def save(self, path: str) -> None:
         """Write stages and fit information below ``path``."""

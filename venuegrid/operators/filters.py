@@ -35,10 +35,17 @@ def keep(df: DataFrame, predicates: list[Column]) -> DataFrame:
 
 
 def _bounds(df, min_price=None, max_price=None, min_rating=None, max_rating=None, min_distance=None, max_distance=None):
+    """One predicate for each limit given; a limit on an absent column is an error."""
     lows = {"price": min_price, "rating": min_rating, "distance": min_distance}
     highs = {"price": max_price, "rating": max_rating, "distance": max_distance}
-    found = [F.col(c) >= F.lit(v) for c, v in lows.items() if v is not None and c in df.columns]
-    return found + [F.col(c) <= F.lit(v) for c, v in highs.items() if v is not None and c in df.columns]
+    found = [_present(df, c) >= F.lit(v) for c, v in lows.items() if v is not None]
+    return found + [_present(df, c) <= F.lit(v) for c, v in highs.items() if v is not None]
+
+
+def _present(df: DataFrame, column: str) -> Column:
+    if column not in df.columns:
+        raise ValueError(f"no column {column} to filter by")
+    return F.col(column)
 
 
 def filter_places(df: DataFrame, *, type=None, regex: bool = False, **limits) -> DataFrame:
@@ -72,11 +79,12 @@ def recommendation_filter(
         found.append(contains_text("type", type, regex))
     if cluster_id is not None:
         found.append(F.col("cluster") == F.lit(cluster_id))
-    if "cluster_name" in df.columns:
-        if cluster_name:
-            found.append(same_text("cluster_name", cluster_name))
-        if cluster_names:
-            found.append(in_text_list("cluster_name", cluster_names))
+    if cluster_name or cluster_names:
+        _present(df, "cluster_name")
+    if cluster_name:
+        found.append(same_text("cluster_name", cluster_name))
+    if cluster_names:
+        found.append(in_text_list("cluster_name", cluster_names))
     return keep(df, found)
 
 
@@ -112,7 +120,8 @@ def listing_filter(
     df: DataFrame, *, max_price=None, max_distance=None, min_rating=None, type=None, cluster_id=None, regex=False
 ) -> DataFrame:
     """Filter of the paged listing; limits on absent columns are ignored."""
-    found = _bounds(df, max_price=max_price, max_distance=max_distance, min_rating=min_rating)
+    limits = {"price": ("max_price", max_price), "distance": ("max_distance", max_distance), "rating": ("min_rating", min_rating)}
+    found = _bounds(df, **dict(limit for c, limit in limits.items() if c in df.columns))
     if type and "type" in df.columns:
         found.append(contains_text("type", type, regex))
     if cluster_id is not None and "cluster" in df.columns:

@@ -19,6 +19,7 @@ from ..functions.numbers import known
 
 DIRECT_ROWS = 1_000_000
 SKETCH_ACCURACY = 100_000
+CUTS = 200
 
 
 def exact_quantiles(
@@ -138,30 +139,29 @@ def _rank(values: DataFrame, targets: dict[int, _Target]) -> None:
 
 def _order_statistics(column: DataFrame, n: int, i: int, j: int, direct_rows: int, accuracy: int):
     """Values at the 0-based ranks ``i <= j`` of ``n`` non-null rows."""
+    first = _value_at(column, n, i, direct_rows, accuracy)
+    return first, first if i == j else _value_at(column, n, j, direct_rows, accuracy)
+
+
+def _value_at(column: DataFrame, n: int, rank: int, direct_rows: int, accuracy: int):
+    """The value at one rank. Proposed cuts split the values into the cuts themselves and
+    what lies between; exact counts say where the rank is, and that part is split anew.
+    Cuts are values of the column, so a part shrinks in every step, whatever the values."""
     while n > direct_rows:
-        slack = 2.0 / accuracy
-        ends = [max(0.0, i / n - slack), min(1.0, (j + 1) / n + slack)]
-        low, high = column.agg(
-            F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("q")
-        ).first()["q"]
-        inside = F.col("v").between(low, high)
-        before, held = column.agg(
-            F.count_if(F.col("v") < low).alias("before"), F.count_if(inside).alias("held")
-        ).first()
-        if not before <= i <= j < before + held:
-            break
-        column, i, j = column.where(inside), i - before, j - before
-        if low == high or held >= n:
-            n = held
-            break
-        n = held
+        grid = F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)])
+        cuts = sorted(set(column.agg(F.percentile_approx("v", grid, F.lit(accuracy)).alias("q")).first()["q"]))
+        known_cuts = F.array(*[F.lit(c) for c in cuts])
+        part = 2 * F.size(F.filter(known_cuts, lambda c: c < F.col("v"))) + F.array_contains(known_cuts, F.col("v")).cast("int")
+        # At most two rows for each cut.
+        parts = column.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(parts.collect()):
+            if rank < row["n"]:
+                break
+            rank -= row["n"]
+        if row["low"] == row["high"]:
+            return row["low"]
+        column, n = column.where(F.col("v").between(row["low"], row["high"])), row["n"]
     # One row per distinct value: copies of a hot value were merged map-side.
-    ranked = column.groupBy("v").count()
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if n > direct_rows and ranked.count() > direct_rows:
-        raise ValueError("quantile bracket did not narrow; raise the sketch accuracy")
-    ends = ranked.withColumn("upto", F.sum("count").over(w)).agg(
-        F.min(F.when(F.col("upto") > i, F.col("v"))).alias("first"),
-        F.min(F.when(F.col("upto") > j, F.col("v"))).alias("second"),
-    )
-    return tuple(ends.first())
+    ranked = column.groupBy("v").count().withColumn("upto", F.sum("count").over(w))
+    return ranked.agg(F.min(F.when(F.col("upto") > rank, F.col("v")))).first()[0]

@@ -233,7 +233,7 @@ def similar_topk_all(spark, folder) -> DataFrame:
 
 def _fit(spark, folder, **options):
     places = view(spark, folder, "places").drop("cluster")
-    return places, clustering.fit_clusters(places, **{"k": 3, "restarts": 20, **options})
+    return places, clustering.fit_clusters(places, **{"k": 3, **options})
 
 
 @query("kmeans_assign")
@@ -252,7 +252,7 @@ def kmeans_report(spark, folder) -> DataFrame:
 @query("auto_k")
 def auto_k(spark, folder) -> DataFrame:
     places, _ = clustering.prepare(view(spark, folder, "places").drop("cluster"))
-    return clustering.search_k(places, max_k=clustering.LARGEST_K, restarts=5)
+    return clustering.search_k(places, max_k=clustering.LARGEST_K)
 
 
 @query("feature_importance")
@@ -264,7 +264,7 @@ def feature_importance(spark, folder) -> DataFrame:
 @query("predict_new")
 def predict_new(spark, folder) -> DataFrame:
     """Save a fitted model, load it, and assign all places with frozen fences."""
-    places, (model, _) = _fit(spark, folder, restarts=5, silhouette=None)
+    places, (model, _) = _fit(spark, folder, silhouette=None)
     path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     model.save(path)
     return clustering.ClusterModel.load(path).assign(places, outliers="frozen")
@@ -273,7 +273,7 @@ def predict_new(spark, folder) -> DataFrame:
 @query("stream_assign")
 def stream_assign(spark, folder) -> DataFrame:
     """Assign the same places as a stream and read back what it wrote."""
-    places, (model, assigned) = _fit(spark, folder, restarts=5, silhouette=None)
+    places, (model, assigned) = _fit(spark, folder, silhouette=None)
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     places.write.parquet(f"{base}/in")
     names = {r["cluster"]: r["cluster_name"] for r in profiles.cluster_names(assigned).collect()}

@@ -267,10 +267,7 @@ def page_info(spark, folder) -> DataFrame:
              UNION ALL SELECT 'cluster', CAST(cluster AS VARCHAR) FROM places GROUP BY cluster""",
 )
 def filter_options(spark, folder) -> DataFrame:
-    options = paging.filter_options(view(spark, folder, "places"))
-    return options.select(F.lit("type").alias("kind"), F.explode("types").alias("option")).unionByName(
-        options.select(F.lit("cluster").alias("kind"), F.explode(F.col("clusters").cast("array<string>")).alias("option"))
-    )
+    return paging.filter_options(view(spark, folder, "places"))
 
 
 @query("type_distribution", "places", check="SELECT type, count(*) AS count FROM places GROUP BY type")

@@ -45,7 +45,8 @@ def result_rows(df: DataFrame, *extra: str) -> DataFrame:
         ID,
         "name",
         "type",
-        F.col("price").cast("long").alias("price"),
+        # Infinite and very large prices have no whole number; they are shown as null.
+        F.col("price").try_cast("long").alias("price"),
         F.col("rating").cast("double").alias("rating"),
         F.col("distance").cast("double").alias("distance"),
         "location",

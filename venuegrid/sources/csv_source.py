@@ -18,6 +18,7 @@ MISSING_TOKENS = (
 OFFSET_BITS = 40
 ROW_BITS = 33
 LISTED_FILES = 200_000
+MOST_FILES = 1 << (63 - OFFSET_BITS)
 
 
 def with_row_id(df: DataFrame, id_col: str = ID) -> DataFrame:
@@ -34,6 +35,8 @@ def with_row_id(df: DataFrame, id_col: str = ID) -> DataFrame:
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     position = F.col("_metadata.file_block_start") + row
     files = sorted(df.inputFiles())
+    if len(files) > MOST_FILES:
+        raise ValueError(f"row ids have room for {MOST_FILES} files, not for {len(files)}")
     if len(files) == 1:
         return df.select(*columns, position.alias(id_col))
     # Listing and scan write local paths with a different number of slashes.
@@ -44,7 +47,9 @@ def with_row_id(df: DataFrame, id_col: str = ID) -> DataFrame:
     scan = df.select(*columns, plain(F.col("_metadata.file_path")).alias("__file"), position.alias("__position"))
     unlisted = F.raise_error(F.concat(F.lit("file missing from the listing: "), F.col("__file")))
     rank = F.when(F.col("__rank").isNull(), unlisted.cast("long")).otherwise(F.col("__rank"))
-    number = F.shiftleft(rank, OFFSET_BITS) + F.col("__position")
+    too_long = F.raise_error(F.concat(F.lit("too large a file for row ids: "), F.col("__file")))
+    inside = F.when(F.col("__position") >= 1 << OFFSET_BITS, too_long.cast("long")).otherwise(F.col("__position"))
+    number = F.shiftleft(rank, OFFSET_BITS) + inside
     return scan.join(listed, "__file", "left").select(*columns, number.alias(id_col))
 
 
@@ -64,13 +69,16 @@ def read_places(
     row_id: bool = True,
 ) -> DataFrame:
     """Rows of a CSV file or folder, all columns as text, missing values as
-    null. A missing path or required header is an error. ``multiline`` allows
+    null. A missing path or required header is an error, and so are files whose
+    headers differ in names or order. ``multiline`` allows
     line breaks in quoted fields but makes files unsplittable."""
     raw = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        # Without this the header of one file would name the columns of all.
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )

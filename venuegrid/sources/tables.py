@@ -27,7 +27,9 @@ def read_published(spark: SparkSession, store: str, filters: dict | None = None)
     for stage in STAGES:
         try:
             table = spark.read.parquet(f"{store}/{stage}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         return filter_places(table, **filters) if filters else table
     return spark.createDataFrame([], EMPTY)
