@@ -81,12 +81,7 @@ class ClusterModel:
 
     def feature_importance(self) -> DataFrame:
         """Share of each feature in the variance of the centres."""
-        rows = list(enumerate(self.info.centres))
-        centres = SparkSession.active().createDataFrame(rows, "cluster int, centre array<double>")
-        spread = centres.select(F.posexplode("centre").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v"))
-        total = spread.agg(F.sum("v")).scalar()
-        names = F.array(*[F.lit(c) for c in FEATURES])
-        return spread.select(F.get(names, F.col("i")).alias("feature"), F.try_divide("v", total).alias("importance"))
+        return centre_importance(self.info.centres)
 
     def save(self, path: str) -> None:
         """Write stages and fit information below ``path``."""
@@ -101,6 +96,15 @@ class ClusterModel:
         return cls(PipelineModel.load(f"{path}/stages"), FitInfo(**json.loads(text)))
 
 
+def centre_importance(centres: list[list[float]]) -> DataFrame:
+    """Share of each feature in the variance of the centres; null if they agree."""
+    rows = SparkSession.active().createDataFrame(list(enumerate(centres)), "cluster int, centre array<double>")
+    spread = rows.select(F.posexplode("centre").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v"))
+    total = spread.agg(F.sum("v")).scalar()
+    names = F.array(*[F.lit(c) for c in FEATURES])
+    return spread.select(F.get(names, F.col("i")).alias("feature"), F.try_divide("v", total).alias("importance"))
+
+
 def prepare(df: DataFrame) -> tuple[DataFrame, dict]:
     """Rows fit for clustering, and the outlier fences used on the way."""
     inside, fences = drop_outliers(df.na.drop("any"))

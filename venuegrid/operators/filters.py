@@ -129,6 +129,11 @@ def listing_filter(
     return keep(df, found)
 
 
+def member_of(df: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is in a table of values; a null value never is."""
+    return df.join(listed.select(column).distinct(), column, "left_semi")
+
+
 def search_name(df: DataFrame, query: str, regex: bool = False) -> DataFrame:
     query = (query or "").strip()
     if not query:

@@ -163,9 +163,12 @@ def nearest_for_all(
         .agg(F.collect_list(F.struct("query", "vector")).alias("q"))
         .select("block", "target", F.col("q.query").alias("query_ids"), F.col("q.vector").alias("queries"))
     )
-    targets = packed.select(F.col("cell").alias("target"), block_id.alias("target_block"), "ids", "vectors")
+    # A visit goes to each block of its cell by itself, so that a dense cell is no hot key.
+    held = F.broadcast(sizes.select(F.col("cell").alias("target"), parts.alias("parts")))
+    visits = visits.join(held, "target").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    targets = packed.select(F.col("cell").alias("target"), F.col("key.part").alias("part"), block_id.alias("target_block"), "ids", "vectors")
     seen = (
-        visits.join(targets, "target")
+        visits.join(targets, ["target", "part"])
         .where(F.col("block") != F.col("target_block"))
         .select("query_ids", "queries", "ids", "vectors")
         .mapInPandas(_other_block(k + 1), lists)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster_scores, clustering, features, knn_join, profiles, similar, statistics
+from ..operators.kmeans import lloyd, nearest_centre
 from ..runtime import ensure_checkpoint_dir
 from ..streaming.scoring import assign_stream, write_stream
 from .registry import query, rounded
@@ -231,6 +232,62 @@ def similar_topk_all(spark, folder) -> DataFrame:
     return rounded(knn_join.similar_for_all(view(spark, folder, "places"), 5))
 
 
+# Given centres, in scaled price, rating, distance and type, and steps from them.
+GIVEN = [[-1.1, -0.7, -0.9, -0.3], [0.2, 0.1, -0.2, 0.4], [1.3, 0.8, 0.9, 0.6]]
+PASSES = 4
+
+
+def _steps_sql() -> str:
+    parts = [SCALED, f"c0 AS (SELECT unnest([0, 1, 2]) AS cluster, unnest({GIVEN}) AS c)"]
+    for n in range(PASSES + 1):
+        parts.append(f"""a{n} AS (SELECT place_id, v, cluster, gap FROM (SELECT place_id, v, cluster, list_distance(v, c) ^ 2 AS gap,
+          row_number() OVER (PARTITION BY place_id ORDER BY list_distance(v, c), cluster) AS r FROM z, c{n}) WHERE r = 1)""")
+        if n < PASSES:
+            parts.append(f"c{n + 1} AS (SELECT cluster, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS c FROM a{n} GROUP BY cluster)")
+    return ", ".join(parts)
+
+
+def _steps(spark, folder) -> tuple[DataFrame, list[list[float]]]:
+    rows = features.with_features(view(spark, folder, "places"))
+    points = rows.select("place_id", F.array(*features.standardised(rows)).alias("point"))
+    return points, lloyd(points.select("point"), GIVEN, PASSES).tolist()
+
+
+@query("kmeans_steps", "places", check=_steps_sql() + f" SELECT place_id, CAST(cluster AS INT) AS cluster FROM a{PASSES}")
+def kmeans_steps(spark, folder) -> DataFrame:
+    """Clusters after some steps from given centres."""
+    points, centres = _steps(spark, folder)
+    return points.select("place_id", nearest_centre(F.col("point"), centres).alias("cluster"))
+
+
+@query(
+    "kmeans_steps_inertia",
+    "places",
+    check=_steps_sql() + f" SELECT CAST(cluster AS INT) AS cluster, count(*) AS count, round(sum(gap), 4) AS inertia FROM a{PASSES} GROUP BY cluster",
+)
+def kmeans_steps_inertia(spark, folder) -> DataFrame:
+    """Size and cost of each cluster after those steps."""
+    points, centres = _steps(spark, folder)
+    cluster = nearest_centre(F.col("point"), centres)
+    all_centres = F.array(*[F.array(*map(F.lit, c)) for c in centres])
+    gap = F.aggregate(F.zip_with("point", F.get(all_centres, cluster), lambda x, y: (x - y) ** 2), F.lit(0.0), lambda a, x: a + x)
+    placed = points.select(cluster.alias("cluster"), gap.alias("gap"))
+    return placed.groupBy("cluster").agg(F.count("*").alias("count"), F.round(F.sum("gap"), 4).alias("inertia"))
+
+
+@query(
+    "kmeans_steps_importance",
+    "places",
+    check=_steps_sql()
+    + f""", s AS (SELECT unnest(['price', 'rating', 'distance', 'type_encoded']) AS feature,
+      unnest([var_pop(c[1]), var_pop(c[2]), var_pop(c[3]), var_pop(c[4])]) AS v FROM c{PASSES})
+    SELECT feature, round(v / sum(v) OVER (), 6) AS importance FROM s""",
+)
+def kmeans_steps_importance(spark, folder) -> DataFrame:
+    """Share of each feature in the variance of those centres."""
+    return rounded(clustering.centre_importance(_steps(spark, folder)[1]))
+
+
 def _fit(spark, folder, **options):
     places = view(spark, folder, "places").drop("cluster")
     return places, clustering.fit_clusters(places, **{"k": 3, **options})

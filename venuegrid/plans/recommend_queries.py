@@ -201,6 +201,36 @@ def filter_presets(spark, folder) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(
+    "filter_presets_by_name",
+    "named",
+    check="""
+    SELECT 'ekonomis' AS preset, count(*) AS places FROM named WHERE cluster_name = 'Ekonomis'
+    UNION ALL SELECT 'menengah', count(*) FROM named WHERE cluster_name = 'Menengah'
+    UNION ALL SELECT 'premium', count(*) FROM named WHERE cluster_name = 'Premium'
+    UNION ALL SELECT 'ekonomis-menengah', count(*) FROM named WHERE cluster_name IN ('Ekonomis', 'Menengah')
+    UNION ALL SELECT 'menengah-premium', count(*) FROM named WHERE cluster_name IN ('Menengah', 'Premium')""",
+)
+def filter_presets_by_name(spark, folder) -> DataFrame:
+    named = view(spark, folder, "named")
+    parts = [
+        filters.recommendation_filter(named, **filters.preset(choice)).agg(F.lit(choice).alias("preset"), F.count("*").alias("places"))
+        for choice in ("ekonomis", "menengah", "premium", "ekonomis-menengah", "menengah-premium")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "member_types",
+    "places",
+    check="""SELECT place_id, type FROM places WHERE type IN (SELECT p_type FROM part WHERE p_size = 50)""",
+)
+def member_types(spark, folder) -> DataFrame:
+    """Places whose type is in a list that is itself a table."""
+    listed = spark.read.parquet(f"{folder}/part.parquet").where("p_size = 50").select(F.col("p_type").alias("type"))
+    return filters.member_of(view(spark, folder, "places"), listed, "type").select("place_id", "type")
+
+
 @query(
     "search_name",
     "places",
@@ -248,6 +278,25 @@ def list_page_after(spark, folder) -> DataFrame:
     return paging.page_after(view(spark, folder, "offers"), {"rating": 4.0, "distance": 2.5, "place_id": 500})
 
 
+@query(
+    "list_page_after_unrated",
+    "unrated",
+    check=f"""SELECT 'unrated' AS after, * FROM (SELECT * FROM unrated WHERE rating IS NULL AND
+      (distance > 1.5 OR distance IS NULL OR (distance = 1.5 AND place_id > 500)) ORDER BY {BY_RATING} LIMIT 200)
+    UNION ALL SELECT 'no distance' AS after, * FROM (SELECT * FROM unrated WHERE rating < 1 OR rating IS NULL
+      OR (rating = 1 AND distance IS NULL AND place_id > 500) ORDER BY {BY_RATING} LIMIT 200)""",
+)
+def list_page_after_unrated(spark, folder) -> DataFrame:
+    """The pages after a row without a rating, and after one without a distance."""
+    rows = view(spark, folder, "unrated")
+    pages = {"unrated": (None, 1.5), "no distance": (1.0, None)}
+    found = [
+        paging.page_after(rows, {"rating": rating, "distance": distance, "place_id": 500}, 200).select(F.lit(after).alias("after"), "*")
+        for after, (rating, distance) in pages.items()
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query(
     "page_info",
     "offers",

@@ -153,6 +153,58 @@ def value_rules(spark, folder) -> DataFrame:
     return quality.rule_counts(view(spark, folder, "raw_offers"), RULES)
 
 
+@query(
+    "value_rules_lists",
+    "raw_offers",
+    check="""WITH t AS (SELECT string_split(name, ' ') AS words, trim(name) AS name, place_id FROM raw_offers)
+    SELECT violation, count(*) AS rows FROM (SELECT unnest([
+      CASE WHEN len(words) > 5 THEN 'words: List must have at most 5 items' END,
+      CASE WHEN NOT regexp_matches(name, '^Customer [0-9]*[02468]$') THEN 'name: String format is invalid' END,
+      CASE WHEN place_id < 10 THEN 'place_id: Value must be at least 10' END]) AS violation FROM t)
+    WHERE violation IS NOT NULL GROUP BY violation""",
+)
+def value_rules_lists(spark, folder) -> DataFrame:
+    """Rules on lists, on a pattern that some texts break, and on a typed number."""
+    rows = view(spark, folder, "raw_offers").withColumn("words", F.split("name", " "))
+    rules = [
+        Rule("words", "list", required=True, min_length=1, max_length=5),
+        Rule("name", "string", pattern="Customer [0-9]*[02468]$"),
+        Rule("place_id", "int", min_value=10),
+    ]
+    return quality.rule_counts(rows, rules)
+
+
+@query(
+    "validate_missing",
+    "raw_offers",
+    check="""SELECT false AS is_valid, 'missing columns: Rating Tempat Makan, Lokasi (maps)' AS errors, count(*) AS total_rows,
+    '' AS warnings FROM raw_offers""",
+)
+def validate_missing(spark, folder) -> DataFrame:
+    """A table without two of the required columns."""
+    raw = view(spark, folder, "raw_offers").drop("rating", "location")
+    report = quality.validate(raw.withColumnsRenamed({v: k for k, v in cleaning.SOURCE_HEADERS.items()}))
+    return report.select(
+        "is_valid", F.concat_ws("; ", "errors").alias("errors"), "total_rows", F.concat_ws("; ", "warnings").alias("warnings")
+    )
+
+
+@query(
+    "rename_positional",
+    "raw_offers",
+    check="SELECT name, type, price, rating, location, distance, place_id AS extra FROM raw_offers",
+)
+def rename_positional(spark, folder) -> DataFrame:
+    """Columns named by their place, whatever their headers."""
+    columns = ("name", "type", "price", "rating", "location", "distance", "place_id")
+    return cleaning.rename_by_position(view(spark, folder, "raw_offers").select(*[F.col(c).alias(f"header {k}") for k, c in enumerate(columns)]))
+
+
+@query("link_test", "links", check="SELECT place_id, starts_with(location, 'http') AS is_link FROM links")
+def link_test(spark, folder) -> DataFrame:
+    return view(spark, folder, "links").select("place_id", text.is_link("location").alias("is_link"))
+
+
 TYPE_CASE = "replace(replace(trim(type), 'warung', 'Warung'), 'CAFE', 'Cafe')"
 
 

@@ -63,6 +63,32 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "NULLIF(o_orderstatus, 'F') AS location",
         ],
     ),
+    # Offers with the names of their clusters.
+    "named": (
+        "orders",
+        [
+            "o_orderkey AS place_id",
+            "o_totalprice AS price",
+            "CASE WHEN o_totalprice < 170000 THEN 'Ekonomis' WHEN o_totalprice < 340000 THEN 'Menengah' ELSE 'Premium' END AS cluster_name",
+        ],
+    ),
+    # Pages by address, some of them without one.
+    "links": (
+        "pages",
+        [
+            "page_id AS place_id",
+            "CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN concat(' ', url) ELSE url END AS location",
+        ],
+    ),
+    # Offers of which some have no rating, some no distance, some neither.
+    "unrated": (
+        "orders",
+        [
+            "o_orderkey AS place_id",
+            "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(1 + o_orderkey % 5 AS DOUBLE) END AS rating",
+            "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 30 AS DOUBLE) / 10 END AS distance",
+        ],
+    ),
     # Whole documents: long texts with exact copies.
     "texts": (
         "documents",
