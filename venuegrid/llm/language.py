@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import per_process, slices, written
 
 #: Families of languages by ISO 639-1 code. Another code is a family of its own.
 FAMILIES = {
@@ -30,34 +29,42 @@ FAMILIES = {
     "celtic": "ga gd cy br",
     "sinitic": "zh",
 }
-FEATURES = 4096
+FEATURES = 4096  # the hash below gives twelve bits
 #: Learned from about this many documents of each language at most, drawn by a hash of
 #: the row from all of them; a language with fewer than MIN_DOCS is not learned.
 SAMPLE = 1500
 MIN_DOCS = 5
 UNKNOWN = "und"
-_MEMO_WORDS = 250_000
 
 
 def family(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if lang in codes.split()), f"other:{lang}")
 
 
-def _grams(word: str) -> list[int]:
-    """Feature numbers of the runs of one to three letters in a word's lower-cased letter
-    runs, whose borders count as letters."""
-    out = []
-    for run in "".join(c if c.isalpha() else " " for c in word).lower().split():
-        marked = f"\x02{run}\x03"
-        out.extend(zlib.crc32(marked[i : i + n].encode()) % FEATURES for n in (1, 2, 3) for i in range(len(marked) - n + 1) if n > 1 or marked[i] > "\x03")
-    return out
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+
+
+def feature_counts(text: str) -> np.ndarray:
+    """How often a whole text has each hashed run of one to three letters. Texts are
+    lower-cased; what is no letter borders a run, and a border counts as a letter of runs
+    of two and three (in three not in the middle)."""
+    known = per_process("letters", _letters)
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), "<u4")
+    codes = np.where(known[np.minimum(codes, len(known) - 1)], codes, np.uint32(0))
+    letter = codes > 0
+    mixed = codes * np.uint32(0x9E3779B1)
+    two = (mixed[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) + mixed[1:]
+    three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) + mixed[2:]
+    runs = np.concatenate((mixed[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]))
+    runs = (runs ^ (runs >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return np.bincount((runs >> np.uint32(20)).astype(np.int64), minlength=FEATURES)
 
 
 def _vector(text: str) -> SparseVector:
     """Relative frequencies of a whole text's features."""
-    counts = np.zeros(FEATURES)
-    for word in text.split():
-        np.add.at(counts, _grams(word), 1)
+    counts = feature_counts(text)
     at = np.flatnonzero(counts)
     return SparseVector(FEATURES, at, counts[at] / max(counts.sum(), 1))
 
@@ -104,7 +111,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # Each language is drawn at the rate that gives about ``sample`` documents.
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     drawn = usable.select("doc_id", "text", "lang").join(counts, "lang").where(part * F.col("count") < sample)
-    features = written(drawn.select("lang", F.udf(_vector, VectorUDT())("text").alias("features")), "language-sample")
+    vector = F.udf(_vector, VectorUDT(), useArrow=False)  # on the sample only
+    features = written(drawn.select("lang", vector("text").alias("features")), "language-sample")
     langs = sorted(r["lang"] for r in features.select("lang").distinct().collect())
     if not langs:
         return None
@@ -113,7 +121,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         members.setdefault(family(lang), []).append(lang)
     families = sorted(members)
     rows, biases = [np.zeros(FEATURES) for _ in families], [0.0] * len(families)
-    small = features.coalesce(max(1, min(8, features.sparkSession.sparkContext.defaultParallelism)))
+    # A bounded sample: few partitions make each of the many short passes a single stage.
+    small = features.coalesce(3)
 
     def target(groups: list[list[str]]) -> Column:
         index = F.lit(None).cast("double")
@@ -123,41 +132,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     if len(families) > 1:
         labelled = small.withColumn("label", target([members[f] for f in families]))
-        fit = LogisticRegression(family="multinomial", maxIter=40, regParam=0.001).fit(labelled)
+        fit = LogisticRegression(family="multinomial", maxIter=25, regParam=0.001).fit(labelled)
         rows, biases = list(fit.coefficientMatrix.toArray()), fit.interceptVector.toArray().tolist()
     pairs = [p for f in families for p in itertools.combinations(members[f], 2)]
     for a, b in pairs:
         labelled = small.where(F.col("lang").isin([a, b])).withColumn("label", target([[b], [a]]))
-        fit = LinearSVC(maxIter=40, regParam=0.01).fit(labelled)
+        fit = LinearSVC(maxIter=25, regParam=0.01).fit(labelled)
         rows.append(fit.coefficients.toArray())
         biases.append(fit.intercept)
     return Model(families, members, pairs, np.array(rows), np.array(biases))
 
 
-class _Words(dict):
-    """Scores of words, each computed once; forgotten together when there are too many."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.table = np.zeros((1024, len(model.bias) + 1))
-
-    def __missing__(self, word: str) -> int:
-        grams = _grams(word)
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[at, 0] = len(grams)
-        self.table[at, 1:] = self.model.weights[:, grams].sum(1) if grams else 0
-        self[word] = at
-        return at
-
-    def scores(self, text: str) -> np.ndarray | None:
-        """The classifiers' scores of a text; None without a letter."""
-        if len(self) > _MEMO_WORDS:
-            self.clear()
-        at = list(map(self.__getitem__, text.split()))
-        total = self.table[at].sum(0)
-        return total[1:] / total[0] + self.model.bias if total[0] else None
+def text_scores(model: Model, text: str | None) -> np.ndarray | None:
+    """The classifiers' scores of a whole text; None without a letter."""
+    counts = feature_counts(text or "")
+    total = counts.sum()
+    return model.weights @ counts / total + model.bias if total else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -166,11 +156,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     are judged alike; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words(model) if model else None
         for batch in slices(batches, "text"):
             found = []
             for text in batch.column(1).to_pylist():
-                scores = memo.scores(text) if text and memo is not None else None
+                scores = text_scores(model, text) if model else None
                 found.append((UNKNOWN, 0.0) if scores is None else model.decide(scores))
             langs, certain = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(certain, pa.float64())], names=["doc_id", "lang_pred", "score"])
