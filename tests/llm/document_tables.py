@@ -1,5 +1,6 @@
+"""The table maker that the tests of this folder share."""
+
 import pytest
-from pyspark.sql import types as T
 
 
 @pytest.fixture

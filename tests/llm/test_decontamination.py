@@ -2,6 +2,7 @@ import random
 
 import pytest
 from venuegrid.llm.decontamination import Templates, contaminated, decontaminate
+from document_tables import docs  # noqa: F401
 
 ITEM = "Anna buys 12 apples and 5 pears at 3 dollars each. How much does Anna pay for the apples and the pears together?"
 SAME = "Tom buys 40 apples and 9 pears at 2 euros each. How much does Tom pay for the apples and the pears together?"

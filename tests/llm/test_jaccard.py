@@ -6,6 +6,7 @@ import pytest
 from venuegrid.llm import jaccard
 from venuegrid.llm.components import components
 from venuegrid.llm.jaccard import local_links, near_duplicates, prefix_plan
+from document_tables import docs  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

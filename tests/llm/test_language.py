@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from venuegrid.llm.language import UNKNOWN, feature_counts, identify, train
+from document_tables import docs  # noqa: F401
 
 SYLLABLES = {"en": "the ing and wh sh ly", "de": "sch ein ung ö pf keit", "fr": "eau oi que é ç ment", "es": "ción os ñ ll ía rr", "xx": "zzq kwa vv"}
 

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from venuegrid.llm.lattice import MARK, Lattice, score_documents, vocabulary
+from document_tables import docs  # noqa: F401
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -10,6 +10,7 @@ from test_jaccard import brute, edited
 from test_quality import make
 from test_secrets import brute as base_spans
 from test_tokens import check_pieces, truth
+from document_tables import docs  # noqa: F401
 
 
 @pytest.fixture

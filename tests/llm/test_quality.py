@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from venuegrid.llm import quality
 from venuegrid.llm.quality import FEATURES, judge_quality, robust_estimates, text_statistics
+from document_tables import docs  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

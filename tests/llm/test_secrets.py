@@ -4,6 +4,7 @@ import re
 
 import pytest
 from venuegrid.llm.secrets import all_spans, literal_spans, redacted, scan_secrets
+from document_tables import docs  # noqa: F401
 
 
 def brute(text):

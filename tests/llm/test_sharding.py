@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 from venuegrid.llm.sharding import build_tree, metadata, shard_documents, write_shards
+from document_tables import docs  # noqa: F401
 
 
 @pytest.fixture

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 from venuegrid.llm.packing import Packer, pack_documents
 from venuegrid.llm.token_files import read_tokens, token_digest, write_tokens
 from venuegrid.llm.tokens import Encoder
+from document_tables import docs  # noqa: F401
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 EDGES = [
