@@ -80,13 +80,13 @@ def write_tokens(
 
 def read_tokens(spark, path: str) -> DataFrame:
     """The documents of such files with ``start``, the number of ids before each in the
-    whole set. Reads only the counts for that, not the ids; the table of parts has one
-    row for each file."""
+    whole set. Reads only the counts for that, not the ids. The table of parts is broadcast:
+    it has two numbers for each task that wrote files, whatever the files hold."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    return files.join(offsets, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+    return files.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
