@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -12,9 +13,19 @@ from .common import per_process
 
 #: The words that a worker remembers, in two generations of this many.
 MEMO_WORDS = 300_000
-#: Words that are one run of (Latin-1) letters and one mark: two separate pieces for the
-#: tokenizer. Other letters may turn into letters and combining marks in lower case.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of (Latin-1) letters is one piece for the tokenizer, and so is a run of marks
+#: after it. Other letters may turn into letters and combining marks in lower case.
+_SIMPLE = re.compile(f"[{_LETTERS}]+")
+_MARKED = re.compile(rf"([{_LETTERS}]+)([.,;:!?%*#$&()|<>=+/-]+)")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it
+    is printable in Latin-1, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
 class Encoder:
@@ -23,7 +34,7 @@ class Encoder:
     For a tokenizer whose pieces never cross a space, a text's ids are those of its
     space-separated words in a row, so each word is encoded once and remembered. The
     memory is bounded: when a generation is full it becomes the old one, and the one
-    before it is forgotten. Words not yet known go to the library in one call a batch.
+    before it is forgotten.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -31,71 +42,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if "Lowercase" not in str(self.tokenizer.normalizer) or "ByteLevel" not in str(self.tokenizer.pre_tokenizer):
+            raise ValueError("needs a lower-casing byte-level tokenizer whose pieces end at spaces")
         self.memo_words = memo_words
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.characters = _byte_characters()
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
         return per_process(f"encoder_{path}", lambda: cls(path))
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: Iterable[bytes]) -> None:
         young, old = self.young, self.old
-        new = []
+        rest = []
         for word in words:
-            if word not in young:
-                known = old.get(word)
-                if known is None:
-                    new.append(word)
+            code = old.get(word)
+            if code is None:
+                text = word.decode()
+                if _SIMPLE.fullmatch(text):
+                    code = self._piece(text)
+                elif pair := _MARKED.fullmatch(text):
+                    code = b"".join(young.get(p.encode()) or self._remembered(p) for p in pair.groups())
                 else:
-                    young[word] = known
-        parts = {word: m.groups() for word in new if (m := _MARKED.fullmatch(word))}
-        plain = {word for word in new if word not in parts}
-        for pair in parts.values():
-            plain.update(p for p in pair if p not in young)
-        todo = sorted(plain)
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            for word, code in zip(some, self._encode_each(some), strict=True):
-                young[word] = code
-        for word, (letters, mark) in parts.items():
-            young[word] = young[letters] + young[mark]
-
-    def _encode_each(self, words: list[str]) -> list[bytes]:
-        """One call for many words: words of letters only are one piece each, and a
-        piece ends with the token that carries the end-of-word mark."""
-        simple = [w for w in words if w.isascii() and w.isalpha()]
-        codes = {}
-        if simple:
-            ids = self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids
-            flat = np.array(ids, dtype="<u4")
-            ends = np.flatnonzero(self._last()[flat]) + 1
-            if len(ends) == len(simple) and (not len(flat) or ends[-1] == len(flat)):
-                starts = np.concatenate(([0], ends[:-1]))
-                raw = flat.tobytes()
-                codes = {w: raw[4 * a : 4 * b] for w, a, b in zip(simple, starts.tolist(), ends.tolist(), strict=True)}
-        rest = [w for w in words if w not in codes]
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        codes.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, found, strict=True))
-        return [codes[w] for w in words]
-
-    def _last(self) -> np.ndarray:
-        """Whether a token ends a piece, by id."""
-        if not hasattr(self, "_ends"):
-            vocabulary = self.tokenizer.get_vocab()
-            self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        return self._ends
+                    rest.append(word)
+                    continue
+            young[word] = code
+        if rest:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            young.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, found, strict=True))
+
+    def _remembered(self, piece: str) -> bytes:
+        code = self.young[piece.encode()] = self._piece(piece)
+        return code
+
+    def _piece(self, piece: str) -> bytes:
+        """A run of letters or marks by the library's model alone: what its normaliser
+        and splitter would do to such a run is known."""
+        lower = piece.lower()
+        mapped = lower if lower.isascii() else "".join(map(self.characters.__getitem__, lower.encode()))
+        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and ``end_id``, as little-endian unsigned 32-bit integers."""
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = struct.pack("<I", end_id)
         out = []
         for at in range(0, len(texts), 256):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            split = [self._words(t or "") for t in texts[at : at + 256]]
             if len(self.young) > self.memo_words:
-                self.old, self.young = self.young, {"": b""}
+                self.old, self.young = self.young, {b"": b""}
             self._learn(set().union(*split).difference(self.young))
             known = self.young.__getitem__
             out.extend(b"".join(map(known, words)) + end for words in split)
         return out
+
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        """Split at spaces and line ends. The tokenizer lower-cases, so words are remembered
+        in (ASCII) lower case, unless the text may have a special token, which is found
+        before that."""
+        raw = text.encode()
+        return (raw if b"<|" in raw else raw.lower()).replace(b"\n", b" ").split(b" ")
