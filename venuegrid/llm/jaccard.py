@@ -19,7 +19,7 @@ WORDS = 5
 #: Two documents link when their shingle sets' Jaccard similarity is at least this, in percent.
 PERCENT = 75
 #: Text whose shingles are cut up together, and shingles for each bucket of them.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 BUCKET_SHINGLES = 1_000_000
 #: A shingle in this share of all texts (and in this many at least) is not looked up but
 #: known to all tasks; there are at most (mean set size / share) such.
@@ -57,7 +57,7 @@ class Shingler:
         if len(words) < WORDS:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
         known = self.hashes
-        if len(known) > 400_000:
+        if len(known) > 250_000:
             known.clear()
         for w in words:
             if w not in known:
