@@ -59,6 +59,35 @@ def test_literals(text, literals):
     assert [text[a:b] for a, b in literal_spans(text)] == literals
 
 
+@pytest.mark.parametrize(
+    "text, literals",
+    [
+        ('private_key: str = "S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ("const privateKey: string = 'S3cr3t!Zx91q';", ["S3cr3t!Zx91q"]),
+        ('const PRIVATE_KEY: &\'static str = "S3cr3t!Zx91q";', ["S3cr3t!Zx91q"]),
+        ('val privateKey: String? = "S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ('private_key: dict[str, list[int]] | None = "S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ("class A { privateKey?: string = `S3cr3t!Zx91q` }", ["S3cr3t!Zx91q"]),
+        ('var privateKey string = "S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ('if debug: db_pwd = "S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ('def f(private_key: str, title="S3cr3t!Zx91q"): pass', []),
+        ('title: str = "S3cr3t!Zx91q"', []),
+        *((f'private_key = {prefix}"S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]) for prefix in ("b", "r", "f", "u", "L", "Rb", "u8", "@", "$", "$@")),
+        ('private_key: bytes = b"S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ('private_key = r#"S3cr3t"!Zx91q"#', ['S3cr3t"!Zx91q']),
+        ('private_key = R"x(S3cr3t!Zx91q)x"', ["S3cr3t!Zx91q"]),
+        ('private_key = @"S3cr3t""!Zx91q\\"', ['S3cr3t""!Zx91q\\']),
+        ('private_key = "ab" + b"S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ('private_key = """S3cr3t!Zx91q"""', ["S3cr3t!Zx91q"]),
+        ("private_key = b'''\n  S3cr3t!\"Zx91q\n'''", ['S3cr3t!"Zx91q']),
+        ('private_key = """S3cr3t!Zx91q', []),
+        ("db_pwd: Zx81qq!T7aa=", ["Zx81qq!T7aa="]),
+    ],
+)
+def test_type_notes_and_kinds_of_strings(text, literals):
+    assert [text[a:b] for a, b in literal_spans(text)] == literals
+
+
 def test_literal_inside_a_base_span_is_not_told_twice():
     base, spans = all_spans('password="Zx81qqT7aa"')
     assert base == spans

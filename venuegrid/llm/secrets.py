@@ -48,7 +48,27 @@ _BLANK = re.compile(r"[ \t]*")
 _TERM = re.compile(
     r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_$][\w.$]*)(?=[ \t]*(?:[+;,)}\]\n#]|$))|([^\s"'`,;(){}\[\]]+)"""
 )
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_$])")
+_JOIN = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_$@])")
+
+#: What may stand before a quote, and strings that end at a mark of their own: raw ones
+#: with # marks or with a delimiter and brackets, and triple-quoted ones.
+_PREFIX = re.compile(r"(?:u8R?|[bBrRfFuUtTlLnNeEcC]{1,2}|[@$]{1,2})?(?=[\"'`])")
+_HASHED = re.compile(r'(?:[bc]?r)?(#+)"')
+_BRACKETED = re.compile(r'(?:u8|[uUL])?R"([^()\s\\"]{0,16})\(')
+_TRIPLE = re.compile(r"\"\"\"|'''")
+_VERBATIM = re.compile(r'@\$?"|\$@"')
+
+# A type note: words with their generics or array marks, joined by | or &.
+_INNER = r"[^\[\]<>(){}\n=]"
+_GENERIC = _INNER
+for _ in range(3):
+    _GENERIC = rf"(?:[\[<(](?:{_INNER}|{_GENERIC})*[\]>)])"
+_UNIT = (
+    r"(?:[&*]+[ \t]*|'\w+[ \t]+|(?:mut|const|dyn|impl|readonly|unsigned|signed|volatile|static)[ \t]+)*"
+    rf"(?:[A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_]\w*){{0,15}}{_GENERIC}{{0,7}}|{_GENERIC}{{1,7}})[?!*]{{0,3}}"
+)
+_TYPED = re.compile(rf"""[ \t]*(?:{_UNIT}(?:[ \t]*[|&][ \t]*{_UNIT}){{0,15}}|"[\w.\[\], |]+"|'[\w.\[\], |]+')[ \t]*(?==(?![=>]))""")
+_DECLARED = re.compile(r"\b(?:var|const)[ \t]+([A-Za-z_]\w*)[ \t]+(?:\[\w*\]|\*)*[A-Za-z_][\w.]*[ \t]*$")
 
 
 def name_score(name: str) -> float:
@@ -73,10 +93,13 @@ def literal_score(value: str, quoted: bool) -> float:
 
 def _name_before(text: str, at: int) -> str | None:
     """The name that ends before ``at``, which is an operator's place: an identifier, a
-    quoted key or an index in brackets; blanks and a type note may stand between."""
+    quoted key or an index in brackets; blanks, and ? or ! before a type note, may stand
+    between."""
     end = at
     while end and text[end - 1] in " \t":
         end -= 1
+    if end and text[end - 1] in "?!" and text[at] == ":":
+        end -= 1
     while end and text[end - 1] in "\"'`])":
         end -= 1
     start = end
@@ -86,29 +109,107 @@ def _name_before(text: str, at: int) -> str | None:
     return name if re.search(r"[^\W\d]", name) else None
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """Name and terms of every assignment; a term is (``literal`` or ``name``, start,
-    end, quoted). Terms are joined by ``+`` or ``..``. An assignment's value is read
-    once: operators inside it start no assignment."""
-    at = 0
+#: A term: ``literal`` or ``name``, start, end, whether it is quoted.
+Term = tuple[str, int, int, bool]
+
+
+def _closed(text: str, mark: str, at: int, escapes: bool, missing: set[str]) -> int:
+    """Where ``mark`` next stands without an escape, -1 if nowhere; what is ``missing``
+    once is not sought again."""
+    while mark not in missing:
+        end = text.find(mark, at)
+        if end < 0:
+            missing.add(mark)
+            break
+        if not escapes or (end - len(text[at:end].rstrip("\\")) - at) % 2 == 0:
+            return end
+        at = end + 1
+    return -1
+
+
+def _string(text: str, at: int, missing: set[str]) -> tuple[Term, int] | None:
+    """The string with its own end mark that starts at ``at``, and where it ends."""
+    if found := _HASHED.match(text, at):
+        mark, escapes = '"' + found[1], False
+    elif found := _BRACKETED.match(text, at):
+        mark, escapes = f"){found[1]}\"", False
+    elif found := _VERBATIM.match(text, at):
+        end = found.end()
+        while (end := _closed(text, '"', end, False, missing)) >= 0 and text.startswith('""', end):
+            end += 2
+        return (("literal", found.end(), end, True), end + 1) if end >= 0 else None
+    elif found := _TRIPLE.match(text, at := _PREFIX.match(text, at).end() if _PREFIX.match(text, at) else at):
+        mark, escapes = found[0], True
+    else:
+        return None
+    end = _closed(text, mark, found.end(), escapes, missing)
+    if end < 0:
+        return None
+    value = text[found.end() : end]
+    start = found.end() + len(value) - len(value.lstrip())
+    return ("literal", start, max(start, found.end() + len(value.rstrip())), True), end + len(mark)
+
+
+def _terms(text: str, at: int, missing: set[str]) -> tuple[list[Term], int]:
+    """The terms of the value that starts at ``at``, and where it ends."""
+    here, terms = _BLANK.match(text, at).end(), []
+    while True:
+        if own := _string(text, here, missing):
+            terms.append(own[0])
+            here = own[1]
+        else:
+            prefix = _PREFIX.match(text, here)
+            term = _TERM.match(text, prefix.end() if prefix else here) or _TERM.match(text, here)
+            if not term:
+                break
+            group = term.lastindex
+            terms.append(("name" if group == 4 else "literal", *term.span(group), group < 4))
+            here = term.end()
+        more = _JOIN.match(text, here)
+        if not more:
+            break
+        here = more.end()
+    return terms, here
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
+    """Name and terms of every assignment. Terms are joined by ``+`` or ``..``. An
+    assignment's value is read once: operators inside it start no assignment.
+
+    ``name : type = value`` assigns to the name, and to what stands right before ``=`` as
+    well, as that is the target in ``if name: target = value``. With a bare value the
+    type may itself be the value (``name: a=b``), so that reading is told, too.
+    """
+    at, missing = 0, set()
     while found := _OPERATOR.search(text, at):
         at = found.end()
         name = _name_before(text, found.start())
-        if name is None:
+        if found[0] == ":" and name is not None and (note := _TYPED.match(text, at)):
+            terms, here = _terms(text, note.end() + 1, missing)
+            if terms and terms[0][3]:
+                at = here
+                yield name, terms
+                target = _name_before(text, note.end())
+                if target is not None:
+                    yield target, terms
+                continue
+            plain, _ = _terms(text, at, missing)
+            if plain:
+                yield name, plain
+            if terms:
+                yield name, terms
             continue
-        here, terms = _BLANK.match(text, at).end(), []
-        while term := _TERM.match(text, here):
-            group = term.lastindex
-            terms.append(("name" if group == 4 else "literal", *term.span(group), group < 4))
-            here = term.end()
-            more = _JOIN.match(text, here)
-            if not more:
-                break
-            here = more.end()
+        declared = _DECLARED.search(text, max(0, found.start() - 120), found.start()) if found[0] == "=" else None
+        if name is None and declared is None:
+            continue
+        terms, here = _terms(text, at, missing)
         if terms:
             # A quoted literal is passed over; a bare one may hold a further assignment.
             at = max(at, here) if terms[0][3] or terms[0][0] == "name" else at
-            yield name, terms
+            if name is not None:
+                yield name, terms
+            if declared is not None:
+                yield declared[1], terms
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
