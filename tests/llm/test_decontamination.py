@@ -47,6 +47,21 @@ def test_other_parameters(docs, items):
     assert got[1]["consistency"] == 1.0 and got[1]["n_slots"] > 3
 
 
+def test_copies_match_whatever_stands_before_them_and_whatever_their_case(docs, items):
+    bench = {1: "What is the capital of France?", 2: "In welchem Jahr fiel die Mauer?", 3: "Die Hauptstadt von Bayern heißt München und liegt an der Isar im Süden",
+             4: "Anna has 5 apples and then Anna eats some"}
+    given = items.sparkSession.createDataFrame(list(bench.items()), "item_id long, text string")
+    rows, want = [], set()
+    for i, text in bench.items():
+        for k, copy in enumerate((text, "Trivia " + text, "Line\n" + text, "so: (" + text + ")", "7 " + text, text.upper(), "x " + text.title(), "x " + text.lower(), "Q. " + text.lower())):
+            rows.append((10 * i + k, copy))
+            want.add((10 * i + k, i))
+    rows += [(60, "Tom has 8 apples and then Tom eats some"), (61, "see Tom has 8 apples and then Tom eats some")]
+    want |= {(60, 4), (61, 4)}
+    rows += [(70, "My city London is the capital of England"), (71, "This is the capital of Spain"), (72, "Bob has 8 apples and then Tom eats some")]
+    assert pairs(contaminated(docs(rows), given)) == want
+
+
 def test_inconsistent_slots_are_no_leak(docs, items):
     """The numbers of one slot value go to different values."""
     item = "If 7 men need 7 days for 7 walls and each man takes 7 breaks then how long do they all work"

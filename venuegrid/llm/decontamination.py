@@ -39,6 +39,9 @@ UNITS = set(
 NUMBERS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen twenty thirty forty fifty hundred thousand million billion".split())
 
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
+#: An item's first word that is read as a name but is none elsewhere in the item: only the
+#: same word may stand for it.
+_SAME = 4
 _KIND_HASH = np.array([0, 0xA5B85C5E198ED849, 0x8D51E9C7A3F2B16D, 0xC2B2AE3D27D4EB4F], np.uint64)
 _EDGE = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
 _DIGITS = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*")
@@ -75,33 +78,53 @@ class Templates(dict):
                 setattr(self, name, np.concatenate((old, np.zeros_like(old))))
         own = core(word)
         lower = own.lower()
+        plain = own.casefold()
         kind = first = _LITERAL
         if _DIGITS.fullmatch(own) or lower in NUMBERS or _NUMBER_UNIT.fullmatch(own):
             kind = first = _NUMBER
             if pair := _NUMBER_UNIT.fullmatch(own):
-                lower = "\x00" + ("\x01" if pair[2].lower() in UNITS else pair[2].lower())
+                plain = "\x00" + ("\x01" if pair[2].lower() in UNITS else pair[2].lower())
         elif own[0].isupper():
             kind = _NAME
         self.inside[at], self.first[at] = kind, first
         self.ends[at] = word.rstrip("\"')]»”’").endswith((".", "!", "?", ":", "…"))
         self.unit[at] = lower in UNITS
-        self.hashes[at] = xxhash.xxh3_64_intdigest(lower)
+        self.hashes[at] = xxhash.xxh3_64_intdigest(plain)
         self[word] = at
         return at
 
     def read(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Kinds and template hashes of all words in a row, and the texts' lengths. A unit
         counts as one behind a number only, a capital as a name inside a sentence only."""
+        kinds, hashes, _, _, lengths = self.readings(texts)
+        return kinds, hashes, lengths
+
+    def readings(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds, template hashes, the words' own hashes, the kinds that hold if nothing
+        is known of the word before, and lengths: a capital at a sentence's start may be a
+        name, a unit behind a number a plain word."""
         if len(self) > self.MOST:
             self._reset()
         lengths = np.array([len(t) for t in texts], np.int64)
         at = np.fromiter((self[w] for t in texts for w in t), np.int64, int(lengths.sum()))
         start = np.append(True, self.ends[at][:-1])[: len(at)]
         start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        kinds = np.where(start, self.first[at], self.inside[at])
+        inside = self.inside[at]
+        kinds = np.where(start, self.first[at], inside)
         after = np.append(False, kinds[:-1] == _NUMBER)[: len(at)] & ~start
-        kinds = np.where(after & self.unit[at] & (kinds != _NUMBER), _UNIT, kinds)
-        return kinds, np.where(kinds == _LITERAL, self.hashes[at], _KIND_HASH[kinds]), lengths
+        unit = after & self.unit[at] & (kinds != _NUMBER)
+        kinds = np.where(unit, _UNIT, kinds)
+        other = np.where(unit, _LITERAL, inside)
+        own = self.hashes[at]
+        return kinds, np.where(kinds == _LITERAL, own, _KIND_HASH[kinds]), own, other, lengths
+
+
+def _mix(size: int, n: int, column) -> np.ndarray:
+    mixed = np.full(n, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ column(k)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
 
 
 def _windows(hashes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +132,34 @@ def _windows(hashes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.nda
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    mixed = np.full(n, size, np.uint64)
-    for k in range(size):
-        mixed = (mixed ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
+    mixed = _mix(size, n, lambda k: hashes[k : k + n])
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))
     inside = np.flatnonzero(left[:n] >= size)
     return mixed[inside], inside
 
 
+def _all_windows(readings: tuple[np.ndarray, ...], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int | None]]:
+    """Hashes, places and word kinds of the windows of each reading, and the kind of their
+    first word if it is another: typed templates; the same with names as plain words of
+    any case; and both with the other reading of the first word, which alone hangs on what
+    stands before a copy."""
+    kinds, hashes, own, other, lengths = readings
+    typed, at = _windows(hashes, lengths, size)
+    yield typed, at, kinds, None
+    named = kinds == _NAME
+    plain_kinds, plain = np.where(named, _LITERAL, kinds), np.where(named, own, hashes)
+    if named.any():
+        lower = _windows(plain, lengths, size)[0]
+        differ = np.flatnonzero(lower != typed)
+        yield lower[differ], at[differ], plain_kinds, None
+    changed = at[kinds[at] != other[at]]
+    for kind, words_, kinds_ in ((_NAME, hashes, kinds), (_LITERAL, plain, plain_kinds)):
+        some = changed[other[changed] == kind]
+        if len(some):
+            first = np.full(len(some), _KIND_HASH[_NAME]) if kind == _NAME else own[some]
+            yield _mix(size, len(some), lambda k, w=words_, s=some, f=first: w[s + k] if k else f), some, kinds_, kind
+
+
 _ITEM_WINDOWS = "window long, size int, item_id long, item_tokens int, item_at int, item_slots string"
 
 
@@ -132,10 +174,13 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 words = (text or "").split()
                 if len(words) < LEAST:
                     continue
-                kinds, hashes, lengths = templates.read([words])
+                readings = templates.readings([words])
                 size = min(WINDOW, len(words))
-                for h, at in zip(*_windows(hashes, lengths, size), strict=True):
-                    out.append((int(h.astype(np.int64)), size, item, len(words), int(at), _slots(words, kinds, int(at), size)))
+                names = {core(w).casefold() for w, k in zip(words, readings[0], strict=True) if k == _NAME}
+                for found, places, kinds, first in _all_windows(readings, size):
+                    for h, at in zip(found, places.tolist(), strict=True):
+                        kind = _SAME if first == _NAME and core(words[at]).casefold() not in names else first
+                        out.append((int(h.astype(np.int64)), size, item, len(words), at, _slots(words, kinds, at, size, kind, True)))
             if out:
                 kinds_ = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names=_ITEM_WINDOWS.replace(",", "").split()[::2])
@@ -143,9 +188,12 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, _ITEM_WINDOWS)
 
 
-def _slots(words: list[str], kinds: np.ndarray, at: int, size: int) -> str:
-    """The window's slots: kind and value, by tab; literals are empty."""
-    return "\t".join(f"{kinds[k]}{core(words[k]).lower()}" if kinds[k] else "" for k in range(at, at + size))
+def _slots(words: list[str], kinds: np.ndarray, at: int, size: int, first: int | None = None, literals: bool = False) -> str:
+    """The window's slots: kind and value, by tab; literals are empty unless asked for."""
+    own = kinds[at : at + size].tolist()
+    if first is not None:
+        own[0] = first
+    return "\t".join(f"{kind}{core(words[at + k]).casefold()}" if kind or literals else "" for k, kind in enumerate(own))
 
 
 def _hash_map(windows: DataFrame) -> np.ndarray:
@@ -176,18 +224,20 @@ def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, prints = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [(t or "").split() for t in batch.column(1).to_pylist()]
-            kinds, hashes, lengths = templates.read(texts)
+            readings = templates.readings(texts)
+            lengths = readings[-1]
             starts = np.cumsum(lengths) - lengths
             out = []
             for size in sizes:
-                found, at = _windows(hashes, lengths, size)
-                place = (found >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                maybe = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-                for k in np.flatnonzero(maybe).tolist():
-                    here = int(at[k])
-                    d = int(np.searchsorted(starts, here, "right")) - 1
-                    first = int(starts[d])
-                    out.append((ids[d], prints[d], int(found[k].astype(np.int64)), size, here - first, _slots(texts[d], kinds[first : first + len(texts[d])], here - first, size)))
+                for found, at, kinds, kind in _all_windows(readings, size):
+                    place = (found >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    maybe = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+                    for k in np.flatnonzero(maybe).tolist():
+                        here = int(at[k])
+                        d = int(np.searchsorted(starts, here, "right")) - 1
+                        first = int(starts[d])
+                        own = _slots(texts[d], kinds[first : first + len(texts[d])], here - first, size, kind)
+                        out.append((ids[d], prints[d], int(found[k].astype(np.int64)), size, here - first, own))
             if out:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=_HITS.replace(",", "").split()[::2])
@@ -195,6 +245,21 @@ def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _HITS)
 
 
+def _read_window(window: tuple[int, int, int, str, str]) -> tuple[int, int, int, list[tuple[str, str]], list[str]] | None:
+    """The window with its pairs of slot values, empty for literals, and its literals;
+    None if a word that has to be the same is another."""
+    item_at, doc_at, size, own, other = window
+    pairs, literals = [], []
+    for a, b in zip(own.split("\t"), other.split("\t"), strict=True):
+        if a.startswith(str(_SAME)) and a[1:] != b[1:]:
+            return None
+        if a[:1] in ("", str(_LITERAL), str(_SAME)):
+            literals.append(a[1:])
+            a = b = ""
+        pairs.append((a, b))
+    return item_at, doc_at, size, pairs, literals
+
+
 def judge(windows: list[tuple[int, int, int, str, str]], item_tokens: int) -> tuple[float, float, int]:
     """(coverage, consistency, slots) of a document for an item.
 
@@ -204,16 +269,17 @@ def judge(windows: list[tuple[int, int, int, str, str]], item_tokens: int) -> tu
     share of the item's tokens that the windows cover, and the share of slot values that
     follow one renaming, of the item's values to the document's and back.
     """
-    good = [w for w in windows if w[3] == w[4] or w[2] - sum(map(bool, w[3].split("\t"))) >= -(-LITERALS * w[2] // WINDOW)]
+    read = [r for w in windows if (r := _read_window(w))]
+    good = [w for w in read if all(not a or a == b for a, b in w[3]) or sum(not a for a, _ in w[3]) >= -(-LITERALS * w[2] // WINDOW)]
     aligned = defaultdict(list)
     for w in good:
         aligned[w[1] - w[0]].append(w)
     best = (0.0, 0.0, 0)
     for group in [*aligned.values(), *([good] if len(aligned) > 1 else [])]:
         covered, places = set(), {}
-        for item_at, doc_at, size, own, other in group:
+        for item_at, doc_at, size, pairs, _ in group:
             covered.update(range(item_at, item_at + size))
-            for k, (a, b) in enumerate(zip(own.split("\t"), other.split("\t"), strict=True)):
+            for k, (a, b) in enumerate(pairs):
                 if a:
                     places[item_at + k, doc_at + k] = (a, b)
         there, back = defaultdict(Counter), defaultdict(Counter)
