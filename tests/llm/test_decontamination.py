@@ -62,6 +62,18 @@ def test_copies_match_whatever_stands_before_them_and_whatever_their_case(docs,
     assert pairs(contaminated(docs(rows), given)) == want
 
 
+def test_alignments_of_many_slots(docs, items):
+    bench = {1: "Compute 12 + 5 * 3 - 7 + 9 * 4", 2: "Sort 7, 3, 9, 1, 4, 8, 2, 6 in ascending order", 3: "Give 4 kg to Anna and 7 kg to Bob and 9 kg to Carl and 4 l to Anna",
+             4: "1 , 2 , 3 , 4 , 5 , 6 , 7 , 8", 5: "3 5 7 9 11 13 15 17 19 21 23 25"}
+    given = items.sparkSession.createDataFrame(list(bench.items()), "item_id long, text string")
+    rows = [
+        (1, "we ask: Compute 31 + 8 * 6 - 2 + 5 * 9 now"), (2, "Sort 5, 1, 6, 2, 9, 7, 3, 4 in ascending order"),
+        (3, "then Give 5 g to Tom and 3 g to Eve and 8 g to Max and 5 m to Tom"), (4, "30 , 20 , 33 , 41 , 53 , 60 , 71 , 88"), (5, " ".join(map(str, range(100, 180, 3)))),
+        (6, "Sort 5, 5, 6, 6, 9, 9, 3, 3 in ascending order"), (7, "Give 5 g to Tom and 5 g to Tom and 5 g to Tom and 1 m to Max"),
+    ]
+    assert pairs(contaminated(docs(rows), given)) == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_inconsistent_slots_are_no_leak(docs, items):
     """The numbers of one slot value go to different values."""
     item = "If 7 men need 7 days for 7 walls and each man takes 7 breaks then how long do they all work"

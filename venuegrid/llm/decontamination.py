@@ -20,8 +20,10 @@ from .common import slices, written
 WINDOW = 8
 LEAST = 4
 #: Literal tokens that a window needs (a shorter one in proportion) so that its template
-#: alone is evidence. With fewer, its slots have to hold the item's own values.
+#: alone is evidence. With fewer, its slots have to hold the item's own values, or the
+#: whole alignment has to be evidence, where SLOTS consistent slots weigh as one literal.
 LITERALS = 5
+SLOTS = 4
 #: Share of an item's tokens that consistent windows have to cover, and share of the slots
 #: that have to agree.
 COVERAGE = 0.5
@@ -263,32 +265,41 @@ def _read_window(window: tuple[int, int, int, str, str]) -> tuple[int, int, int,
 def judge(windows: list[tuple[int, int, int, str, str]], item_tokens: int) -> tuple[float, float, int]:
     """(coverage, consistency, slots) of a document for an item.
 
-    ``windows`` are (item place, document place, size, item slots, document slots). Those
-    with few literals count only if their slots are the item's own. Each alignment of
-    item and document is judged by itself and all together; the best is returned: the
-    share of the item's tokens that the windows cover, and the share of slot values that
-    follow one renaming, of the item's values to the document's and back.
+    ``windows`` are (item place, document place, size, item slots, document slots). Each
+    alignment of item and document is judged by itself and all together, if its windows
+    as a whole are evidence: with as many different literals as one window needs, of
+    which slots that follow the renaming may stand for up to half, four for one literal.
+    Windows that are evidence by themselves, by literals or by the item's own slots, are
+    also judged without the others. The best is returned: the share of the item's tokens
+    that the windows cover, and the share of slot values that follow one renaming, of the
+    item's values to the document's and back.
     """
     read = [r for w in windows if (r := _read_window(w))]
     good = [w for w in read if all(not a or a == b for a, b in w[3]) or sum(not a for a, _ in w[3]) >= -(-LITERALS * w[2] // WINDOW)]
-    aligned = defaultdict(list)
-    for w in good:
-        aligned[w[1] - w[0]].append(w)
     best = (0.0, 0.0, 0)
-    for group in [*aligned.values(), *([good] if len(aligned) > 1 else [])]:
-        covered, places = set(), {}
-        for item_at, doc_at, size, pairs, _ in group:
-            covered.update(range(item_at, item_at + size))
-            for k, (a, b) in enumerate(pairs):
-                if a:
-                    places[item_at + k, doc_at + k] = (a, b)
-        there, back = defaultdict(Counter), defaultdict(Counter)
-        for a, b in places.values():
-            there[a][b] += 1
-            back[b][a] += 1
-        agreed = min(sum(max(c.values()) for c in m.values()) for m in (there, back))
-        share = agreed / len(places) if places else 1.0
-        best = max(best, (len(covered) / item_tokens if share >= CONSISTENCY else 0.0, share, len(places)))
+    for some, weighed in ((good, False), (read, True)):
+        if weighed and len(good) == len(read):
+            break
+        aligned = defaultdict(list)
+        for w in some:
+            aligned[w[1] - w[0]].append(w)
+        for group in [*aligned.values(), *([some] if len(aligned) > 1 else [])]:
+            covered, places, literals = set(), {}, set()
+            for item_at, doc_at, size, pairs, words in group:
+                covered.update(range(item_at, item_at + size))
+                literals.update(words)
+                for k, (a, b) in enumerate(pairs):
+                    if a:
+                        places[item_at + k, doc_at + k] = (a, b)
+            there, back = defaultdict(Counter), defaultdict(Counter)
+            for a, b in places.values():
+                there[a][b] += 1
+                back[b][a] += 1
+            agreed = min(sum(max(c.values()) for c in m.values()) for m in (there, back))
+            share = agreed / len(places) if places else 1.0
+            if weighed and len(literals) + min(len(literals), agreed / SLOTS) < LITERALS:
+                continue
+            best = max(best, (len(covered) / item_tokens if share >= CONSISTENCY else 0.0, share, len(places)))
     return best
 
 
