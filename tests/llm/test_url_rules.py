@@ -69,3 +69,25 @@ def test_mined_rules_judge_new_urls(spark, labelled):
     got = {r["page_id"]: r["verdict"] for r in judge_urls(pages, labelled, URL_RULES).collect()}
     assert [got[10_000 + i] for i, _ in new] == ["block", "allow", "allow", "allow"]
     assert not re.search("Python|Pandas|Arrow", judge_urls(pages, labelled, URL_RULES)._jdf.queryExecution().toString())
+
+
+@pytest.mark.parametrize("common", ["allow", "block"])
+def test_the_common_verdict_has_rules(spark, common):
+    """Most URLs of a directory have the rare verdict, those of one site in it never."""
+    rows = [(f"http://a{k % 7}.net/{'x' if k < 100 else 'y'}/{k}?n=1", k < 100) for k in range(400)]
+    rows += [(f"http://good.net/x/{k}?n=1", False) for k in range(40)]
+    labels = spark.createDataFrame([(i, u, rare == (common == "allow")) for i, (u, rare) in enumerate(rows)], "page_id long, url string, blocked boolean")
+    new = [(1000, "http://good.net/x/7?n=2"), (1001, "http://a1.net/x/7?n=2"), (1002, "http://a1.net/y/7?n=2")]
+    pages = labels.select("page_id", "url").unionByName(spark.createDataFrame(new, "page_id long, url string"))
+    got = {r["page_id"]: (r["verdict"], r["by_mined_rule"]) for r in judge_urls(pages, labels, URL_RULES).collect()}
+    rare = "block" if common == "allow" else "allow"
+    assert [got[i] for i, _ in new] == [(common, True), (rare, True), (common, True)]
+
+
+def test_a_clear_rule_of_the_rare_verdict_outdoes_a_common_one(spark):
+    rows = [(f"https://ok{k % 9}.net/{k}", k % 20 == 0) for k in range(360)] + [(f"http://ok{k % 9}.net/{k}", k % 8 == 0) for k in range(240)]
+    rows += [(f"https://bad.net/{k}", k % 10 < 7) for k in range(40)]
+    labels = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "page_id long, url string, blocked boolean")
+    pages = spark.createDataFrame([(1000, "https://bad.net/7"), (1001, "https://ok3.net/7")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(labels.select("page_id", "url").unionByName(pages), labels, URL_RULES).collect()}
+    assert got[1000] == "block" and got[1001] == "allow"

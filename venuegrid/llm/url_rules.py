@@ -18,6 +18,9 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 20
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
+#: Part of the way from a verdict's share of all labels to certainty that a rule has to
+#: go: a bound that a verdict of any share can pass, which a lift is not.
+MIN_GAIN = 0.2
 LABELS = ("label=allow", "label=block")
 
 
@@ -68,15 +71,18 @@ def mine_rules(
     min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
     min_lift: float = MIN_LIFT,
+    min_gain: float | None = None,
 ) -> DataFrame:
-    """Rules (items, verdict, support, confidence) that FP-growth finds in ``labelled``
+    """Rules (items, verdict, support, confidence, gain) that FP-growth finds in ``labelled``
     (url, blocked boolean).
 
     A rule is a combination of tokens whose URLs have one verdict with at least
     ``min_confidence``, ``min_lift`` times as often as all URLs, and in ``min_support``
-    of all (or ``min_count`` of them, if that is more). A rule is pruned if one of its
-    parts, a token less, is a rule with the same verdict and no less confidence. No
-    labelled row gives no rule.
+    of all (or ``min_count`` of them, if that is more). With ``min_gain`` the lift does
+    not count; the gain, by which the confidence exceeds the verdict's share, as a part
+    of what the share leaves to 1, then has to reach it, as rules of both verdicts can. A rule is pruned if
+    one of its parts, a token less, is a rule with the same verdict and no less
+    confidence. No labelled row gives no rule.
     """
     baskets = written(
         labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select(
@@ -96,11 +102,13 @@ def mine_rules(
     shares = sets.where((F.size("items") == 1) & F.arrays_overlap("items", labels)).select(
         F.substring_index(F.col("items")[0], "=", -1).alias("verdict"), (F.col("freq") / F.lit(max(n, 1))).alias("share")
     )
+    enough = F.col("share") * min_lift if min_gain is None else F.col("share") + (1 - F.col("share")) * min_gain
     rules = written(
         joint.join(sets, "items")
         .join(shares, "verdict")
         .select("items", "verdict", F.col("both").alias("support"), (F.col("both") / F.col("freq")).alias("confidence"), "share")
-        .where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share")))
+        .where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= enough))
+        .withColumn("gain", F.coalesce(F.try_divide(F.col("confidence") - F.col("share"), 1 - F.col("share")), F.lit(0.0)))
         .drop("share"),
         "url-rules",
     )
@@ -113,35 +121,40 @@ def mine_rules(
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct ``url`` that some rule fits: the verdict of the rule with the
-    highest confidence, then support, then most tokens (``block`` before ``allow``).
+    highest gain, then confidence, support and most tokens (``block`` before ``allow``).
+    Among rules of one verdict gain is confidence; by confidence alone any rule of the
+    common verdict would outdo a clear one of the rare verdict.
 
     Tokens are looked up in an inverted index of the rules; a rule fits if as many of the
     URL's tokens point to it as it has.
     """
     numbered = rules.withColumn("rule_id", F.xxhash64("items", "verdict"))
     index = written(
-        numbered.select(F.explode("items").alias("item"), "rule_id", "verdict", "support", "confidence", F.size("items").alias("n_items")), "url-index"
+        numbered.select(F.explode("items").alias("item"), "rule_id", "verdict", "support", "confidence", "gain", F.size("items").alias("n_items")), "url-index"
     )
     items = urls.where("url IS NOT NULL").select("url").distinct().select("url", F.explode(url_items(F.col("url"))).alias("item"))
     fits = (
         items.join(index, "item")
-        .groupBy("url", "rule_id", "verdict", "support", "confidence", "n_items")
+        .groupBy("url", "rule_id", "verdict", "support", "confidence", "gain", "n_items")
         .agg(F.count(F.lit(1)).alias("found"))
         .where("found = n_items")
     )
-    return fits.groupBy("url").agg(F.max(F.struct("confidence", "support", "n_items", "verdict")).alias("best")).select("url", F.col("best.verdict").alias("mined"))
+    return fits.groupBy("url").agg(F.max(F.struct("gain", "confidence", "support", "n_items", "verdict")).alias("best")).select("url", F.col("best.verdict").alias("mined"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Rules, **mining: float) -> DataFrame:
     """page_id, host, path, rule, verdict and whether the verdict was mined.
 
     ``labels`` (page_id, blocked) teach the association rules, which judge the URLs that
-    no fixed rule fits; what no rule fits at all is allowed. Null URLs and those without
+    no fixed rule fits; what no rule fits at all is allowed. Rules of both verdicts are
+    mined, by ``min_gain`` unless ``min_lift`` is given. Null URLs and those without
     ``://`` have an empty host and path and are allowed unless mined rules fit; rows with
     equal ids are judged each for itself; an empty table gives no rows.
     """
     own = pages.select("page_id", "url")
     taught = own.where("page_id IS NOT NULL").join(labels.select("page_id", "blocked"), "page_id").select("url", "blocked")
+    if "min_lift" not in mining:
+        mining = {"min_gain": MIN_GAIN, **mining}
     mined_rules = mine_rules(taught, **mining)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = own.select("page_id", "url", host.alias("host"), path.alias("path"))
