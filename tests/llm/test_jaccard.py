@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from venuegrid.llm import jaccard
 from venuegrid.llm.components import components
-from venuegrid.llm.jaccard import local_links, near_duplicates, prefix_plan
+from venuegrid.llm.jaccard import link_counts, linked_texts, local_links, near_duplicates, prefix_plan
 from document_tables import docs  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,3 +122,27 @@ def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("unit, hot", [(jaccard.UNIT_SHINGLES, 1000), (300, 8)])
+def test_all_links_equal_brute_force(spark, docs, unit, hot):
+    rows = corpus(random.Random(unit + 1))
+    sets = {i: shingles(t) for i, t in rows}
+    words = {i: tuple(WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))) for i, t in rows}
+    least = {}
+    for i in sorted(words):
+        least.setdefault(words[i], i)
+    links, pairs = dict.fromkeys(sets, 0), {}
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if a != b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                links[a] += 1
+                if least[words[a]] == a and least[words[b]] == b and a < b:
+                    pairs[a, b] = len(x & y) / len(x | y)
+    found = linked_texts(docs(rows), unit=unit, hot_share=0.0, hot_texts=hot).persist()
+    got = {tuple(sorted((r["least_1"], r["least_2"]))): r["jaccard"] for r in found.collect()}
+    assert found.count() == len(got) > 100
+    assert got == pytest.approx(pairs)
+    assert {r["doc_id"]: r["n_links"] for r in link_counts(docs(rows), unit=unit, hot_share=0.0, hot_texts=hot).collect()} == links
+    assert linked_texts(docs([])).count() == 0 and link_counts(docs([])).count() == 0

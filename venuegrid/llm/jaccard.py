@@ -292,13 +292,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray | None = None, every: bool = False) -> list[tuple[int, ...]]:
     """Links that join the texts' groups, as pairs of keys; pairs inside a group that
     earlier links have made are not looked at. With ``sides`` only pairs across count.
 
     Texts come in order of size and look up the smaller ones in their prefixes' lists.
     Candidates of the length and with the matches needed are verified on the whole sets:
-    first the best of each group, then all whose group is not joined yet.
+    first the best of each group, then all whose group is not joined yet. With ``every``
+    all are verified whatever their group, and links come with their shared shingles.
     """
     order = np.argsort(sizes, kind="stable")
     lengths = np.array([len(prefixes[i]) for i in order])
@@ -317,7 +318,7 @@ def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefix
 
     def verify(d: int, some: np.ndarray) -> np.ndarray:
         own = np.sort(sets[order[d]])
-        good = np.zeros(len(some), bool)
+        common = np.zeros(len(some), np.int64)
         at = 0
         while at < len(some):
             end, total = at, 0
@@ -327,10 +328,12 @@ def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefix
             theirs = [sets[order[c]] for c in some[at:end]]
             values = np.concatenate(theirs)
             found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-            shared = np.add.reduceat(found.astype(np.int64), np.append(0, np.cumsum([len(t) for t in theirs])[:-1]))
-            good[at:end] = _linked(shared, n[d], n[some[at:end]])
+            common[at:end] = np.add.reduceat(found.astype(np.int64), np.append(0, np.cumsum([len(t) for t in theirs])[:-1]))
             at = end
-        return good
+        return common
+
+    def linked(d: int, some: np.ndarray) -> np.ndarray:
+        return some[_linked(verify(d, some), n[d], n[some])]
 
     def unite(d: int, some: np.ndarray) -> None:
         for c in some.tolist():
@@ -343,20 +346,25 @@ def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefix
         if not met:
             continue
         some, shared = np.unique(np.concatenate(met), return_counts=True)
-        fits = (group[some] != group[d]) & (n[some] * 100 >= PERCENT * n[d]) & (shared >= np.minimum(need[some], need[d]))
+        fits = (every | (group[some] != group[d])) & (n[some] * 100 >= PERCENT * n[d]) & (shared >= np.minimum(need[some], need[d]))
         if side is not None:
             fits &= side[some] != side[d]
         some, shared = some[fits], shared[fits]
         if not len(some):
             continue
+        if every:
+            common = verify(d, some)
+            for k in np.flatnonzero(_linked(common, n[d], n[some])).tolist():
+                links.append((int(keys[order[d]]), int(keys[order[some[k]]]), int(common[k])))
+            continue
         best = np.lexsort((-shared, group[some]))
         best = best[np.append(True, np.diff(group[some[best]]) != 0)]
         tried = some[best]
-        unite(d, tried[verify(d, tried)])
+        unite(d, linked(d, tried))
         rest = np.setdiff1d(some, tried)
         rest = rest[group[rest] != group[d]]
         if len(rest):
-            unite(d, rest[verify(d, rest)])
+            unite(d, linked(d, rest))
     return links
 
 
@@ -405,23 +413,9 @@ def _units(members: DataFrame, unit: int) -> DataFrame:
     return small.unionByName(cut.join(ones.unionByName(sides), "block").select("key", "unit", "side"))
 
 
-def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, group_id (equal for linked documents, whatever
-    their ids; null without shingles) and text_hash (of the whole text).
-
-    Exact: every pair of different texts at or above the threshold connects its
-    documents. Equal word sequences are one text from the start. Shingles of one text
-    only are dropped, then texts that share too few of theirs; what is left is indexed
-    by adaptive prefixes. Texts that the index lists connect are clusters of candidates;
-    small clusters are joined in one task each. In a cluster too large for one, texts are
-    first linked to hubs of their lists, which mostly makes it one component without
-    forming its pairs, and then blocks of what is still apart meet each other.
-
-    Null and empty texts, and those without a word, have no shingles and are linked with
-    nothing; ties of ids do not matter; repeated rows have one component; a null doc_id
-    belongs to its component but does not name it; extra columns are ignored; an empty
-    table gives no rows.
-    """
+def _joinable(docs: DataFrame, hot_share: float, hot_texts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A row for each document; the different texts; those that may have a partner, with
+    their prefixes; and these with their clusters of candidates."""
     keyed = written(_keys(docs), "join-keys")
     rows = keyed.where("key IS NOT NULL").select("doc_id", "key", "n", "text_hash")
     texts = written(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("least")), "join-texts")
@@ -442,6 +436,27 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
     members = written(
         sets.select("key", (F.octet_length("shingles") / 8).cast("long").alias("weight")).join(clusters.withColumnsRenamed({"node": "key", "component": "cluster"}), "key"), "join-members"
     )
+    return rows, texts, sets, members
+
+
+def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """doc_id, n_shingles, component_id, group_id (equal for linked documents, whatever
+    their ids; null without shingles) and text_hash (of the whole text).
+
+    Exact: every pair of different texts at or above the threshold connects its
+    documents. Equal word sequences are one text from the start. Shingles of one text
+    only are dropped, then texts that share too few of theirs; what is left is indexed
+    by adaptive prefixes. Texts that the index lists connect are clusters of candidates;
+    small clusters are joined in one task each. In a cluster too large for one, texts are
+    first linked to hubs of their lists, which mostly makes it one component without
+    forming its pairs, and then blocks of what is still apart meet each other.
+
+    Null and empty texts, and those without a word, have no shingles and are linked with
+    nothing; ties of ids do not matter; repeated rows have one component; a null doc_id
+    belongs to its component but does not name it; extra columns are ignored; an empty
+    table gives no rows.
+    """
+    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts)
     large = members.groupBy("cluster").agg(F.sum("weight").alias("total")).where(F.col("total") > unit).select("cluster")
     dense = written(members.join(large, "cluster").select("key").join(sets, "key"), "join-dense")
     links = None
@@ -474,6 +489,58 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
     return rows.join(by_text, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), "group_id", "text_hash")
 
 
+def linked_texts(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """Every pair of different texts at or above the threshold: text_1 < text_2 (keys of
+    word sequences), n_shingles_1, n_shingles_2, shared, jaccard, least_1, least_2 (the
+    smallest doc_id of each), copies_1, copies_2 (documents of each) and document_pairs,
+    the pairs of documents that the row stands for.
+
+    Exact, and all of the join: unlike in ``near_duplicates`` no pair is passed over
+    because others connect its texts already. All candidates of a cluster are verified,
+    in blocks by size that each meet each other once. Pairs of equal texts are not
+    formed; ``link_counts`` has them.
+    """
+    return _linked_texts(docs, unit, hot_share, hot_texts)[1]
+
+
+def _linked_texts(docs: DataFrame, unit: int, hot_share: float, hot_texts: int) -> tuple[DataFrame, DataFrame]:
+    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts)
+    members = members.withColumn("part", F.col("key"))
+    dealt = _units(members, unit).join(sets, "key")
+
+    def join_unit(key, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = rows["side"].to_numpy()
+        values = [np.frombuffer(x, "<i8") for x in rows["shingles"]]
+        prefixes = [np.asarray(x, np.int64) for x in rows["prefix"]]
+        got = local_links(
+            rows["key"].to_numpy(), rows["n"].to_numpy(), rows["matches"].to_numpy(), prefixes, values, np.arange(len(rows)), sides if sides.any() else None, True
+        )
+        return pd.DataFrame(got, columns=["a", "b", "shared"], dtype="int64")
+
+    links = written(dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long, shared long"), "join-pairs")
+    copies = rows.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    known = written(texts.join(copies, "key"), "join-copies")
+    side = lambda i: known.select(
+        F.col("key").alias(f"text_{i}"), F.col("n").alias(f"n_shingles_{i}"), F.col("least").alias(f"least_{i}"), F.col("copies").alias(f"copies_{i}")
+    )
+    named = links.select(F.least("a", "b").alias("text_1"), F.greatest("a", "b").alias("text_2"), "shared").join(side(1), "text_1").join(side(2), "text_2")
+    return rows.join(known.select("key", "copies"), "key", "left"), named.select(
+        "text_1", "text_2", "n_shingles_1", "n_shingles_2", "shared", (F.col("shared") / (F.col("n_shingles_1") + F.col("n_shingles_2") - F.col("shared"))).alias("jaccard"),
+        "least_1", "least_2", "copies_1", "copies_2", (F.col("copies_1") * F.col("copies_2")).alias("document_pairs"),
+    )
+
+
+def link_counts(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """doc_id, text_hash and n_links, the number of other documents that each document
+    links with: copies, counted by arithmetic, and the documents of all linked texts.
+    Documents without shingles have none."""
+    rows, pairs = _linked_texts(docs, unit, hot_share, hot_texts)
+    ends = F.inline(F.array(*[F.struct(F.col(f"text_{i}").alias("key"), F.col(f"copies_{3 - i}").alias("others")) for i in (1, 2)]))
+    others = pairs.select(ends).groupBy("key").agg(F.sum("others").alias("others"))
+    n_links = F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(0)
+    return rows.join(others, "key", "left").select("doc_id", "text_hash", n_links.cast("long").alias("n_links"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the
     smallest id (null after all others), then the smallest hash of its text.
