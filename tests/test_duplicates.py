@@ -137,6 +137,27 @@ def test_copies_are_counted_but_not_paired(spark):
     assert one["name_similarity"] == round(one["name_similarity"], 3) and one["id_1"] < one["id_2"]
 
 
+def test_pairs_of_keys_stand_for_all_pairs_of_rows(spark):
+    rng = random.Random(9)
+    rows = variants(rng, 60, BASES[:3])
+    rows += [(1000 + 7 * i, *rng.choice(rows)[1:3], 2.0) for i in range(60)]
+    pool = keyed(spark.createDataFrame(variants(random.Random(3), 250, BASES), SCHEMA))
+    one_way = next((a, b) for a, b in combinations(pool, 2) if is_pair(b, a, 0.85) != is_pair(a, b, 0.85))
+    one_way = one_way if is_pair(*one_way[::-1], 0.85) else one_way[::-1]
+    rows += [(5000 + i, *one_way[k][1:3], 2.0) for i, k in enumerate([0, 1, 0, 1, 0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(keyed(df))
+    keys = duplicates.duplicate_keys(df, limits=Limits(4, 7)).persist()
+    count = duplicates.count_duplicates(df).first()[0]
+    report = duplicates.duplicate_report(df).persist()
+    assert count == len(want) == report.agg(F.sum("row_pairs")).first()[0]
+    assert report.where("kind = 'similar copies' AND id_1 = 5000 AND id_2 = 5001").first()["row_pairs"] == 3
+    texts = {r[0]: r[1:3] for r in keyed(df)}
+    got = {(r[0], r[1]): (r[2], r[3]) for r in duplicates.expand_pairs(df, keys).collect()}
+    assert got == {p: s for p, s in want.items() if texts[p[0]] != texts[p[1]]}
+    assert keys.agg(F.sum("row_pairs")).first()[0] == len(got)
+
+
 def test_exact_dedupe_keeps_the_first(spark):
     rows = [(5, "Warung A", "x", 3.0), (2, "a", "X ", 5.0), (9, "A.", "x", 4.0), (4, "a", "y", 1.0), (7, None, None, 1.0), (8, "", "", 2.0)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
