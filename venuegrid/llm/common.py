@@ -37,6 +37,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one run of an operator, in a folder of their own below the
+    one that the cluster shares.
+
+    Each is written as Parquet and read again, as by ``written``. Once later tables are
+    written, ``drop`` deletes those that only they came from, so that a run holds no more
+    than what its result still reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, run_folder(spark, name)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; others that were derived from them have to be written."""
+        for df in tables:
+            delete_folder(self.spark, self.paths.pop(id(df))[1])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = set(map(id, tables))
+        self.drop(*[df for df, _ in list(self.paths.values()) if id(df) not in kept])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

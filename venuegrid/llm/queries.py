@@ -14,6 +14,7 @@ from .jaccard import near_duplicates
 from .language import identify
 from .lattice import score_documents
 from .packing import pack_documents
+from .prefix_trie import conversation_trie
 from .quality import judge_quality
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -83,6 +84,11 @@ def lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), id_crc(F.col("doc_id")) % 7 != 2, PIECES)
 
 
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": decontamination,
     "op2_language": language,
@@ -94,5 +100,6 @@ QUERIES: dict[str, Query] = {
     "op8_packing": packing,
     "op9_secret_scan": secret_scan,
     "op10_lattice_score": lattice_score,
+    "op12_prefix_trie": prefix_trie,
 }
 CHECKS: dict[str, str] = {}
