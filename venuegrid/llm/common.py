@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -41,9 +42,9 @@ class Scratch:
     """The intermediate tables of one run of an operator, in a folder of their own below the
     one that the cluster shares.
 
-    Each is written as Parquet and read again, as by ``written``. Once later tables are
-    written, ``drop`` deletes those that only they came from, so that a run holds no more
-    than what its result still reads.
+    Each is written as Parquet and read again, as by ``written``; the shuffle files of the
+    job that wrote it go with the job. Once later tables are written, ``drop`` deletes those
+    that only they came from, so that a run holds no more than what its result still reads.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -52,7 +53,8 @@ class Scratch:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        with _shuffles_released(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -68,6 +70,18 @@ class Scratch:
         self.drop(*[df for df, _ in list(self.paths.values()) if id(df) not in kept])
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here delete their shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote, in whatever file system it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

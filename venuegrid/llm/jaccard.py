@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import Scratch, slices
 from .components import components
 
 WORDS = 5
@@ -375,7 +375,7 @@ def _hub_links(postings: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     return _verified(pairs, sets)
 
 
-def _units(members: DataFrame, unit: int) -> DataFrame:
+def deal_units(members: DataFrame, unit: int, scratch: Scratch) -> DataFrame:
     """Deal texts (key, cluster, part, weight) to units of work: (key, unit, side).
 
     Small clusters share units, side 0. A larger one is cut into blocks of about ``unit``
@@ -386,7 +386,7 @@ def _units(members: DataFrame, unit: int) -> DataFrame:
     totals = members.groupBy("cluster").agg(F.sum("weight").alias("total"))
     parts = members.groupBy("cluster", "part").agg(F.sum("weight").alias("own"))
     rest = parts.where(F.col("own") <= unit).groupBy("cluster").agg(F.sum("own").alias("rest"))
-    sized = written(
+    sized = scratch.written(
         parts.join(totals, "cluster")
         .join(rest, "cluster", "left")
         .select(
@@ -403,22 +403,22 @@ def _units(members: DataFrame, unit: int) -> DataFrame:
     placed = members.join(sized, ["cluster", "part"])
     small = placed.where(F.col("total") <= unit).select("key", F.pmod(F.xxhash64("cluster"), F.lit(small_units)).alias("unit"), F.lit(0).alias("side"))
     block = F.when(F.col("large"), F.xxhash64("part", F.pmod(F.xxhash64("key"), F.col("n_own")))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("part"), F.col("n_rest"))))
-    cut = written(placed.where(F.col("total") > unit).select("key", "cluster", block.alias("block"), F.when(F.col("large"), F.col("part")).alias("only")), "join-blocks")
+    cut = scratch.written(placed.where(F.col("total") > unit).select("key", "cluster", block.alias("block"), F.when(F.col("large"), F.col("part")).alias("only")), "join-blocks")
     blocks = cut.select("cluster", "block", "only").distinct()
     other = blocks.select("cluster", F.col("block").alias("block_2"), F.col("only").alias("only_2"))
     pairs = blocks.join(other, "cluster").where("block <= block_2 AND coalesce(only <> only_2, true)").where("block < block_2 OR only IS NULL")
-    named = written(pairs.select("block", "block_2", F.xxhash64("cluster", "block", "block_2").alias("unit")), "join-units")
+    named = scratch.written(pairs.select("block", "block_2", F.xxhash64("cluster", "block", "block_2").alias("unit")), "join-units")
     sides = named.where("block < block_2").select(F.col("block_2").alias("block"), "unit", F.lit(2).alias("side"))
     ones = named.select("block", "unit", F.when(F.col("block") < F.col("block_2"), 1).otherwise(0).alias("side"))
     return small.unionByName(cut.join(ones.unionByName(sides), "block").select("key", "unit", "side"))
 
 
-def _joinable(docs: DataFrame, hot_share: float, hot_texts: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _joinable(docs: DataFrame, hot_share: float, hot_texts: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """A row for each document; the different texts; those that may have a partner, with
     their prefixes; and these with their clusters of candidates."""
-    keyed = written(_keys(docs), "join-keys")
+    keyed = scratch.written(_keys(docs), "join-keys")
     rows = keyed.where("key IS NOT NULL").select("doc_id", "key", "n", "text_hash")
-    texts = written(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("least")), "join-texts")
+    texts = scratch.written(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("least")), "join-texts")
     n_texts, n_shingles = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = keyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(hot_texts, hot_share * n_texts))
     found = sorted((r["shingle"], r["texts"]) for r in frequent.collect())
@@ -428,18 +428,18 @@ def _joinable(docs: DataFrame, hot_share: float, hot_texts: int) -> tuple[DataFr
     held = _shared_shingles(docs, hot, hot_counts, buckets, buckets)
     signed = F.col("key")
     part = F.pmod(F.pmod(signed.cast("decimal(20,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")), F.lit(buckets)).cast("int")
-    sets = written(_candidates(held, texts.select("key", "n", part.alias("part"))), "join-sets")
+    sets = scratch.written(_candidates(held, texts.select("key", "n", part.alias("part"))), "join-sets")
     postings = sets.select("key", F.explode("prefix").alias("token"))
     least = postings.groupBy("token").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
     stars = postings.join(least, "token").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    clusters = written(components(stars, "join-clusters"), "join-clusters")
-    members = written(
+    clusters = scratch.written(components(stars, "join-star", scratch), "join-clusters")
+    members = scratch.written(
         sets.select("key", (F.octet_length("shingles") / 8).cast("long").alias("weight")).join(clusters.withColumnsRenamed({"node": "key", "component": "cluster"}), "key"), "join-members"
     )
     return rows, texts, sets, members
 
 
-def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, group_id (equal for linked documents, whatever
     their ids; null without shingles) and text_hash (of the whole text).
 
@@ -456,19 +456,20 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
     belongs to its component but does not name it; extra columns are ignored; an empty
     table gives no rows.
     """
-    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts)
+    scratch = scratch or Scratch(docs.sparkSession, "join")
+    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts, scratch)
     large = members.groupBy("cluster").agg(F.sum("weight").alias("total")).where(F.col("total") > unit).select("cluster")
-    dense = written(members.join(large, "cluster").select("key").join(sets, "key"), "join-dense")
+    dense = scratch.written(members.join(large, "cluster").select("key").join(sets, "key"), "join-dense")
     links = None
     parts = None
     if not dense.isEmpty():
         lists = dense.select("key", F.explode("prefix").alias("token"))
-        links = written(_hub_links(lists, dense, 1).unionByName(_hub_links(lists, dense, 2)), "join-hub-links")
-        parts = written(components(links, "join-parts"), "join-parts").withColumnsRenamed({"node": "key", "component": "part"})
-        members = written(members.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "join-members")
+        links = scratch.written(_hub_links(lists, dense, 1).unionByName(_hub_links(lists, dense, 2)), "join-hub-links")
+        parts = scratch.written(components(links, "join-part", scratch), "join-parts").withColumnsRenamed({"node": "key", "component": "part"})
+        members = scratch.written(members.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "join-members")
     else:
         members = members.withColumn("part", F.col("key"))
-    dealt = _units(members, unit).join(members.select("key", "part"), "key").join(sets, "key")
+    dealt = deal_units(members, unit, scratch).join(members.select("key", "part"), "key").join(sets, "key")
 
     def join_unit(key, rows: pd.DataFrame) -> pd.DataFrame:
         sides = rows["side"].to_numpy()
@@ -480,11 +481,11 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
 
     local = dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long")
     every = local if links is None else local.unionByName(links)
-    joined = components(every, "join-components").withColumnsRenamed({"node": "key", "component": "class"})
+    joined = components(every, "join-component", scratch).withColumnsRenamed({"node": "key", "component": "class"})
     named = texts.join(joined, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class"))
-    named = written(named, "join-named")
+    named = scratch.written(named, "join-named")
     names = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_text = written(named.join(names, "class").select("key", "component_id", F.col("class").alias("group_id")), "join-names")
+    by_text = scratch.written(named.join(names, "class").select("key", "component_id", F.col("class").alias("group_id")), "join-names")
     name = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(by_text, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), "group_id", "text_hash")
 
@@ -504,9 +505,10 @@ def linked_texts(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float =
 
 
 def _linked_texts(docs: DataFrame, unit: int, hot_share: float, hot_texts: int) -> tuple[DataFrame, DataFrame]:
-    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts)
+    scratch = Scratch(docs.sparkSession, "join")
+    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts, scratch)
     members = members.withColumn("part", F.col("key"))
-    dealt = _units(members, unit).join(sets, "key")
+    dealt = deal_units(members, unit, scratch).join(sets, "key")
 
     def join_unit(key, rows: pd.DataFrame) -> pd.DataFrame:
         sides = rows["side"].to_numpy()
@@ -517,9 +519,9 @@ def _linked_texts(docs: DataFrame, unit: int, hot_share: float, hot_texts: int)
         )
         return pd.DataFrame(got, columns=["a", "b", "shared"], dtype="int64")
 
-    links = written(dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long, shared long"), "join-pairs")
+    links = scratch.written(dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long, shared long"), "join-pairs")
     copies = rows.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    known = written(texts.join(copies, "key"), "join-copies")
+    known = scratch.written(texts.join(copies, "key"), "join-copies")
     side = lambda i: known.select(
         F.col("key").alias(f"text_{i}"), F.col("n").alias(f"n_shingles_{i}"), F.col("least").alias(f"least_{i}"), F.col("copies").alias(f"copies_{i}")
     )
@@ -548,11 +550,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Those to drop are found on narrow rows; documents without shingles are linked with
     nothing and stay. A row that is there twice with one id and text stays once.
     """
-    found = written(near_duplicates(docs).where("n_shingles > 0").drop("n_shingles", "component_id"), "near-duplicates")
+    scratch = Scratch(docs.sparkSession, "near")
+    found = scratch.written(near_duplicates(docs, scratch=scratch).where("n_shingles > 0").drop("n_shingles", "component_id"), "near-duplicates")
     place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "text_hash")
     first = found.groupBy("group_id").agg(F.min(place).alias("first"))
     drop = found.join(first, "group_id").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
-    drop = written(drop, "near-duplicates-out")
+    drop = scratch.written(drop, "near-duplicates-out")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
     kept = docs.join(drop, same, "left_anti")
     repeated = not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()

@@ -18,6 +18,7 @@ from .prefix_trie import conversation_trie
 from .quality import judge_quality
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .simhash import simhash_groups
 from .token_files import read_tokens, token_digest, write_tokens
 from .url_rules import judge_urls
 
@@ -84,6 +85,11 @@ def lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), id_crc(F.col("doc_id")) % 7 != 2, PIECES)
 
 
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash_groups(table(spark, folder, "documents"))
+
+
 def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
     return conversation_trie(table(spark, folder, "conversations"))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": packing,
     "op9_secret_scan": secret_scan,
     "op10_lattice_score": lattice_score,
+    "op11_simhash": simhash,
     "op12_prefix_trie": prefix_trie,
 }
 CHECKS: dict[str, str] = {}
