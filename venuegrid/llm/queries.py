@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_counts
 from .common import id_crc, run_folder, table
 from .decontamination import contaminated
 from .jaccard import near_duplicates
@@ -28,6 +29,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
+BYTE_PAIRS = public_tokenizers.path("byte_bpe_50k.json")
+
 URL_RULES = (
     ("allow", "org/"),
     ("block", "example.org/es/"),
@@ -95,6 +98,11 @@ def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie(table(spark, folder, "conversations"))
 
 
+def alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers over every whole text."""
+    return alignment_counts(table(spark, folder, "documents"), BYTE_PAIRS, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": decontamination,
     "op2_language": language,
@@ -108,5 +116,6 @@ QUERIES: dict[str, Query] = {
     "op10_lattice_score": lattice_score,
     "op11_simhash": simhash,
     "op12_prefix_trie": prefix_trie,
+    "op13_alignment": alignment,
 }
 CHECKS: dict[str, str] = {}

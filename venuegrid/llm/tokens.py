@@ -20,7 +20,7 @@ _SIMPLE = re.compile(f"[{_LETTERS}]+")
 _MARKED = re.compile(rf"([{_LETTERS}]+)([.,;:!?%*#$&()|<>=+/-]+)")
 
 
-def _byte_characters() -> list[str]:
+def byte_characters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if it
     is printable in Latin-1, else the next one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,7 +45,7 @@ class Encoder:
         if "Lowercase" not in str(self.tokenizer.normalizer) or "ByteLevel" not in str(self.tokenizer.pre_tokenizer):
             raise ValueError("needs a lower-casing byte-level tokenizer whose pieces end at spaces")
         self.memo_words = memo_words
-        self.characters = _byte_characters()
+        self.characters = byte_characters()
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
