@@ -11,7 +11,7 @@ def docs(spark):
         full = [(*r, *(None,) * (4 - len(r)), len(r[1]) if r[1] is not None else None) for r in rows]
         df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
         if extra:
-            for name in ("id", "word", "score", "part", "tokens", "size", "kind", "count", "hash", "item_id", "rule", "start"):
+            for name in ("id", "word", "score", "part", "tokens", "size", "kind", "count", "hash", "item_id", "rule", "start", "_doc", "_text", "key", "text_hash", "group_id", "kept", "bits", "stays"):
                 df = df.withColumn(name, df["doc_id"].cast("string"))
         return df
 

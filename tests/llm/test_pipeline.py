@@ -1,9 +1,15 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from venuegrid.llm import common
+from venuegrid.llm.common import only, row_key, without
+from venuegrid.llm.decontamination import decontaminate
 from venuegrid.llm.jaccard import keep_first
+from venuegrid.llm.quality import keep_good
 
 import corpus_pipeline
 from test_jaccard import brute, edited
@@ -71,6 +77,40 @@ def test_one_of_each_group_stays(docs):
     assert got == sorted([(3, text.upper()), (5, "another text of more words"), (-1, "ten words that are only here"), (8, ""), (8, "")])
 
 
+def test_rows_without_a_word_stay_however_often_they_are_there(docs):
+    rows = [(1, ""), (1, ""), (2, "a b c"), (2, "a b c"), (2, "a b c"), (3, None), (3, None), (4, " "), (4, " "), (2, "other words here"), (1, "A b C")]
+    got = sorted((r["doc_id"], r["text"] or "") for r in keep_first(docs(rows, extra=True)).collect())
+    assert got == sorted([(1, ""), (1, ""), (1, "A b C"), (3, ""), (3, ""), (4, " "), (4, " "), (2, "other words here")])
+
+
+def test_stages_bear_columns_of_any_name(spark, docs):
+    rng = random.Random(3)
+    item = " ".join(f"question{k} part{k}" for k in range(12))
+    rows = [(k, make(rng, 90), "en", "s") for k in range(80)] + [(80, make(rng, 60) + " " + item, "en", "s"), (81, "junk", "en", "s")]
+    table = docs(rows, extra=True)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for stage, gone in ((keep_good, {81}), (keep_first, set()), (lambda t: decontaminate(t, items), {80})):
+        kept = stage(table)
+        assert kept.columns == table.columns
+        assert {r["doc_id"] for r in kept.collect()} == set(range(82)) - gone
+
+
+def test_rows_are_removed_by_id_and_hash_with_and_without_the_map(docs, monkeypatch):
+    rows = [(k % 50, None if k % 7 == 0 else f"text {k % 20}", None if k % 3 else "en") for k in range(400)] + [(None, None), (None, "text 1")]
+    table = docs(rows)
+    key = table.select(F.col("doc_id"), row_key("text", "lang").alias("hash"), "text", "lang")
+    named = key.where("doc_id % 5 = 0 AND text IS NULL OR doc_id IS NULL OR text = 'text 3'").select("doc_id", "hash").distinct()
+    rows = [(*r, None)[:3] for r in rows]
+    gone = [r for r in rows if r[0] is None or r[0] % 5 == 0 and r[1] is None or r[1] == "text 3"]
+    for size in (1 << 18, 1 << 6, 0):
+        monkeypatch.setattr(common, "MAP_WORDS", max(size, 1))
+        if not size:
+            monkeypatch.setattr(type(named), "count", lambda self: 1 << 30)
+        pairs = lambda df: Counter((r["doc_id"], r["text"], r["lang"]) for r in df.collect())
+        assert pairs(only(table, named, "text", "lang")) == Counter(gone)
+        assert pairs(without(table, named, "text", "lang")) == Counter(rows) - Counter(gone)
+
+
 def test_empty_tables(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -88,6 +88,49 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Words of 64 bits in the map that clears rows before a join.
+MAP_WORDS = 1 << 18
+
+
+def row_key(*columns: str) -> Column:
+    """A hash of the columns' values in which null is a value of its own."""
+    return F.xxhash64(*(c for name in columns for c in (F.isnull(name), F.col(name))))
+
+
+def without(docs: DataFrame, named: DataFrame, *hashed: str) -> DataFrame:
+    """``docs`` without the rows that ``named`` (doc_id long, hash long) names: those of one
+    doc_id and one ``row_key`` of the columns ``hashed``."""
+    return _met(docs, named, hashed, "left_anti")
+
+
+def only(docs: DataFrame, named: DataFrame, *hashed: str) -> DataFrame:
+    """The rows of ``docs`` that ``named`` names; see ``without``."""
+    return _met(docs, named, hashed, "left_semi")
+
+
+def _met(docs: DataFrame, named: DataFrame, hashed: tuple[str, ...], how: str) -> DataFrame:
+    """An anti or semi join that moves few of the long rows: a broadcast map of 2^24 bits, at
+    most ``MAP_WORDS`` rows, clears those whose hash nobody has; the others meet ``named``
+    in a join. Where the map would be too full to clear any, all rows do. Columns that the
+    join needs get names that no table has."""
+    mark = uuid.uuid4().hex
+    doc_id, key, word, bits = (f"{name}_{mark}" for name in ("doc_id", "key", "word", "bits"))
+    named = named.select(F.col("doc_id").alias(doc_id), F.col("hash").alias(key))
+    place = F.shiftrightunsigned(key, 64 - (MAP_WORDS - 1).bit_length())
+    bit = F.expr(f"shiftleft(1L, cast({key} & 63 AS int))")
+    columns = [f"`{c}`" for c in docs.columns]
+    held = docs.withColumn(key, row_key(*hashed))
+    clear = None
+    if named.count() < 16 * MAP_WORDS:
+        filled = named.groupBy(place.alias(word)).agg(F.bit_or(bit).alias(bits))
+        held = held.withColumn(word, place).join(F.broadcast(filled), word, "left")
+        hit = F.coalesce(F.col(bits).bitwiseAND(bit), F.lit(0)) != 0
+        clear, held = held.where(~hit).select(*columns), held.where(hit).select(*columns, key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (held[key] == named[key])
+    met = held.join(named, same, how).select(*columns)
+    return met if clear is None or how == "left_semi" else clear.unionByName(met)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import row_key, slices, without, written
 
 #: Tokens of a template window; items that are shorter are one window each, but items
 #: below LEAST tokens are no evidence and are not searched.
@@ -244,7 +244,7 @@ def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=_HITS.replace(",", "").split()[::2])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _HITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("text").alias("text_hash")).mapInArrow(run, _HITS)
 
 
 def _read_window(window: tuple[int, int, int, str, str]) -> tuple[int, int, int, list[tuple[str, str]], list[str]] | None:
@@ -336,6 +336,5 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the contaminated documents; rows and columns as they were."""
-    bad = written(contaminated(docs, items, coverage).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct(), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
-    return docs.join(bad, same, "left_anti")
+    bad = written(contaminated(docs, items, coverage).select("doc_id", F.col("text_hash").alias("hash")).distinct(), "contaminated")
+    return without(docs, bad, "text")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, only, row_key, slices, without
 from .components import components
 
 WORDS = 5
@@ -72,7 +72,7 @@ class Shingler:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("text").alias("text_hash"))
 
 
 _KEYS = "doc_id long, key long, n long, shingle long, texts long, text_hash long"
@@ -144,6 +144,12 @@ def _read_rows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(shingles), np.concatenate(texts), np.concatenate(counts)
 
 
+def _dealt(rows: DataFrame, by: str, least: int) -> DataFrame:
+    """Rows dealt by a column to ``least`` partitions, or the session's number of them if that
+    is more, so that a task's share does not grow with the data."""
+    return rows.repartition(max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
 def _shared_shingles(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, buckets: int, parts: int) -> DataFrame:
     """The postings of all shingles that two different texts have, dealt by text.
 
@@ -185,7 +191,7 @@ def _shared_shingles(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, b
                 names=["bucket", "shingles", "owners", "texts", "counts"],
             )
 
-    def keep_shared(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def keep_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shingles, texts, counts = _read_rows(rows)
         if key[0] >= 0:
             order = np.argsort(shingles, kind="stable")
@@ -210,7 +216,8 @@ def _shared_shingles(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, b
             out.append(_posting_row(p, shingles[a:b], owners, keys, counts[a:b]))
         return pd.DataFrame(out, columns=["part", "shingles", "owners", "texts", "counts"])
 
-    return _texts(docs).drop("text_hash").mapInArrow(cut, _POSTINGS).groupBy("bucket").applyInPandas(keep_shared, _HELD)
+    postings = _texts(docs).drop("text_hash").mapInArrow(cut, _POSTINGS)
+    return _dealt(postings, "bucket", 2 * buckets).groupBy("bucket").applyInPandas(keep_shared, _HELD)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[list, list, list]:
@@ -245,11 +252,11 @@ def prefix_plan(n: int, counts: np.ndarray) -> tuple[int, int]:
 _CANDIDATES = "key long, n long, matches int, prefix array<long>, shingles binary"
 
 
-def _candidates(held: DataFrame, sizes: DataFrame) -> DataFrame:
+def _candidates(held: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
     """Texts that share enough of their shingles to have a partner, with their plan, their
     prefix and their shared shingles, rarest first."""
 
-    def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(own):
             shingles, texts, counts = _read_rows(rows)
@@ -267,7 +274,8 @@ def _candidates(held: DataFrame, sizes: DataFrame) -> DataFrame:
                     out.append((text, n, matches, some[:length].tolist(), some.tobytes()))
         return pd.DataFrame(out, columns=["key", "n", "matches", "prefix", "shingles"])
 
-    return held.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(run, _CANDIDATES)
+    both = (_dealt(side, "part", 2 * parts).groupBy("part") for side in (held, sizes))
+    return next(both).cogroup(next(both)).applyInPandas(run, _CANDIDATES)
 
 
 def _linked(shared, n, m):
@@ -368,9 +376,10 @@ def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefix
     return links
 
 
-def _hub_links(postings: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
-    """Links of texts with the first text, by a hash, of each of their prefix lists."""
-    hubs = postings.groupBy("token").agg(F.min_by("key", F.xxhash64("key", F.lit(seed))).alias("hub"))
+def _hub_links(postings: DataFrame, sets: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """Links of texts with the first text, by a hash, of each of their prefix lists. Hubs are
+    written first, so that the rows of a long list can be split in the join with them."""
+    hubs = scratch.written(postings.groupBy("token").agg(F.min_by("key", F.xxhash64("key", F.lit(seed))).alias("hub")), "join-hubs")
     pairs = postings.join(hubs, "token").select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).where("a <> b").distinct()
     return _verified(pairs, sets)
 
@@ -414,10 +423,10 @@ def deal_units(members: DataFrame, unit: int, scratch: Scratch) -> DataFrame:
 
 
 def _joinable(docs: DataFrame, hot_share: float, hot_texts: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A row for each document; the different texts; those that may have a partner, with
+    """A row for each document (see ``_documents``); the different texts; those that may have a partner, with
     their prefixes; and these with their clusters of candidates."""
     keyed = scratch.written(_keys(docs), "join-keys")
-    rows = keyed.where("key IS NOT NULL").select("doc_id", "key", "n", "text_hash")
+    rows = _documents(keyed)
     texts = scratch.written(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("least")), "join-texts")
     n_texts, n_shingles = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = keyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(hot_texts, hot_share * n_texts))
@@ -428,7 +437,7 @@ def _joinable(docs: DataFrame, hot_share: float, hot_texts: int, scratch: Scratc
     held = _shared_shingles(docs, hot, hot_counts, buckets, buckets)
     signed = F.col("key")
     part = F.pmod(F.pmod(signed.cast("decimal(20,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")), F.lit(buckets)).cast("int")
-    sets = scratch.written(_candidates(held, texts.select("key", "n", part.alias("part"))), "join-sets")
+    sets = scratch.written(_candidates(held, texts.select("key", "n", part.alias("part")), buckets), "join-sets")
     postings = sets.select("key", F.explode("prefix").alias("token"))
     least = postings.groupBy("token").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("entries")).where("entries > 1")
     stars = postings.join(least, "token").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
@@ -436,7 +445,12 @@ def _joinable(docs: DataFrame, hot_share: float, hot_texts: int, scratch: Scratc
     members = scratch.written(
         sets.select("key", (F.octet_length("shingles") / 8).cast("long").alias("weight")).join(clusters.withColumnsRenamed({"node": "key", "component": "cluster"}), "key"), "join-members"
     )
-    return rows, texts, sets, members
+    scratch.keep_only(keyed, texts, sets, members)
+    return keyed, texts, sets, members
+
+
+def _documents(keyed: DataFrame) -> DataFrame:
+    return keyed.where("key IS NOT NULL").select("doc_id", "key", "n", "text_hash")
 
 
 def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS, scratch: Scratch | None = None) -> DataFrame:
@@ -457,21 +471,22 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
     table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "join")
-    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts, scratch)
+    keyed, texts, sets, members = _joinable(docs, hot_share, hot_texts, scratch)
+    size = members.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     large = members.groupBy("cluster").agg(F.sum("weight").alias("total")).where(F.col("total") > unit).select("cluster")
     dense = scratch.written(members.join(large, "cluster").select("key").join(sets, "key"), "join-dense")
     links = None
     parts = None
     if not dense.isEmpty():
         lists = dense.select("key", F.explode("prefix").alias("token"))
-        links = scratch.written(_hub_links(lists, dense, 1).unionByName(_hub_links(lists, dense, 2)), "join-hub-links")
+        links = scratch.written(_hub_links(lists, dense, 1, scratch).unionByName(_hub_links(lists, dense, 2, scratch)), "join-hub-links")
         parts = scratch.written(components(links, "join-part", scratch), "join-parts").withColumnsRenamed({"node": "key", "component": "part"})
         members = scratch.written(members.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "join-members")
     else:
         members = members.withColumn("part", F.col("key"))
     dealt = deal_units(members, unit, scratch).join(members.select("key", "part"), "key").join(sets, "key")
 
-    def join_unit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def join_unit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sides = rows["side"].to_numpy()
         codes = np.unique(rows["part"].to_numpy(), return_inverse=True)[1]
         values = [np.frombuffer(x, "<i8") for x in rows["shingles"]]
@@ -479,15 +494,17 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
         got = local_links(rows["key"].to_numpy(), rows["n"].to_numpy(), rows["matches"].to_numpy(), prefixes, values, codes, sides if sides.any() else None)
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    local = dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long")
-    every = local if links is None else local.unionByName(links)
+    local = _dealt(dealt, "unit", 4 * size // unit).groupBy("unit").applyInPandas(join_unit, "a long, b long")
+    every = scratch.written(local if links is None else local.unionByName(links), "join-links")
+    scratch.keep_only(keyed, texts, every)
     joined = components(every, "join-component", scratch).withColumnsRenamed({"node": "key", "component": "class"})
     named = texts.join(joined, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class"))
     named = scratch.written(named, "join-named")
-    names = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    names = scratch.written(named.groupBy("class").agg(F.min("least").alias("component_id")), "join-classes")
     by_text = scratch.written(named.join(names, "class").select("key", "component_id", F.col("class").alias("group_id")), "join-names")
+    scratch.keep_only(keyed, by_text)
     name = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(by_text, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), "group_id", "text_hash")
+    return _documents(keyed).join(by_text, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), "group_id", "text_hash")
 
 
 def linked_texts(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float = HOT_SHARE, hot_texts: int = HOT_TEXTS) -> DataFrame:
@@ -506,11 +523,13 @@ def linked_texts(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float =
 
 def _linked_texts(docs: DataFrame, unit: int, hot_share: float, hot_texts: int) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(docs.sparkSession, "join")
-    rows, texts, sets, members = _joinable(docs, hot_share, hot_texts, scratch)
+    keyed, texts, sets, members = _joinable(docs, hot_share, hot_texts, scratch)
+    rows = _documents(keyed)
+    size = members.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     members = members.withColumn("part", F.col("key"))
     dealt = deal_units(members, unit, scratch).join(sets, "key")
 
-    def join_unit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def join_unit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sides = rows["side"].to_numpy()
         values = [np.frombuffer(x, "<i8") for x in rows["shingles"]]
         prefixes = [np.asarray(x, np.int64) for x in rows["prefix"]]
@@ -519,9 +538,10 @@ def _linked_texts(docs: DataFrame, unit: int, hot_share: float, hot_texts: int)
         )
         return pd.DataFrame(got, columns=["a", "b", "shared"], dtype="int64")
 
-    links = scratch.written(dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long, shared long"), "join-pairs")
+    links = scratch.written(_dealt(dealt, "unit", 4 * size // unit).groupBy("unit").applyInPandas(join_unit, "a long, b long, shared long"), "join-pairs")
     copies = rows.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     known = scratch.written(texts.join(copies, "key"), "join-copies")
+    scratch.keep_only(keyed, links, known)
     side = lambda i: known.select(
         F.col("key").alias(f"text_{i}"), F.col("n").alias(f"n_shingles_{i}"), F.col("least").alias(f"least_{i}"), F.col("copies").alias(f"copies_{i}")
     )
@@ -547,16 +567,23 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the
     smallest id (null after all others), then the smallest hash of its text.
 
-    Those to drop are found on narrow rows; documents without shingles are linked with
-    nothing and stay. A row that is there twice with one id and text stays once.
+    Documents without shingles (null or empty texts, or no word) are linked with nothing
+    and stay, however often they are there. Of rows with a word that agree in id and text
+    one stays; if their other columns differ, which one is left open. Texts of any length
+    are compared whole; columns stay as they were, whatever their names; an empty table
+    gives no rows.
+
+    Which rows go is found on narrow rows, and their texts do not move unless a row of
+    the same hash goes.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    found = scratch.written(near_duplicates(docs, scratch=scratch).where("n_shingles > 0").drop("n_shingles", "component_id"), "near-duplicates")
-    place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "text_hash")
-    first = found.groupBy("group_id").agg(F.min(place).alias("first"))
-    drop = found.join(first, "group_id").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
-    drop = scratch.written(drop, "near-duplicates-out")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
-    kept = docs.join(drop, same, "left_anti")
-    repeated = not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    found = near_duplicates(docs, scratch=scratch).where("n_shingles > 0").select("doc_id", "group_id", F.col("text_hash").alias("hash"))
+    found = scratch.written(found.groupBy("doc_id", "group_id", "hash").agg(F.count(F.lit(1)).alias("rows")), "near-found")
+    place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")
+    first = scratch.written(found.groupBy("group_id").agg(F.min(place).alias("first")), "near-first")
+    judged = found.join(first, "group_id").select("doc_id", "hash", "rows", place.eqNullSafe(F.col("first")).alias("stays"))
+    judged = scratch.written(judged.where("NOT stays OR rows > 1"), "near-judged")
+    scratch.keep_only(judged)
+    kept = without(docs, judged, "text")
+    repeated = judged.where("stays")
+    return kept if repeated.isEmpty() else kept.unionByName(only(docs, repeated, "text").dropDuplicates(["doc_id", "text"]))

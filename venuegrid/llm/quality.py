@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words, written
+from .common import SPACES, Scratch, row_key, without, words
 
 #: Low bits of a packed window that hold its place; the others hold bits of its hash.
 _PLACE_BITS = 26
@@ -157,7 +157,7 @@ def _moments(rows: DataFrame, names: list[str], *by: str) -> DataFrame:
     )
 
 
-def robust_estimates(rows: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def robust_estimates(rows: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP, scratch: Scratch | None = None) -> DataFrame:
     """Minimum-covariance-determinant centre and whitening matrix of each language and
     source, and of each language (``g_source`` null and ``g_level`` 0).
 
@@ -167,6 +167,7 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, min_group: int = MIN_G
     determinant wins. Each step is two partially aggregated passes over narrow rows;
     a group is never gathered, whatever its size.
     """
+    scratch = scratch or Scratch(rows.sparkSession, "mcd")
     names = list(FEATURES)
     levels = rows.select(
         "g_lang", F.explode(F.array(F.struct(F.lit(0).alias("l"), F.lit(None).cast("string").alias("s")), F.struct(F.lit(1).alias("l"), F.col("g_source").alias("s")))).alias("g"), *names
@@ -193,11 +194,11 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, min_group: int = MIN_G
     scale = SUBSET / _chi_square(cut, len(names) + 2)
     keys = [*by, "g_start"]
     for _ in range(steps):
-        near = _matched(levels, written(state, "mcd-state"), by).withColumn("d", _distance(names)).select(*keys, "d", *names)
+        near = _matched(levels, scratch.written(state, "mcd-state"), by).withColumn("d", _distance(names)).select(*keys, "d", *names)
         limits = near.groupBy(*keys).agg(F.percentile_approx("d", SUBSET, 1000).alias("limit"))
-        subset = _matched(near, written(limits, "mcd-limits"), keys).where("d <= limit")
+        subset = _matched(near, scratch.written(limits, "mcd-limits"), keys).where("d <= limit")
         state = _whitened(_moments(subset, names, *keys), names, scale).drop("n_rows")
-    best = written(state, "mcd-best")
+    best = scratch.written(state, "mcd-best")
     chosen = best.groupBy(*by).agg(F.min_by("g_start", F.struct("g_det", "g_start")).alias("g_start"))
     return _matched(best, chosen, [*by, "g_start"]).drop("g_start", "g_det")
 
@@ -213,7 +214,7 @@ def _matched(rows: DataFrame, estimates: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(renamed, condition).drop(*(f"{c}_e" for c in by))
 
 
-def judge_quality(docs: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge_quality(docs: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL, keep: tuple[str, ...] = ("doc_id",), scratch: Scratch | None = None) -> DataFrame:
     """One row a document: ``keep``, the statistics, base_failed, distance and kept.
 
     A document is rejected if it fails the base limits or lies farther from its group's
@@ -223,10 +224,12 @@ def judge_quality(docs: DataFrame, steps: int = STEPS, min_group: int = MIN_GROU
     count each; an empty table gives no rows; ``distance`` is null without an estimate,
     and then the base limits alone decide.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     statistics = text_statistics(docs.select(*keep, F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "text"), *keep, "g_lang", "g_source")
-    rows = written(statistics.withColumns(_features()).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality-rows")
+    rows = scratch.written(statistics.withColumns(_features()).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))), "quality-rows")
     names = list(FEATURES)
-    estimates = written(robust_estimates(rows.where("NOT base_failed").select("g_lang", "g_source", *names), steps, min_group), "mcd")
+    estimates = scratch.written(robust_estimates(rows.where("NOT base_failed").select("g_lang", "g_source", *names), steps, min_group, scratch), "mcd")
+    scratch.keep_only(rows, estimates)
     own = estimates.where("g_level = 1").drop("g_level")
     general = estimates.where("g_level = 0").drop("g_level", "g_source")
     one = _joined(rows, own, ["g_lang", "g_source"]).withColumn("_own", _distance(names)).drop(*(c for c in own.columns if c[:2] in ("m_", "w_")))
@@ -245,3 +248,19 @@ def _joined(rows: DataFrame, estimates: DataFrame, by: list[str]) -> DataFrame:
     for c in by[1:]:
         condition = condition & rows[c].eqNullSafe(renamed[f"{c}_e"])
     return rows.join(renamed, condition, "left").drop(*(f"{c}_e" for c in by))
+
+
+def keep_good(docs: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+    """``docs`` without those that ``judge_quality`` rejects; rows and columns as they were.
+
+    Verdicts are on narrow rows, a hash of text, language and source in each: texts are read
+    again, not written or moved. Null and empty texts, repeated rows and empty tables are
+    judged as there.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    decides = ("text", "lang", "source")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(*decides).alias("hash"), *decides)
+    judged = judge_quality(narrow, steps, min_group, tail, ("doc_id", "hash"), scratch)
+    rejected = scratch.written(judged.where("NOT kept").select("doc_id", "hash").distinct(), "rejected")
+    scratch.keep_only(rejected)
+    return without(docs, rejected, *decides)
