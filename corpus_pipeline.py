@@ -5,19 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from venuegrid.llm.common import run_folder, table
+from venuegrid.llm.common import Scratch, table
 from venuegrid.llm.decontamination import decontaminate
 from venuegrid.llm.jaccard import keep_first
 from venuegrid.llm.packing import pack_documents
-from venuegrid.llm.quality import judge_quality
+from venuegrid.llm.quality import keep_good
 from venuegrid.llm.queries import END_ID, TOKENIZER
 from venuegrid.llm.secrets import scan_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    columns = ("doc_id", "text", "lang", "source", "n_chars")
-    return judge_quality(docs.select(*columns), keep=columns).where("kept").select(*columns)
+    return keep_good(docs)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's rows are written and read again."""
+    """Apply the stages to ``documents``; each one's rows are written and read again, and
+    what the stage before it wrote is then deleted."""
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if number == len(STAGES) - 1:
-            return out
-        path = run_folder(spark, f"pipeline-{number}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.keep_only(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
