@@ -10,6 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from document_tables import docs  # noqa: F401
+from venuegrid.llm import alignment
 from venuegrid.llm.alignment import TokenPair, _chunks, alignment_counts, alignments, lockstep
 from venuegrid.llm.queries import BYTE_PAIRS, PIECES
 from venuegrid.llm.tokens import byte_characters
@@ -72,12 +73,13 @@ def want(texts, plain):
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-@pytest.mark.parametrize("slice_bytes", [8 << 20, 300])
-def test_counts_equal_a_plain_merge(docs, plain, slice_bytes):
+@pytest.mark.parametrize(("slice_links", "batch_bytes"), [(10**6, 1 << 20), (150, 300), (1, 1)])
+def test_counts_equal_a_plain_merge(docs, plain, slice_links, batch_bytes, monkeypatch):
+    monkeypatch.setattr(alignment, "BATCH_BYTES", batch_bytes)
     rng = random.Random(2)
     texts = [t for t in TEXTS if t is None or len(t) < 1500] + [" ".join(rng.choice(["the", "Straße", "überall", "12", "\n", "façade", "re-do"]) for _ in range(rng.randrange(60))) for _ in range(30)]
     texts += texts[:12]
-    got = alignment_counts(docs(list(enumerate(texts)), extra=True), BYTE_PAIRS, PIECES, slice_bytes)
+    got = alignment_counts(docs(list(enumerate(texts)), extra=True), BYTE_PAIRS, PIECES, slice_links)
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got.collect()) == want(texts, plain)
 
 
@@ -100,7 +102,18 @@ def test_ids_are_those_of_the_tokenizers(plain):
     texts = TEXTS + ["".join(rng.choice(settled) for _ in range(40)) for _ in range(400)] + [f"a{c} {c}b  {c}" for c in settled]
     for text in texts:
         ids_a, ids_b, _, _ = plain(text)
-        assert pair.encode(text) == (ids_a, ids_b), text
+        got = pair.encode([text])[0]
+        assert (got[0].tolist(), got[1].tolist()) == (ids_a, ids_b), text
+
+
+def test_forgotten_words_are_encoded_again(plain, monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO_WORDS", 20)
+    pair = TokenPair(BYTE_PAIRS, PIECES)
+    rng = random.Random(9)
+    for _ in range(60):
+        text = " ".join(f"wörd{rng.randrange(60)}" for _ in range(15))
+        assert tuple(x.tolist() for x in pair.encode([text])[0]) == plain(text)[:2]
+    assert len(pair.young[0]) + len(pair.old[0]) <= 80
 
 
 def test_long_texts_in_parts(plain):
@@ -110,7 +123,8 @@ def test_long_texts_in_parts(plain):
     assert len(parts) > 10 and " ".join(parts) == text
     pair = TokenPair(BYTE_PAIRS, PIECES)
     ids_a, ids_b, _, _ = plain(text)
-    got = [pair.encode(p) for p in parts]
+    got = pair.encode(parts)
+    assert tuple(x.tolist() for x in pair._whole(text)) == (ids_a, ids_b)
     assert [i for a, _ in got for i in a] == ids_a and [i for _, b in got for i in b] == ids_b
 
 
@@ -128,8 +142,8 @@ def test_lanes_do_not_change_anything(lane):
                 ids.append(size - 1)
                 left -= size
             sides.append(ids)
-        ids_a.append(sides[0])
-        ids_b.append(sides[1])
+        ids_a.append(np.array(sides[0], np.int32))
+        ids_b.append(np.array(sides[1], np.int32))
     x, y = lockstep(ids_a, ids_b, lengths, lengths, lane), lockstep(ids_a, ids_b, lengths, lengths)
     assert sorted(zip(x.link_a, x.link_b, strict=True)) == sorted(zip(y.link_a, y.link_b, strict=True))
     assert (x.cut_a == y.cut_a).all() and (x.cut_b == y.cut_b).all()

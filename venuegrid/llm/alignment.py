@@ -21,11 +21,20 @@ from .tokens import byte_characters
 
 #: Tokens of A after which a long document goes on as another lane of the state vector.
 LANE_TOKENS = 2048
+#: Bytes of text that are aligned together, and different pairs of documents that are looked
+#: up together.
+BATCH_BYTES, SLICE_LINKS = 1 << 20, 1_000_000
 #: Characters that are encoded at a time.
 CHUNK_CHARACTERS = 1 << 20
+#: Words that a worker remembers, in two generations of this many.
+MEMO_WORDS = 100_000
+#: White space at a text's ends or next to a space: elsewhere tokens never cross a space.
+_IRREGULAR = re.compile(r"(?:\A| )(?:\s|\Z)")
 #: Characters that every Unicode version classes alike; texts of these take the faster encoder.
 _SETTLED = re.compile("[\x00-ɏ‐-‧‰-⁞€]*")
-_DEEPEST = np.int64(32)
+_NOTHING = np.zeros(0, np.int32)
+#: Bits that an id takes in a number for a pair of ids.
+_BITS = 20
 
 
 class TokenPair:
@@ -37,52 +46,102 @@ class TokenPair:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path_a) as file:
             model = json.load(file)["model"]
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
         byte_of = {c: bytes([b]) for b, c in enumerate(byte_characters())}
-        vocabulary = self.a.get_vocab()
         ranks = {b"".join(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        if any(model["vocab"][m.replace(" ", "")] != 256 + k for k, m in enumerate(merged)):
+        merged = ("".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"])
+        if any(model["vocab"][m] != 256 + k for k, m in enumerate(merged)):
             raise ValueError("needs a byte-level vocabulary numbered in the order of its merges")
+        self.path_a, self._slow_a = path_a, None
         self.fast_a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        self.bytes_a = [b""] * (max(model["vocab"].values()) + 1)
         for token, i in ranks.items():
             self.bytes_a[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.lengths_a, self.lengths_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b))
-        self.digits_a, self.digits_b = _digits(len(self.bytes_a)), _digits(len(self.bytes_b))
+        self.lengths_a, self.lengths_b = (np.fromiter(map(len, t), np.int32, len(t)) for t in (self.bytes_a, self.bytes_b))
+        self.marked_a, self.marked_b = _marked(len(self.bytes_a), ",;"), _marked(len(self.bytes_b), ",|")
+        self.young: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
+        self.old: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
 
     @classmethod
     def shared(cls, path_a: str, path_b: str) -> TokenPair:
         return per_process(f"pair_{path_a}_{path_b}", lambda: cls(path_a, path_b))
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both; none if the text is null or empty, or the tokens of one do not give
-        back the text's bytes."""
-        if not text:
-            return [], []
-        ids_a: list[int] = []
-        ids_b: list[int] = []
-        for chunk in _chunks(text):
-            ids_a += self._encode_a(" " + chunk)
-            ids_b += self.b.encode(chunk, num_threads=1)
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text; none if it is null or empty, or the tokens of one do not
+        give back its bytes.
+
+        Between two words with a single space neither tokenizer has a token across it, so
+        texts of such words are encoded word by word, and words are remembered. The memory
+        is bounded: when a generation is full it becomes the old one.
+        """
+        if len(self.young[0]) > MEMO_WORDS:
+            self.old, self.young = self.young, ({}, {})
+        split = [t.split(" ") if t and not _IRREGULAR.search(t) else None for t in texts]
+        self._learn(set().union(*filter(None, split)).difference(self.young[0]))
+        known_a, known_b = (known.__getitem__ for known in self.young)
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(self._whole(text) if text else (_NOTHING, _NOTHING))
+                continue
+            parts = list(map(known_b, words))
+            if None in parts:
+                out.append((_NOTHING, _NOTHING))
+            else:
+                out.append(tuple(np.frombuffer(b"".join(p), np.int32) for p in (map(known_a, words), parts)))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words: all new ones are encoded as one text, which is then cut at
+        its spaces; words that this can't serve are encoded by themselves."""
+        new = [w for w in words if w not in self.old[0]]
+        for w in words.difference(new):
+            self.young[0][w], self.young[1][w] = self.old[0][w], self.old[1][w]
+        settled = [w for w in new if _SETTLED.fullmatch(w)]
+        text = " ".join(settled)
         whole = (" " + text).encode()
-        for ids, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
-            if b"".join(map(table.__getitem__, ids)) != whole:
-                return [], []
-        return ids_a, ids_b
+        ends = np.cumsum([len(w.encode()) + 1 for w in settled])
+        sides = []
+        for ids, table, lengths in ((self._encode_a(" " + text), self.bytes_a, self.lengths_a), (self.b.encode(text, num_threads=1), self.bytes_b, self.lengths_b)):
+            ids = np.array(ids, np.int32)
+            at = np.cumsum(lengths[ids])
+            cuts = np.searchsorted(at, ends)
+            if not settled or b"".join(map(table.__getitem__, ids.tolist())) != whole or (at[np.minimum(cuts, len(at) - 1)] != ends).any():
+                break
+            sides.append((ids.tobytes(), [0, *(4 * cuts + 4).tolist()]))
+        else:
+            for known, (ids, cuts) in zip(self.young, sides, strict=True):
+                known.update(zip(settled, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+            new = [w for w in new if w not in self.young[0]]
+        for w in new:
+            ids_a, ids_b = self._whole(w)
+            self.young[0][w], self.young[1][w] = ids_a.tobytes(), ids_b.tobytes() if len(ids_b) else None
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids_a: list[np.ndarray] = []
+        ids_b: list[np.ndarray] = []
+        for chunk in _chunks(text):
+            whole = (" " + chunk).encode()
+            for ids, found, table in ((self._encode_a(" " + chunk), ids_a, self.bytes_a), (self.b.encode(chunk, num_threads=1), ids_b, self.bytes_b)):
+                if b"".join(map(table.__getitem__, ids)) != whole:
+                    return _NOTHING, _NOTHING
+                found.append(np.array(ids, np.int32))
+        return np.concatenate(ids_a), np.concatenate(ids_b)
 
     def _encode_a(self, text: str) -> list[int]:
         if _SETTLED.fullmatch(text):
             return self.fast_a.encode_ordinary(text)
-        return self.a.encode(text, add_special_tokens=False).ids
+        if self._slow_a is None:
+            from tokenizers import Tokenizer
+
+            self._slow_a = Tokenizer.from_file(self.path_a)
+            self._slow_a.encode_special_tokens = True
+        return self._slow_a.encode(text, add_special_tokens=False).ids
 
 
 def _chunks(text: str, most: int = CHUNK_CHARACTERS) -> Iterator[str]:
@@ -99,10 +158,9 @@ def _chunks(text: str, most: int = CHUNK_CHARACTERS) -> Iterator[str]:
     yield text[at:]
 
 
-def _digits(n: int) -> np.ndarray:
-    """Decimal digits of 0 to n - 1 as bytes, zero bytes before them."""
-    width = len(str(n - 1))
-    return np.array([list(str(i).encode().rjust(width, b"\0")) for i in range(n)], np.uint8)
+def _marked(n: int, marks: str) -> np.ndarray:
+    """The decimal numbers 0 to n - 1, with nothing before them, then with each of two marks."""
+    return np.array([mark + b"%d" % i for mark in (b"", *(m.encode() for m in marks)) for i in range(n)], object)
 
 
 class Aligned(NamedTuple):
@@ -141,7 +199,7 @@ def _lanes(ends_a: np.ndarray, ends_b: np.ndarray, most: int) -> Iterator[tuple[
         at += most
 
 
-def lockstep(ids_a: list[list[int]], ids_b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray, lane_tokens: int = LANE_TOKENS) -> Aligned:
+def lockstep(ids_a: list[np.ndarray], ids_b: list[np.ndarray], lengths_a: np.ndarray, lengths_b: np.ndarray, lane_tokens: int = LANE_TOKENS) -> Aligned:
     """Align the tokens of all documents of a batch at once.
 
     Every document has a place in A and one in B in a state vector (a long one has several
@@ -149,12 +207,12 @@ def lockstep(ids_a: list[list[int]], ids_b: list[list[int]], lengths_a: np.ndarr
     all documents; the one that ends first is passed, both if they end together, which is
     a cut. Finished documents leave the vector.
     """
-    flat_a, flat_b = (np.fromiter((i for ids in lists for i in ids), np.int64, sum(map(len, lists))) for lists in (ids_a, ids_b))
+    flat_a, flat_b = (np.concatenate([_NOTHING, *lists]) for lists in (ids_a, ids_b))
     from_a, from_b = (np.append(0, np.cumsum([len(ids) for ids in lists])).astype(np.int64) for lists in (ids_a, ids_b))
-    ends_a, ends_b = np.cumsum(lengths_a[flat_a]), np.cumsum(lengths_b[flat_b])
+    ends_a, ends_b = np.cumsum(lengths_a[flat_a], dtype=np.int64), np.cumsum(lengths_b[flat_b], dtype=np.int64)
     starts = [(d_a + a, d_b + b) for d_a, e_a, d_b, e_b in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False) for a, b in _lanes(ends_a[d_a:e_a], ends_b[d_b:e_b], lane_tokens)]
-    at_a, at_b = (np.array([s[k] for s in starts], np.int64) for k in (0, 1))
-    upto = np.append(at_a[1:], len(flat_a))[: len(at_a)]
+    at_a, at_b = (np.array([s[k] for s in starts], np.int32) for k in (0, 1))
+    upto = np.append(at_a[1:], np.int32(len(flat_a)))[: len(at_a)]
     cut_a, cut_b = np.zeros(len(flat_a), bool), np.zeros(len(flat_b), bool)
     links_a, links_b = [], []
     while len(at_a):
@@ -168,8 +226,7 @@ def lockstep(ids_a: list[list[int]], ids_b: list[list[int]], lengths_a: np.ndarr
         on = at_a < upto
         if not on.all():
             at_a, at_b, upto = at_a[on], at_b[on], upto[on]
-    none = np.zeros(0, np.int64)
-    return Aligned(flat_a, flat_b, from_a, from_b, cut_a, cut_b, np.concatenate([none, *links_a]), np.concatenate([none, *links_b]))
+    return Aligned(flat_a, flat_b, from_a, from_b, cut_a, cut_b, np.concatenate([_NOTHING, *links_a]), np.concatenate([_NOTHING, *links_b]))
 
 
 def _groups(cut: np.ndarray) -> np.ndarray:
@@ -177,7 +234,7 @@ def _groups(cut: np.ndarray) -> np.ndarray:
     return np.cumsum(cut) - cut
 
 
-def group_texts(x: Aligned, digits_a: np.ndarray, digits_b: np.ndarray) -> list[bytes]:
+def group_texts(x: Aligned, marked_a: np.ndarray, marked_b: np.ndarray) -> list[bytes]:
     """For each document its groups as ``a1,a2|b1;a3|b2,b3``."""
     group_a, group_b = _groups(x.cut_a), _groups(x.cut_b)
     n_groups = int(x.cut_a.sum())
@@ -185,25 +242,22 @@ def group_texts(x: Aligned, digits_a: np.ndarray, digits_b: np.ndarray) -> list[
     upto_b = np.append(0, np.cumsum(np.bincount(group_b, minlength=n_groups)))
     place_a = np.arange(len(group_a)) + upto_b[group_a]
     place_b = np.arange(len(group_b)) + upto_a[group_b]
-    width = max(digits_a.shape[1], digits_b.shape[1])
-    out = np.zeros((len(place_a) + len(place_b), 1 + width), np.uint8)
-    for place, ids, digits, cut, first in ((place_a, x.ids_a, digits_a, x.cut_a, ";"), (place_b, x.ids_b, digits_b, x.cut_b, "|")):
-        mark = np.full(len(place), ord(","), np.uint8)
-        mark[np.flatnonzero(np.append(True, cut[:-1]))[: len(place)]] = ord(first)
-        out[place, 0] = mark
-        out[place, 1 + width - digits.shape[1] :] = digits[ids]
+    out = np.empty(len(place_a) + len(place_b), object)
     starts = x.from_a + x.from_b
-    out[starts[:-1][np.diff(starts) > 0], 0] = 0
-    used = out != 0
-    sizes = np.append(0, np.cumsum(used.sum(axis=1)))
-    flat = memoryview(out[used].tobytes())
-    return [bytes(flat[sizes[a] : sizes[b]]) for a, b in zip(starts, starts[1:], strict=False)]
+    for place, ids, marked, cut in ((place_a, x.ids_a, marked_a, x.cut_a), (place_b, x.ids_b, marked_b, x.cut_b)):
+        first = np.append(True, cut[:-1])[: len(cut)]
+        out[place] = marked[ids + (1 + first) * (len(marked) // 3)]
+    # A document's first token has no mark.
+    some = np.diff(x.from_a) > 0
+    out[starts[:-1][some]] = marked_a[x.ids_a[x.from_a[:-1][some]]]
+    parts, starts = out.tolist(), starts.tolist()
+    return [b"".join(parts[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], batch_bytes: int) -> Iterator[tuple[pa.RecordBatch, Aligned, TokenPair]]:
     pair = TokenPair.shared(*paths)
     for batch in slices(batches, "text", batch_bytes):
-        both = [pair.encode(text) for text in batch.column(1).to_pylist()]
+        both = pair.encode(batch.column(1).to_pylist())
         yield batch, lockstep([b[0] for b in both], [b[1] for b in both], pair.lengths_a, pair.lengths_b), pair
 
 
@@ -218,7 +272,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     names = ["ids_a", "ids_b", "cuts_a", "cuts_b", "links_a", "links_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, x, _ in _encoded(batches, (path_a, path_b), 1 << 20):
+        for batch, x, _ in _encoded(batches, (path_a, path_b), BATCH_BYTES):
             order = np.argsort(x.link_a, kind="stable")
             link_a, link_b = x.link_a[order], x.link_b[order]
             from_links = np.searchsorted(link_a, x.from_a)
@@ -254,30 +308,44 @@ def _numbers(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}") if n else np.zeros(0, np.uint8)
 
 
-def _slice_rows(number: int, batch: pa.RecordBatch, x: Aligned, pair: TokenPair) -> pa.RecordBatch:
-    """A row for each document of a slice, with its linked id pairs as places in the slice's
-    list of pairs, and one with that list and in how many documents each stands."""
+class _Part(NamedTuple):
+    """What a slice keeps of a batch: columns of its documents, and the different linked
+    pairs of each, with how often."""
+
+    columns: list[pa.Array]
+    owners: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def _part(batch: pa.RecordBatch, x: Aligned, pair: TokenPair) -> _Part:
     n = batch.num_rows
     doc = np.searchsorted(x.from_a, x.link_a, side="right") - 1
-    linked = x.ids_a[x.link_a] << _DEEPEST | x.ids_b[x.link_b]
-    asked, place = np.unique(linked, return_inverse=True)
-    keys, times = np.unique(doc * max(1, len(asked)) + place, return_counts=True)
-    own, place = np.divmod(keys, max(1, len(asked)))
-    in_docs = np.bincount(place, minlength=len(asked))
-    borders = np.searchsorted(own, np.arange(n + 1))
-    sizes_a, sizes_b = np.diff(x.from_a), np.diff(x.from_b)
+    linked = (doc << _BITS | x.ids_a[x.link_a]) << _BITS | x.ids_b[x.link_b]
+    keys, times = np.unique(linked, return_counts=True)
     groups = np.diff(np.append(0, np.cumsum(x.cut_a))[x.from_a])
-    texts = group_texts(x, pair.digits_a, pair.digits_b)
-    parts = list(zip(borders, borders[1:], strict=False))
-    numbers = [sizes_a, sizes_b, groups, np.bincount(doc, minlength=n)[:n]]
-    last = pa.nulls(1, pa.int64())
+    numbers = [np.diff(x.from_a), np.diff(x.from_b), groups, np.bincount(doc, minlength=n)[:n]]
+    texts = group_texts(x, pair.marked_a, pair.marked_b)
+    digests = pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts], pa.string())
+    return _Part([batch.column(0), *(pa.array(c.astype(np.int64)) for c in numbers), digests], keys >> 2 * _BITS, keys & (1 << 2 * _BITS) - 1, times)
+
+
+def _slice_rows(number: int, parts: list[_Part]) -> pa.RecordBatch:
+    """A row for each document of a slice, with its linked id pairs as places in the slice's
+    list of pairs, and one with that list and in how many documents each stands."""
+    columns = [pa.concat_arrays([*some, pa.nulls(1, some[0].type)]) for some in zip(*(p.columns for p in parts), strict=True)]
+    n = len(columns[0]) - 1
+    asked, place = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True)
+    times = np.concatenate([p.times for p in parts])
+    before = np.cumsum([0, *(len(p.columns[0]) for p in parts)])
+    borders = np.searchsorted(np.concatenate([p.owners + b for p, b in zip(parts, before, strict=False)]), np.arange(n + 1))
+    in_docs = np.bincount(place, minlength=len(asked))
+    some = list(zip(borders, borders[1:], strict=False))
     columns = [
         pa.array(np.full(n + 1, number)),
-        pa.concat_arrays([batch.column(0), last]),
-        *(pa.concat_arrays([pa.array(c.astype(np.int64)), last]) for c in numbers),
-        pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts] + [None]),
-        pa.array([_wide(place[a:b], len(asked)) for a, b in parts] + [None], pa.binary()),
-        pa.array([_small(times[a:b]) for a, b in parts] + [None], pa.binary()),
+        *columns,
+        pa.array([_wide(place[a:b], len(asked)) for a, b in some] + [None], pa.binary()),
+        pa.array([_small(times[a:b]) for a, b in some] + [None], pa.binary()),
         pa.array([None] * n + [asked.astype("<i8").tobytes()], pa.binary()),
         pa.array([None] * n + [in_docs.astype("<i8").tobytes()], pa.binary()),
     ]
@@ -299,7 +367,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), number)), pa.array(places), pa.array(pairs[some]), pa.array(n[some])], names=["slice", "place", "pair", "n"])
 
 
-def alignment_counts(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 8 << 20) -> DataFrame:
+def alignment_counts(docs: DataFrame, path_a: str, path_b: str, slice_links: int = SLICE_LINKS) -> DataFrame:
     """For each document doc_id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose id
     pair is in as many documents as any pair of its A id), count_sum (documents that hold
     the pair, over the links) and groups_sha256 (of ``group_texts``; '' without tokens).
@@ -315,15 +383,22 @@ def alignment_counts(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int
     scratch = Scratch(docs.sparkSession, "alignment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for k, (batch, x, pair) in enumerate(_encoded(batches, (path_a, path_b), slice_bytes)):
-            yield _slice_rows(first + k, batch, x, pair)
+        number, links = TaskContext.get().partitionId() << 32, 0
+        parts: list[_Part] = []
+        for batch, x, pair in _encoded(batches, (path_a, path_b), BATCH_BYTES):
+            parts.append(_part(batch, x, pair))
+            links += len(parts[-1].pairs)
+            if links >= slice_links:
+                yield _slice_rows(number, parts)
+                number, links, parts = number + 1, 0, []
+        if parts:
+            yield _slice_rows(number, parts)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.written(source.mapInArrow(run, _DOCUMENTS), "rows")
     asked = rows.where("asked IS NOT NULL").select("slice", "asked", "in_docs").mapInArrow(_asked, "slice long, place int, pair long, n long")
     counts = scratch.written(asked.groupBy("pair").agg(F.sum("n").alias("n")), "counts")
-    id_a = F.shiftright("pair", int(_DEEPEST))
+    id_a = F.shiftright("pair", _BITS)
     highest = counts.groupBy(id_a.alias("a")).agg(F.max("n").alias("most"))
     judged = counts.withColumn("a", id_a).join(F.broadcast(highest), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
     answers = asked.drop("n").join(judged, "pair").select("slice", "place", "n", "best")
