@@ -1,13 +1,16 @@
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from venuegrid.functions import signature as signature_module
 from venuegrid.functions.text import match_key
 from venuegrid.operators import duplicates, text_join
 from venuegrid.operators.duplicates import Limits
+from venuegrid.operators.components import component_labels
 from venuegrid.operators.survivors import removed_ids
 
 SCHEMA = "place_id long, name string, location string, rating double"
@@ -201,22 +204,60 @@ GRAPHS = {
 @pytest.mark.parametrize("name", GRAPHS)
 def test_survivors_of_known_shapes(spark, name):
     pairs, rating = GRAPHS[name]
-    check_survivors(spark, pairs, rating)
+    for options in ({"task_pairs": 0}, {"task_pairs": 5, "rounds": 1}, {}):
+        check_survivors(spark, pairs, rating, **options)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_survivors_of_random_graphs(spark, seed):
+    """Many graphs at once, side by side, by rounds only and by rounds and components."""
     rng = random.Random(seed)
-    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(rng.choice([30, 90, 250]))})
-    check_survivors(spark, pairs, lambda i: (i * 2654435761 + seed) % 4)
+    pairs = []
+    for k in range(60):
+        n = rng.choice([4, 6, 9, 15])
+        pairs += sorted({tuple(sorted((1000 * k + a, 1000 * k + b))) for a, b in (rng.sample(range(n), 2) for _ in range(rng.choice([n, 2 * n, 4 * n])))})
+    for options in ({"task_pairs": 0}, {"task_pairs": 12, "rounds": 1}):
+        check_survivors(spark, pairs, lambda i: (i * 2654435761 + seed >> 7) % (2 + seed % 4), **options)
 
 
-def check_survivors(spark, pairs, rating):
+@pytest.mark.parametrize("rating", [lambda i: 1, lambda i: i, lambda i: (i * 2654435761 >> 9) % 3])
+def test_a_long_chain_takes_few_rounds(spark, rating):
+    history = []
+    check_survivors(spark, [(i, i + 1) for i in range(1, 1002)], rating, task_pairs=0, history=history)
+    assert len(history) < 30
+
+
+def test_a_ladder_is_finished_by_components(spark):
+    history = []
+    pairs = [(i, i + step) for i in range(1, 600) for step in (1, 2)]
+    check_survivors(spark, pairs, lambda i: 1, task_pairs=len(pairs) - 1, rounds=2, history=history)
+    assert len(history) < 5
+
+
+def test_component_labels(spark):
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(100, 400)] + [tuple(sorted(rng.sample(range(500, 900), 2))) for _ in range(250)] + [(1000, j) for j in range(1001, 1300)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = component_labels(spark.createDataFrame(pairs, "i long, j long")).collect()
+    assert {r["node"]: r["label"] for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
+
+
+def check_survivors(spark, pairs, rating, **options):
     nodes = sorted({i for p in pairs for i in p})
     ratings = {i: float(rating(i)) for i in nodes}
     got = removed_ids(
         spark.createDataFrame(pairs, "id_1 long, id_2 long").repartition(3),
         spark.createDataFrame(list(ratings.items()), "id long, rating double"),
+        **options,
     )
     assert sorted(r["id"] for r in got.collect()) == sorted(greedy(pairs, ratings))
 
@@ -234,3 +275,48 @@ def test_plan_has_no_cartesian_product(spark):
     keys = duplicates.match_keys(df)
     plan = duplicates.directed_pairs(keys)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_bitmaps_never_differ_in_more_places_than_the_texts(spark):
+    """And nearly always in as many: a pair that characters rule out is seen."""
+    rng = random.Random(17)
+    texts = ["", "a", "ee" * 300, "ñandú 東京 " * 9] + ["".join(rng.choice("abcdefg hijklmnop0123ñé/") for _ in range(rng.randrange(90))) for _ in range(120)]
+    rows = signature_module._bitmaps(texts)
+    exact = 0
+    for (i, a), (j, b) in combinations(enumerate(texts), 2):
+        apart = sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values())
+        bits = sum((int(x) ^ int(y)).bit_count() if (int(x) ^ int(y)) >= 0 else ((int(x) ^ int(y)) % (1 << 64)).bit_count() for x, y in zip(rows[i], rows[j], strict=True))
+        assert bits <= apart
+        exact += bits >= 0.9 * apart
+    assert exact > 0.9 * 124 * 123 / 2
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(signature_module.signature("t").alias("w"))
+    assert [r["w"] for r in df.collect()] == rows.tolist() + [[0] * 8]
+
+
+def test_partners_rule_out_only_pairs_that_cannot_reach_the_floor(spark):
+    """Rows that leave the meeting are no more than pairs within both bounds, and all that qualify."""
+    rng = random.Random(23)
+    rows = unique(keyed(spark.createDataFrame(variants(rng, 160, BASES), SCHEMA)))
+    rows = [r for r in rows if r[1] and r[2]]
+    keys = spark.createDataFrame([(r[0], r[1], r[2], 1) for r in rows], "id long, name string, location string, copies int")
+    keys = keys.withColumns({f"{c}_words": signature_module.signature(c) for c in ("name", "location")})
+    partner = text_join.Partner(0.6)
+    texts = keys.groupBy(F.col("location").alias("text")).agg(F.min("id").alias("tid"), F.first("location_words").alias("words"), *partner.summary("name", "name_words"))
+    names, places, tid = {}, {}, {}
+    for r in rows:
+        tid[r[2]] = min(r[0], tid.get(r[2], r[0]))
+        names.setdefault(r[2], []).append(r[1])
+    got = {tuple(r) for r in text_join.candidate_texts(texts, 0.85, partner=partner).collect()}
+
+    def bound(a, b):
+        return 2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
+
+    within, qualify = set(), set()
+    for a, b in combinations(tid, 2):
+        pair = tuple(sorted((tid[a], tid[b])))
+        if bound(a, b) >= 0.85 - 1e-9 and any(bound(x, y) >= 0.6 - 1e-9 for x in names[a] for y in names[b]):
+            within.add(pair)
+        if max(sim(a, b), sim(b, a)) >= 0.85 and any(max(sim(x, y), sim(y, x)) >= 0.6 for x in names[a] for y in names[b]):
+            qualify.add(pair)
+    assert qualify <= got
+    assert len(got) <= 1.1 * len(within) < 0.8 * len(list(combinations(tid, 2)))
