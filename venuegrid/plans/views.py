@@ -144,7 +144,9 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """The SQL with the views it names defined in front."""
     parts = [f"{n} AS (SELECT {', '.join(VIEWS[n][1])} FROM {VIEWS[n][0]})" for n in names]
-    body = sql.strip()
-    if body.upper().startswith("WITH "):
-        body = ", " + body[5:]
-    return "WITH " + ", ".join(parts) + ("" if body.startswith(",") else " ") + body
+    body, start = sql.strip(), "WITH "
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            body, start = ", " + body[len(opening) :], opening
+            break
+    return start + ", ".join(parts) + ("" if body.startswith(",") else " ") + body
