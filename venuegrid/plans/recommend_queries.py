@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters, paging, profiles, recommend, statistics
+from ..runtime import scratch_folder
 from ..schema import result_rows
+from ..sources import indexes
 from .registry import query, rounded
 from .views import view
 
@@ -322,3 +324,37 @@ def filter_options(spark, folder) -> DataFrame:
 @query("type_distribution", "places", check="SELECT type, count(*) AS count FROM places GROUP BY type")
 def type_distribution(spark, folder) -> DataFrame:
     return statistics.type_distribution(view(spark, folder, "places"))
+
+
+def _indexed(spark, folder, name: str) -> str:
+    """A store with the layouts of a view."""
+    store = scratch_folder(spark)
+    indexes.write_indexes(view(spark, folder, name), store, range_rows=2_000)
+    return store
+
+
+@query(
+    "search_indexed",
+    "places",
+    check=f"SELECT {ROW} FROM places WHERE contains(lower(name), 'bolt') ORDER BY {BY_RATING} LIMIT 50",
+)
+def search_indexed(spark, folder) -> DataFrame:
+    """The search by name, from the grams of the names."""
+    return indexes.search(spark, _indexed(spark, folder, "places"), " Bolt ", limit=50)
+
+
+@query("lookup_indexed", "offers", check=f"SELECT {ROW} FROM offers WHERE place_id IN (77, 1, 12000)")
+def lookup_indexed(spark, folder) -> DataFrame:
+    """Lookups in the layout by id."""
+    return result_rows(indexes.lookup(spark, _indexed(spark, folder, "offers"), 77, 1, 12000))
+
+
+@query(
+    "list_page_deep",
+    "offers",
+    check=f"""SELECT *, row_number() OVER (ORDER BY {BY_RATING}) + 5999 AS index FROM
+    (SELECT * FROM offers WHERE price <= 400000 ORDER BY {BY_RATING} LIMIT 20 OFFSET 6000)""",
+)
+def list_page_deep(spark, folder) -> DataFrame:
+    """A deep page of the filtered listing, from the ranges of the rating order."""
+    return indexes.page(spark, _indexed(spark, folder, "offers"), 301, max_price=400000)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import display, numbers, text
 from ..functions.rules import Rule
 from ..operators import cleaning, impute, quality, statistics
-from ..runtime import ensure_checkpoint_dir
+from ..runtime import scratch_folder
 from ..sources import tables
 from ..sources.csv_source import read_places
 from .registry import query, rounded
 from .views import view
 
 
-def _scratch(spark) -> str:
-    """A folder of its own below the one that all executors reach."""
-    return f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
-
-
 @query(
     "summary_stats",
     "lines",
@@ -229,7 +223,7 @@ def clean_ingest(spark, folder) -> DataFrame:
 )
 def csv_ingest(spark, folder) -> DataFrame:
     """Write raw offers as CSV with the source's headers, read and clean them."""
-    path = _scratch(spark) + "/raw"
+    path = scratch_folder(spark) + "/raw"
     raw = view(spark, folder, "raw_offers").withColumnsRenamed({v: k for k, v in cleaning.SOURCE_HEADERS.items()})
     tables.export(raw, path, "csv")
     read = read_places(spark, path, row_id=False)
@@ -398,21 +392,21 @@ PLACES = "place_id long, name string, type string, price double, rating double,
 
 @query("export_csv", "places", check=EXPORTED)
 def export_csv(spark, folder) -> DataFrame:
-    path = _scratch(spark) + "/csv"
+    path = scratch_folder(spark) + "/csv"
     tables.export(view(spark, folder, "places"), path, "csv")
     return spark.read.schema(PLACES).option("header", True).option("escape", '"').csv(path)
 
 
 @query("export_json", "places", check=EXPORTED)
 def export_json(spark, folder) -> DataFrame:
-    path = _scratch(spark) + "/json"
+    path = scratch_folder(spark) + "/json"
     tables.export(view(spark, folder, "places"), path, "JSON")
     return spark.read.schema(PLACES).json(path)
 
 
 @query("publish_and_filter", "places", check=EXPORTED + " WHERE price <= 1000 AND cluster = 2")
 def publish_and_filter(spark, folder) -> DataFrame:
-    store = _scratch(spark)
+    store = scratch_folder(spark)
     places = view(spark, folder, "places")
     tables.publish(places.drop("cluster"), store, tables.CLEANED)
     tables.publish(places, store, tables.CLUSTERED)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder of its own below the one that all executors reach."""
+    return f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)
