@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from conftest import PLACE
 from pyspark.sql import functions as F
 
 from venuegrid.operators import cluster_scores, clustering, features, knn_join, profiles, similar
@@ -249,3 +250,27 @@ def test_batch_run(spark, groups, tmp_path):
     published = read_published(spark, str(tmp_path / "store"))
     assert published.count() == result.model.info.rows
     assert {r[0] for r in published.select("cluster_name").distinct().collect()} == {"Ekonomis", "Menengah", "Premium"}
+
+
+def test_many_types_are_numbered_by_ranges(spark, monkeypatch):
+    """No window over all types: their places come from counts of ranges."""
+    monkeypatch.setattr(features, "FEW_TYPES", 3)
+    rows = [(k, f"type {k * 37 % 211:03d}" if k % 10 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "place_id long, type string")
+    order = sorted({t for _, t in rows if t})
+    got = features.with_type_code(df)
+    assert {r["place_id"]: r["type_encoded"] for r in got.collect()} == {k: float(order.index(t)) if t else None for k, t in rows}
+    numbered = features._numbered(df.select("type").where("type IS NOT NULL").distinct())
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan and numbered.count() == len(order)
+
+
+def test_model_from_known_centres_survives_saving(spark, tmp_path):
+    rows = [(k, f"n{k}", f"t{k % 2}", 10.0 + k, 1.0 + k % 5, "x", 1.0 + k % 3, 0) for k in range(30)]
+    df = spark.createDataFrame(rows, PLACE).drop("cluster")
+    model = clustering.from_centres(df, [[-1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]])
+    model.save(str(tmp_path / "m"))
+    again = clustering.ClusterModel.load(str(tmp_path / "m"))
+    assert again.info == model.info and model.info.rows == 30 and model.info.inertia > 0
+    got = {r["place_id"]: r["cluster"] for r in again.assign(df).collect()}
+    assert got == {r["place_id"]: r["cluster"] for r in model.assign(df).collect()} and set(got.values()) == {0, 1}

@@ -254,6 +254,19 @@ def fit_clusters(
     return model, assigned.drop("point")
 
 
+def from_centres(
+    rows: DataFrame, centres: list[list[float]], *, fences: dict | None = None, weights: dict | None = None, weight_after_scaling: bool = False
+) -> ClusterModel:
+    """A model with known centres, in the features as scaled over the prepared ``rows``."""
+    weights = {**FEATURE_WEIGHTS, **(weights or {})}
+    stages = _feature_stages(weights, weight_after_scaling).fit(rows)
+    points = stages.transform(rows).select(vector_to_array(SCALED).alias("point"))
+    gaps = [sum(((F.get("point", F.lit(d)) - F.lit(float(x))) ** 2 for d, x in enumerate(c)), F.lit(0.0)) for c in centres]
+    n, cost = points.agg(F.count("*"), F.sum(F.least(*gaps) if len(gaps) > 1 else gaps[0])).first()
+    fences = {c: list(f) for c, f in (fences or {}).items()}
+    return ClusterModel(stages, FitInfo(len(centres), n, fences, weights, weight_after_scaling, SEED, cost * n / max(1, n - 1), [list(map(float, c)) for c in centres]))
+
+
 def name_clusters(assigned: DataFrame, k: int | None = None) -> DataFrame:
     """Add the price-ordered name of every row's cluster."""
     return with_cluster_names(assigned, cluster_names(assigned, k))

@@ -15,17 +15,28 @@ FEATURES = ("price", "rating", "distance", TYPE_CODE)
 
 def with_type_code(df: DataFrame) -> DataFrame:
     """Code of the type: its place among the sorted distinct types. A few types
-    become a literal list; many are looked up by a join."""
+    become a literal list; many are numbered by ranges and looked up by a join."""
     types = materialise(df.select("type").where(F.col("type").isNotNull()).distinct())
     if types.count() <= FEW_TYPES:
         found = [r["type"] for r in types.orderBy("type").collect()]
         position = F.array_position(F.array(*[F.lit(t) for t in found]).cast("array<string>"), F.col("type"))
         return df.withColumn(TYPE_CODE, (position - 1).cast("double"))
-    code = (F.row_number().over(Window.orderBy("type")) - 1).cast("double")
-    codes = broadcast_if_small(types.withColumn(TYPE_CODE, code))
+    codes = broadcast_if_small(_numbered(types).withColumnRenamed("place", TYPE_CODE))
     return df.join(codes, "type", "left").select(*df.columns, TYPE_CODE)
 
 
+def _numbered(types: DataFrame) -> DataFrame:
+    """Each type's place in their order: the types of all ranges before its own, which are
+    counted first, and its place among those of its range."""
+    ranges = materialise(types.repartitionByRange("type").withColumn("range", F.spark_partition_id()))
+    before, found = [], 0
+    for r in ranges.groupBy("range").agg(F.count("*").alias("types")).orderBy("range").collect():
+        before += [F.lit(r["range"]), F.lit(found)]
+        found += r["types"]
+    own = F.row_number().over(Window.partitionBy("range").orderBy("type")) - 1
+    return ranges.select("type", (F.element_at(F.create_map(*before), F.col("range")) + own).cast("double").alias("place"))
+
+
 def with_features(df: DataFrame) -> DataFrame:
     """Make sure every feature column exists."""
     return df if TYPE_CODE in df.columns else with_type_code(df)

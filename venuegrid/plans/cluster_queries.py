@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster_scores, clustering, features, knn_join, profiles, similar, statistics
 from ..operators.kmeans import lloyd, nearest_centre
-from ..runtime import ensure_checkpoint_dir
+from ..runtime import scratch_folder
 from ..streaming.scoring import assign_stream, write_stream
 from .registry import query, rounded
 from .views import view
@@ -318,11 +317,76 @@ def feature_importance(spark, folder) -> DataFrame:
     return model.feature_importance()
 
 
+#: Each place's nearest given centre, scaled as the fitted stages do, by the sample deviation.
+NEAREST = (
+    SCALED.replace("stddev_pop", "stddev_samp")
+    + f""", g AS (SELECT unnest([0, 1, 2]) AS cluster, unnest({GIVEN}) AS c),
+    near AS (SELECT place_id, cluster FROM (SELECT place_id, cluster, row_number() OVER (PARTITION BY place_id ORDER BY list_distance(v, c), cluster) AS r
+      FROM z, g) WHERE r = 1)"""
+)
+
+
+def _given_model(spark, folder) -> tuple[DataFrame, clustering.ClusterModel]:
+    """A model with the given centres, saved and loaded."""
+    places = view(spark, folder, "places").drop("cluster")
+    path = scratch_folder(spark)
+    clustering.from_centres(places, GIVEN).save(path)
+    return places, clustering.ClusterModel.load(path)
+
+
+@query("predict_given", "places", check=NEAREST + " SELECT place_id, CAST(cluster AS INT) AS cluster FROM near")
+def predict_given(spark, folder) -> DataFrame:
+    """Places assigned by a saved and loaded model."""
+    places, model = _given_model(spark, folder)
+    return model.assign(places).select("place_id", "cluster")
+
+
+@query(
+    "stored_model",
+    "places",
+    check=NEAREST
+    + f""", gaps AS (SELECT min(list_distance(v, c) ^ 2) AS gap FROM z, g GROUP BY place_id),
+    fit AS (SELECT count(*) AS n, sum(gap) AS cost FROM gaps),
+    spread AS (SELECT unnest([var_pop(c[1]), var_pop(c[2]), var_pop(c[3]), var_pop(c[4])]) AS x FROM g)
+    SELECT 'k' AS fact, 3.0::DOUBLE AS value UNION ALL SELECT 'rows', n FROM fit UNION ALL SELECT 'inertia', round(cost * n / (n - 1), 4) FROM fit
+    UNION ALL SELECT 'largest importance', round(max(x) / sum(x), 6) FROM spread""",
+)
+def stored_model(spark, folder) -> DataFrame:
+    """What a loaded model knows of itself."""
+    _, model = _given_model(spark, folder)
+    facts = spark.createDataFrame([("k", float(model.info.k)), ("rows", float(model.info.rows)), ("inertia", round(model.info.inertia, 4))], "fact string, value double")
+    top = model.feature_importance().agg(F.round(F.max("importance"), 6).alias("value"))
+    return facts.unionByName(top.select(F.lit("largest importance").alias("fact"), "value"))
+
+
+@query(
+    "stream_given",
+    "places",
+    check=NEAREST
+    + """, n AS (SELECT cluster, CASE row_number() OVER (ORDER BY avg(price), cluster) WHEN 1 THEN 'Ekonomis' WHEN 2 THEN 'Menengah' ELSE 'Premium' END
+      AS cluster_name FROM near JOIN (SELECT place_id, price FROM places) USING (place_id) GROUP BY cluster)
+    SELECT place_id, CAST(cluster AS INT) AS cluster, cluster_name FROM near JOIN n USING (cluster)""",
+)
+def stream_given(spark, folder) -> DataFrame:
+    """The same places as a stream, assigned by the loaded model and read back."""
+    places, model = _given_model(spark, folder)
+    return _streamed(spark, model, places, model.assign(places)).select("place_id", "cluster", "cluster_name")
+
+
+def _streamed(spark, model: clustering.ClusterModel, places: DataFrame, assigned: DataFrame) -> DataFrame:
+    base = scratch_folder(spark)
+    places.write.parquet(f"{base}/in")
+    names = {r["cluster"]: r["cluster_name"] for r in profiles.cluster_names(assigned).collect()}
+    stream = spark.readStream.schema(places.schema).parquet(f"{base}/in")
+    write_stream(assign_stream(model, stream, names), f"{base}/out", f"{base}/progress").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("predict_new")
 def predict_new(spark, folder) -> DataFrame:
     """Save a fitted model, load it, and assign all places with frozen fences."""
     places, (model, _) = _fit(spark, folder, silhouette=None)
-    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     model.save(path)
     return clustering.ClusterModel.load(path).assign(places, outliers="frozen")
 
@@ -331,9 +395,4 @@ def predict_new(spark, folder) -> DataFrame:
 def stream_assign(spark, folder) -> DataFrame:
     """Assign the same places as a stream and read back what it wrote."""
     places, (model, assigned) = _fit(spark, folder, silhouette=None)
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    places.write.parquet(f"{base}/in")
-    names = {r["cluster"]: r["cluster_name"] for r in profiles.cluster_names(assigned).collect()}
-    stream = spark.readStream.schema(places.schema).parquet(f"{base}/in")
-    write_stream(assign_stream(model, stream, names), f"{base}/out", f"{base}/progress").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return _streamed(spark, model, places, assigned)
