@@ -87,10 +87,10 @@ def test_pieces(spark, docs):
     rows += [(100 + i, " ".join(rng.choices(["alpha", "beta", "gamma,"], k=int(rng.paretovariate(0.6)) % 9000))) for i in range(150)]
     want = {i: truth(t) for i, t in rows}
     got = pack_documents(docs(rows, extra=True).repartition(3), PATH, 2).collect()
-    assert check_pieces(got, want) <= 3 * 4096
+    assert check_pieces(got, want) == 0
 
 
-def test_packer_fills_windows_and_balances():
+def test_packer_fills_windows():
     rng = random.Random(1)
     packer, lengths = Packer(0), [rng.choice([1, 30, 700, 1500, 3000, 4095, 4096, 9000]) for _ in range(3000)]
     for k, n in enumerate(lengths):
@@ -98,14 +98,26 @@ def test_packer_fills_windows_and_balances():
         if k % 500 == 499:
             packer.pack(last=False)
     packer.pack(last=True)
-    loads, taken, short = {}, [0] * len(lengths), 0
-    for _, group, tier, window in packer.sequences():
-        loads[group] = loads.get(group, 0) + tier
-        short += sum(s[0] for s in window) != tier
+    taken, short = [0] * len(lengths), []
+    for _, tier, window in packer.sequences():
+        size = sum(s[0] for s in window)
+        if size != tier:
+            short.append(size)
         for n, k, _ in window:
             taken[k] += n
-    assert taken == lengths and short <= 1
-    assert max(loads.values()) - min(loads.values()) <= 4096
+    assert taken == lengths and len(short) <= 9 and all(n & (n - 1) == 0 and n < 512 for n in short)
+
+
+def test_step_groups_are_balanced_over_all_tasks(spark, docs):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma,"], k=int(rng.paretovariate(0.7) * 40) % 6000))) for i in range(900)]
+    got = pack_documents(docs(rows).repartition(50), PATH, 2, step_tokens=1 << 15)
+    rows = got.groupBy("step_group").agg({"length": "sum"}).collect()
+    loads = [r[1] for r in rows]
+    assert len(loads) == round(sum(loads) / (1 << 15)) > 5
+    assert max(loads) - min(loads) <= 4096 < 0.15 * min(loads)
+    parts = got.where("offset = 0").groupBy("step_group").agg({"sequence_id": "count"}).count()
+    assert parts == len(loads)
 
 
 def test_repeated_rows_are_packed_each(spark, docs):
