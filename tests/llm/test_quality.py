@@ -51,6 +51,27 @@ def test_outliers_go_and_clean_documents_stay(spark, docs):
     assert judge_quality(docs([])).count() == 0
 
 
+def test_each_statistic_can_reject_alone(spark, docs):
+    """One planted document for each statistic; it differs from the others in that one."""
+    rng = random.Random(6)
+    rows = [(i, make(rng, rng.randint(60, 300)), "en", "s") for i in range(300)]
+    plain = make(rng, 120).split()
+    lines = "\n".join(make(rng, 10) for _ in range(20))
+    phrase = make(rng, 22)
+    planted = {
+        "log_words": make(rng, 60_000),
+        "log_word_length": " ".join(w * 4 for w in plain),
+        "log_symbols": " ".join(w + "%" * (k % 3) for k, w in enumerate(plain)),
+        "dup_line_share": lines + "\n" + "\n".join(["abcd12"] * 45),
+        "repeat_share": phrase + " " + make(rng, 40) + " " + phrase + " " + make(rng, 20),
+    }
+    rows += [(1000 + k, text, "en", "s") for k, text in enumerate(planted.values())]
+    got = {r["doc_id"]: r for r in judge_quality(docs(rows)).collect()}
+    assert not any(got[1000 + k]["base_failed"] for k in range(len(planted)))
+    assert {name: got[1000 + k]["kept"] for k, name in enumerate(planted)} == dict.fromkeys(planted, False)
+    assert all(got[k]["kept"] for k in range(300))
+
+
 def test_estimate_equals_numpy(spark):
     """One concentration step after another, in numpy, from the same two starts."""
     rng = np.random.default_rng(0)
@@ -59,20 +80,26 @@ def test_estimate_equals_numpy(spark):
     names = list(FEATURES)
     rows = spark.createDataFrame([("en", "s", *map(float, v)) for v in x], "g_lang string, g_source string, " + ", ".join(f"{n} double" for n in names))
     got = robust_estimates(rows, min_group=10).where("g_level = 1").collect()[0]
-    floor = np.diag([v**2 for v in FEATURES.values()])
+    least = np.array([v**2 for v in FEATURES.values()])
+
+    def floored(cov):
+        cov = cov.copy()
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), least) + quality.RIDGE * least)
+        return cov
+
     cut = quality._chi_square_upper(0.25, 5)
     scale = 0.75 / quality._chi_square(cut, 7)
     def at(v, share):
         return np.sort(v)[int(np.ceil(share * len(v))) - 1]
 
     spread = np.array([(at(c, 0.75) - at(c, 0.25)) / 1.349 for c in x.T])
-    starts = [(np.array([at(c, 0.5) for c in x.T]), np.diag(spread**2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor)]
+    starts = [(np.array([at(c, 0.5) for c in x.T]), np.diag(np.maximum(spread**2, least))), (x.mean(0), floored(np.cov(x.T, bias=True)))]
     ends = []
     for centre, cov in starts:
         for _ in range(3):
             d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
             own = x[d <= at(d, 0.75)]
-            centre, cov = own.mean(0), scale * np.cov(own.T, bias=True) + floor
+            centre, cov = own.mean(0), floored(scale * np.cov(own.T, bias=True))
         ends.append((np.linalg.det(cov), centre))
     assert np.allclose([got[f"m_{i}"] for i in range(5)], min(ends, key=lambda e: e[0])[1], atol=1e-6)
 

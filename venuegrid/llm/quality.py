@@ -12,9 +12,11 @@ from .common import SPACES, Scratch, row_key, without, words
 #: Low bits of a packed window that hold its place; the others hold bits of its hash.
 _PLACE_BITS = 26
 
-#: Transformed statistics, and the spread that a group is given at least in each: the
-#: difference that alone means nothing.
-FEATURES = {"log_words": 1.0, "log_word_length": 0.08, "log_symbols": 0.5, "dup_line_share": 0.15, "repeat_share": 0.1}
+#: Transformed statistics, and the deviation that a group is given at least in each, as most
+#: of them do not vary at all among most texts. Small against the range, so that each can reject.
+FEATURES = {"log_words": 0.7, "log_word_length": 0.08, "log_symbols": 0.5, "dup_line_share": 0.1, "repeat_share": 0.06}
+#: Part of the least variance that is added to each, so that no matrix is singular.
+RIDGE = 0.01
 #: Share of a group that the determinant is minimised over.
 SUBSET = 0.75
 STEPS = 3
@@ -125,12 +127,12 @@ def _distance(names: list[str]) -> Column:
 
 def _whitened(moments: DataFrame, names: list[str], scale: float) -> DataFrame:
     """Replace covariances c_i_j by the inverse of their Cholesky factor, w_i_j, and add
-    the determinant's logarithm. Each variance gets its least spread added, so that a
+    the determinant's logarithm. No variance is below its statistic's least one, so that a
     statistic that never varies in a group has an inverse as well."""
     n = len(names)
     df = moments
     for i, name in enumerate(names):
-        df = df.withColumn(f"c_{i}_{i}", scale * F.col(f"c_{i}_{i}") + FEATURES[name] ** 2)
+        df = df.withColumn(f"c_{i}_{i}", F.greatest(scale * F.col(f"c_{i}_{i}"), F.lit(FEATURES[name] ** 2)) + RIDGE * FEATURES[name] ** 2)
     for i in range(n):
         for j in range(i + 1):
             rest = F.col(f"c_{j}_{i}") * (1.0 if i == j else scale)
@@ -183,7 +185,7 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, min_group: int = MIN_G
         F.lit(0).alias("g_start"),
         *(F.col(f"q_{i}")[1].cast("double").alias(f"m_{i}") for i in range(len(names))),
         *(
-            (1 / F.sqrt(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) + FEATURES[n] ** 2) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}")
+            (1 / F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FEATURES[n])) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}")
             for i, n in enumerate(names)
             for j in range(i + 1)
         ),
