@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from venuegrid.llm import secrets
 from venuegrid.llm.secrets import all_spans, literal_spans, redacted, scan_secrets
 from document_tables import docs  # noqa: F401
 
@@ -44,7 +46,7 @@ def test_base_spans_equal_brute_force(spark, docs):
     [
         ('db_pwd := "Tr0ub4dor&3x"', ["Tr0ub4dor&3x"]),
         ('x = "hunter2-Zq9!"\ny = x\nDB_PASSPHRASE = y', ["hunter2-Zq9!"]),
-        ("private_key: 'ab' + 'Zx81+qqT7'", ["Zx81+qqT7"]),
+        ("private_key: 'ab' + 'Zx81+qqT7'", ["ab", "Zx81+qqT7"]),
         ("conf['clientCredential'] = `q8Wz!kk29x`", ["q8Wz!kk29x"]),
         ('{"dbCreds" : "n0t-Public-55"}', ["n0t-Public-55"]),
         ('x = "hunter2-Zq9!"\nx = "plain"\nPASSPHRASE = x', []),
@@ -77,7 +79,7 @@ def test_literals(text, literals):
         ('private_key = r#"S3cr3t"!Zx91q"#', ['S3cr3t"!Zx91q']),
         ('private_key = R"x(S3cr3t!Zx91q)x"', ["S3cr3t!Zx91q"]),
         ('private_key = @"S3cr3t""!Zx91q\\"', ['S3cr3t""!Zx91q\\']),
-        ('private_key = "ab" + b"S3cr3t!Zx91q"', ["S3cr3t!Zx91q"]),
+        ('private_key = "ab" + b"S3cr3t!Zx91q"', ["ab", "S3cr3t!Zx91q"]),
         ('private_key = """S3cr3t!Zx91q"""', ["S3cr3t!Zx91q"]),
         ("private_key = b'''\n  S3cr3t!\"Zx91q\n'''", ['S3cr3t!"Zx91q']),
         ('private_key = """S3cr3t!Zx91q', []),
@@ -99,3 +101,52 @@ def test_redaction(spark, docs):
     assert got[1]["text"] == "a [SECRET] b [SECRET]" and got[1]["n_chars"] == 21 and got[1]["score"] == "1"
     assert got[2]["text"] == "clean text" and got[3]["text"] is None and got[4]["text"] == ""
     assert redacted("abcdef", [("hex", 1, 3), ("assign", 2, 5)]) == "a[SECRET]f"
+
+
+@pytest.mark.parametrize("unit", ["k=1&", "key=1&", "pass=1&", "a:b=", "token: x1=", "var pwd string = ", "k='v' ", "password=abcdef12 s='Zx81q!kd' ", "x=x+", "=#", "a==", "key=Zx81q!kd+"])
+def test_time_grows_with_the_text(unit):
+    """A million characters of one line."""
+    text = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    secrets.all_spans(text)
+    assert time.process_time() - start < 20
+
+
+def test_parts_of_a_secret_are_all_found():
+    text = 'db_password = "S3cr3" + "t!Zx91q"\n'
+    assert [text[a:b] for _, a, b in secrets.all_spans(text)[1]] == ["S3cr3", "t!Zx91q"]
+    text = 'one = "S3cr"\ntwo = one + "3t!Zx" + "91q"\nclient_secret = two\n'
+    assert [text[a:b] for _, a, b in secrets.all_spans(text)[1]] == ["S3cr", "3t!Zx", "91q"]
+
+
+#: How configuration and source write a name and its value.
+FORMS = [
+    "{n} = '{v}'", '{n}: "{v}"', '"{n}": "{v}",', "export {n}={v}", "define('{n}', '{v}');", '<add key="{n}" value="{v}" />', '{n} =\n    "{v}"', "{n} = (\n  '{v}'\n)",
+    "const {n}: string = `{v}`;", "{n} := \"{v}\"", 'set("{n}", "{v}")', "x = '{v}'\n{n} = x", "{n} = '{h}' + '{t}'", "{n} => '{v}'", 'private static final String {n} = "{v}";',
+]
+
+
+def test_planted_secrets_are_found_and_others_left():
+    """Recall over all forms, names and random values; names that are not sensitive stay."""
+    rng = random.Random(8)
+    found = wrong = total = 0
+    for form in FORMS:
+        for name in ("db_password", "clientSecret", "AUTH_TOKEN", "api_key", "signingKey"):
+            for _ in range(8):
+                value = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!%-_") for _ in range(rng.randrange(12, 30)))
+                value = "q7" + value + "Z4"
+                h, t = value[:6], value[6:]
+                for n, hit in ((name, True), ("title_text", False)):
+                    text = f"-- settings\n{form.format(n=n, v=value, h=h, t=t)}\nother words here\n"
+                    covered = set()
+                    for _, a, b in secrets.all_spans(text)[1]:
+                        covered.update(range(a, b))
+                    places = [text.find(p) for p in ((h, t) if "{h}" in form else (value,))]
+                    whole = all(set(range(at, at + len(p))) <= covered for at, p in zip(places, (h, t) if "{h}" in form else (value,), strict=True))
+                    if hit:
+                        total += 1
+                        found += whole
+                    else:
+                        wrong += bool(covered) and not re.search(secrets._HEX, text)
+    assert found >= 0.97 * total, (found, total)
+    assert wrong == 0

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,6 +70,12 @@ _UNIT = (
     rf"(?:[A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_]\w*){{0,15}}{_GENERIC}{{0,7}}|{_GENERIC}{{1,7}})[?!*]{{0,3}}"
 )
 _TYPED = re.compile(rf"""[ \t]*(?:{_UNIT}(?:[ \t]*[|&][ \t]*{_UNIT}){{0,15}}|"[\w.\[\], |]+"|'[\w.\[\], |]+')[ \t]*(?==(?![=>]))""")
+#: Blanks before a value; a value in quotes may also stand in parentheses or on the next line.
+_OPENING = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\([ \t]*(?:\r?\n[ \t]*)?)?(?=[\"'`])|[ \t]*")
+#: Calls that set a name to a value, and a name and its value as two attributes.
+_CALL = re.compile(r"""\b(?:define|setenv|putenv|setProperty|set)[ \t]*\([ \t]*["']([\w.-]+)["'][ \t]*,""")
+_PAIR = re.compile(r"""\b(?:key|name)[ \t]*=[ \t]*["']([\w.-]+)["'][ \t]+value[ \t]*=""")
+_NAME_TERM = re.compile(r"[A-Za-z_$][\w.$]*(?=[ \t]*(?:[+;,)}\]\n#]|$))")
 _DECLARED = re.compile(r"\b(?:var|const)[ \t]+([A-Za-z_]\w*)[ \t]+(?:\[\w*\]|\*)*[A-Za-z_][\w.]*[ \t]*$")
 
 
@@ -81,16 +89,44 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret: length, variety, kinds of characters."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or re.match(r"\$\{|\{\{|<|%\(|\*{3}|x{4}", value, re.IGNORECASE):
+    return _score(value[:24], Counter(value), len(value), quoted)
+
+
+def _score(head: str, counts: Counter[str], size: int, quoted: bool) -> float:
+    """``literal_score`` from a literal's first characters and how often it has each."""
+    if size < 6 or size < 24 and head.lower() in PLACEHOLDERS or re.match(r"\$\{|\{\{|<|%\(|\*{3}|x{4}", head, re.IGNORECASE):
         return 0.0
-    if not quoted and (len(value) < 8 or not re.search(r"\d", value)):
+    present = "".join(counts)
+    if not quoted and (size < 8 or not re.search(r"\d", present)):
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
-    blank = 0.6 if re.search(r"\s", value) else 0.0
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+    kinds = sum(bool(re.search(p, present)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
+    blank = 0.6 if re.search(r"\s", present) else 0.0
     return min(entropy / 4, 1.0) * 0.6 + 0.15 * kinds - blank
 
 
+class _Scores:
+    """Scores of a text's literals, each computed once. Of literals that end at one place and
+    start one after the other, as in a run of bare assignments, the characters are
+    counted once: those between two starts leave the count."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.known: dict[tuple[int, int, bool], float] = {}
+        self.start, self.end, self.counts = 0, -1, Counter()
+
+    def __call__(self, start: int, end: int, quoted: bool) -> float:
+        key = start, end, quoted
+        if key not in self.known:
+            if end != self.end or start < self.start:
+                self.start, self.end, self.counts = start, end, Counter(self.text[start:end])
+            elif start > self.start:
+                self.counts -= Counter(self.text[self.start : start])
+                self.start = start
+            self.known[key] = _score(self.text[start : min(end, start + 24)], self.counts, end - start, quoted)
+        return self.known[key]
+
+
 def _name_before(text: str, at: int) -> str | None:
     """The name that ends before ``at``, which is an operator's place: an identifier, a
     quoted key or an index in brackets; blanks, and ? or ! before a type note, may stand
@@ -150,11 +186,17 @@ def _string(text: str, at: int, missing: set[str]) -> tuple[Term, int] | None:
     return ("literal", start, max(start, found.end() + len(value.rstrip())), True), end + len(mark)
 
 
-def _terms(text: str, at: int, missing: set[str]) -> tuple[list[Term], int]:
-    """The terms of the value that starts at ``at``, and where it ends."""
-    here, terms = _BLANK.match(text, at).end(), []
+def _terms(text: str, at: int, missing: set[str], bare: list[int]) -> tuple[list[Term], int]:
+    """The terms of the value that starts at ``at``, and where it ends. ``bare`` is the place
+    of the last bare literal: a value inside it ends where it does, and is not read again.
+    """
+    here, terms = _OPENING.match(text, at).end(), []
     while True:
-        if own := _string(text, here, missing):
+        if bare[0] < here < bare[1]:
+            found = _NAME_TERM.match(text, here)
+            terms.append(("name", *found.span(), False) if found else ("literal", here, bare[1], False))
+            here = terms[-1][2]
+        elif own := _string(text, here, missing):
             terms.append(own[0])
             here = own[1]
         else:
@@ -165,6 +207,8 @@ def _terms(text: str, at: int, missing: set[str]) -> tuple[list[Term], int]:
             group = term.lastindex
             terms.append(("name" if group == 4 else "literal", *term.span(group), group < 4))
             here = term.end()
+            if group == 5:
+                bare[:] = term.span(group)
         more = _JOIN.match(text, here)
         if not more:
             break
@@ -176,16 +220,23 @@ def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
     """Name and terms of every assignment. Terms are joined by ``+`` or ``..``. An
     assignment's value is read once: operators inside it start no assignment.
 
+    Calls such as ``define("NAME", value)`` and attributes ``key="NAME" value=...`` come first.
     ``name : type = value`` assigns to the name, and to what stands right before ``=`` as
     well, as that is the target in ``if name: target = value``. With a bare value the
     type may itself be the value (``name: a=b``), so that reading is told, too.
     """
-    at, missing = 0, set()
+    at, missing, bare, before = 0, set(), [0, 0], 0
+    for pattern in (_CALL, _PAIR):
+        for call in pattern.finditer(text):
+            terms, _ = _terms(text, call.end(), missing, [0, 0])
+            if terms:
+                yield call[1], terms
     while found := _OPERATOR.search(text, at):
+        last, before = before, found.end()
         at = found.end()
         name = _name_before(text, found.start())
         if found[0] == ":" and name is not None and (note := _TYPED.match(text, at)):
-            terms, here = _terms(text, note.end() + 1, missing)
+            terms, here = _terms(text, note.end() + 1, missing, bare)
             if terms and terms[0][3]:
                 at = here
                 yield name, terms
@@ -193,16 +244,17 @@ def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
                 if target is not None:
                     yield target, terms
                 continue
-            plain, _ = _terms(text, at, missing)
+            plain, _ = _terms(text, at, missing, bare)
             if plain:
                 yield name, plain
             if terms:
                 yield name, terms
             continue
-        declared = _DECLARED.search(text, max(0, found.start() - 120), found.start()) if found[0] == "=" else None
+        # A declaration has no operator, so it starts after the last one.
+        declared = _DECLARED.search(text, last, found.start()) if found[0] == "=" else None
         if name is None and declared is None:
             continue
-        terms, here = _terms(text, at, missing)
+        terms, here = _terms(text, at, missing, bare)
         if terms:
             # A quoted literal is passed over; a bare one may hold a further assignment.
             at = max(at, here) if terms[0][3] or terms[0][0] == "name" else at
@@ -213,15 +265,17 @@ def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Literals that reach a sensitive name, straight or through other names.
+    """Literals that reach a sensitive name, straight or through other names; of one that
+    is joined from several, all parts.
 
     Assignments are followed in order: a name holds the literals of its last assignment,
     so a literal is scored by every name that it flows to.
     """
-    if not _OPERATOR.search(text):
+    if not _OPERATOR.search(text) and not _CALL.search(text):
         return []
     holds: dict[str, list[tuple[int, int, bool]]] = {}
     found: set[tuple[int, int]] = set()
+    score = _Scores(text)
     for name, terms in assignments(text):
         values: list[tuple[int, int, bool]] = []
         for kind, start, end, quoted in terms:
@@ -232,8 +286,13 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
         values = list(dict.fromkeys(values))
         holds[name] = values
         weight = name_score(name)
-        if weight >= 0.5:
-            found.update((a, b) for a, b, quoted in values if b - a >= 6 and (s := literal_score(text[a:b], quoted)) > 0 and weight + s >= threshold)
+        if weight < 0.5:
+            continue
+        parts = [v[:2] for v in values if v[2]]
+        if len(parts) > 1 and (s := literal_score("".join(text[a:b] for a, b in parts), True)) > 0 and weight + s >= threshold:
+            # A secret in parts: what they make together counts, and all of them are it.
+            found.update(p for p in parts if p[0] < p[1])
+        found.update(v[:2] for v in values if v[1] - v[0] >= 6 and (s := score(*v)) > 0 and weight + s >= threshold)
     return sorted(found)
 
 
@@ -252,7 +311,13 @@ def _ordered(spans: list[Span]) -> list[Span]:
 def all_spans(text: str, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """The base spans, and those with the literals that no base span covers."""
     base = base_spans(text)
-    more = [("literal", a, b) for a, b in literal_spans(text, threshold) if not any(s <= a and b <= e for _, s, e in base)]
+    starts = [s for _, s, _ in base]
+    ends = list(accumulate((e for *_, e in base), max))
+    more = []
+    for a, b in literal_spans(text, threshold):
+        before = bisect_right(starts, a)
+        if not before or ends[before - 1] < b:
+            more.append(("literal", a, b))
     return base, _ordered(base + more)
 
 
