@@ -14,7 +14,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, slices, written
+from .common import Scratch, per_process, slices
 
 #: Families of languages by ISO 639-1 code. Another code is a family of its own.
 FAMILIES = {
@@ -34,6 +34,8 @@ FEATURES = 4096  # the hash below gives twelve bits
 #: the row from all of them; a language with fewer than MIN_DOCS is not learned.
 SAMPLE = 1500
 MIN_DOCS = 5
+#: Languages whose counts are sent to all tasks.
+MOST_BROADCAST = 10_000
 UNKNOWN = "und"
 
 
@@ -107,12 +109,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from the rows of ``docs`` (doc_id, text, lang); those with a null text or
     language teach nothing. None if no language has ``MIN_DOCS`` documents."""
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = usable.groupBy("lang").count().where(F.col("count") >= MIN_DOCS)
-    # Each language is drawn at the rate that gives about ``sample`` documents.
+    scratch = Scratch(docs.sparkSession, "language")
+    counts = scratch.written(usable.groupBy("lang").count().where(F.col("count") >= MIN_DOCS), "counts")
+    # Each language is drawn at the rate that gives about ``sample`` documents. Counts have a
+    # row for each language; if they are few, texts stay where they are, and only what is
+    # drawn is written. (With very many the join is by language.)
+    known = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    drawn = usable.select("doc_id", "text", "lang").join(counts, "lang").where(part * F.col("count") < sample)
+    drawn = usable.select("doc_id", "text", "lang").join(known, "lang").where(part * F.col("count") < sample)
     vector = F.udf(_vector, VectorUDT(), useArrow=False)  # on the sample only
-    features = written(drawn.select("lang", vector("text").alias("features")), "language-sample")
+    features = scratch.written(drawn.select("lang", vector("text").alias("features")), "sample")
     langs = sorted(r["lang"] for r in features.select("lang").distinct().collect())
     if not langs:
         return None
