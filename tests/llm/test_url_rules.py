@@ -91,3 +91,17 @@ def test_a_clear_rule_of_the_rare_verdict_outdoes_a_common_one(spark):
     pages = spark.createDataFrame([(1000, "https://bad.net/7"), (1001, "https://ok3.net/7")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in judge_urls(labels.select("page_id", "url").unionByName(pages), labels, URL_RULES).collect()}
     assert got[1000] == "block" and got[1001] == "allow"
+
+
+def test_parameters_that_always_come_together(spark):
+    """Thirty tokens with the same baskets are one for the mining; each still fits by itself."""
+    names = [f"{chr(97 + k // 5)}{chr(97 + k % 5)}=x" for k in range(31)]
+    shared = "&".join(names[:30])
+    rows = [(k, f"https://s{k % 5}.net/x/{k}?{shared if k % 3 == 0 else 'q=' + str(k)}", k % 3 == 0) for k in range(90)]
+    labels = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    rules = mine_rules(labels, min_count=10, min_gain=0.5)
+    found = {(tuple(r["items"]), r["verdict"]): (r["support"], r["confidence"]) for r in rules.collect()}
+    assert {items[0] for items, v in found if v == "block"} == {f"query:{name}" for name in names[:30]} and {found[r] for r in found if r[1] == "block"} == {(30, 1.0)}
+    new = spark.createDataFrame([(1000, f"https://other.net/?{names[7]}"), (1001, f"https://other.net/?{names[30]}")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(labels.select("page_id", "url").unionByName(new), labels, URL_RULES, min_count=10, min_gain=0.5).collect()}
+    assert got[1000] == "block" and got[1001] == "allow" and got[0] == "block" and got[1] == "allow"

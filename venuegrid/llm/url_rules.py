@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -65,6 +66,28 @@ def url_items(url: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda x: ~F.endswith(x, F.lit(":"))))
 
 
+def _alike(baskets: DataFrame, least: int) -> DataFrame:
+    """(item, rep): tokens that at least ``least`` baskets have, and the smallest token that
+    stands in the very same ones. Baskets are compared by their number and two sums of
+    hashes of their ids."""
+    own = baskets.select("basket", F.explode("items").alias("item"))
+    bits = [F.sum(F.xxhash64("basket", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"h{k}") for k in (1, 2, 3)]
+    known = own.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *bits).where(F.col("n") >= least)
+    first = known.groupBy("n", "h1", "h2", "h3").agg(F.min("item").alias("rep"))
+    return known.join(first, ["n", "h1", "h2", "h3"]).select("item", "rep")
+
+
+def _unfolded(rules: DataFrame, alike: DataFrame) -> DataFrame:
+    """Every rule with each choice of tokens that stand in the same baskets."""
+    choices = alike.groupBy(F.col("rep").alias("item")).agg(F.collect_list("item").alias("choice"))
+    named = rules.withColumn("id", F.xxhash64("items", "verdict"))
+    lists = named.select("id", F.posexplode("items").alias("at", "item")).join(choices, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "choice")))["choice"].alias("lists"))
+    start = F.array(F.array().cast("array<string>"))
+    each = F.aggregate("lists", start, lambda sets, choice: F.flatten(F.transform(sets, lambda some: F.transform(choice, lambda x: F.concat(some, F.array(x))))))
+    wide = named.join(lists, "id").select(F.explode(each).alias("chosen"), *[c for c in rules.columns if c != "items"])
+    return wide.select(F.array_sort("chosen").alias("items"), *[c for c in rules.columns if c != "items"])
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -84,15 +107,25 @@ def mine_rules(
     one of its parts, a token less, is a rule with the same verdict and no less
     confidence. No labelled row gives no rule.
     """
-    baskets = written(
-        labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select(
-            F.concat(url_items(F.col("url")), F.array(F.when(F.col("blocked"), LABELS[1]).otherwise(LABELS[0]))).alias("items")
-        ),
-        "url-baskets",
-    )
+    return _unfolded(*_mined(labelled, min_support, min_count, min_confidence, min_lift, min_gain))
+
+
+def _mined(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE,
+    min_lift: float = MIN_LIFT, min_gain: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The rules of ``mine_rules`` on one token of all that stand in the same baskets, and
+    (item, rep) of all tokens. Any two such tokens would double the sets that are listed;
+    a set with both has a part of the same confidence, so no rule is lost."""
+    verdict = F.when(F.col("blocked"), LABELS[1]).otherwise(LABELS[0])
+    known = labelled.where("url IS NOT NULL AND blocked IS NOT NULL")
+    baskets = written(known.select(F.monotonically_increasing_id().alias("basket"), url_items(F.col("url")).alias("items"), verdict.alias("label")), "url-baskets")
     n = baskets.count()
     support = min(1.0, max(min_support, min_count / max(n, 1)))
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).freqItemsets
+    alike = written(_alike(baskets, math.ceil(support * n)), "url-alike")
+    reps = baskets.select("basket", "label", F.explode_outer("items").alias("item")).join(alike, "item", "left").groupBy("basket", "label").agg(F.collect_set("rep").alias("reps"))
+    folded = written(reps.select(F.concat("reps", F.array("label")).alias("items")), "url-folded")
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(folded).freqItemsets
     sets = written(found.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     labels = F.array(*map(F.lit, LABELS))
     label = F.array_intersect("items", labels)[0]
@@ -116,23 +149,26 @@ def mine_rules(
         F.col("items").alias("whole"), "verdict", F.col("confidence").alias("own"), F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items")
     )
     better = parts.join(rules, ["items", "verdict"]).where("confidence >= own").select(F.col("whole").alias("items"), "verdict").distinct()
-    return rules.join(better, ["items", "verdict"], "left_anti")
+    return rules.join(better, ["items", "verdict"], "left_anti"), alike
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(urls: DataFrame, rules: DataFrame, alike: DataFrame | None = None) -> DataFrame:
     """For each distinct ``url`` that some rule fits: the verdict of the rule with the
     highest gain, then confidence, support and most tokens (``block`` before ``allow``).
     Among rules of one verdict gain is confidence; by confidence alone any rule of the
     common verdict would outdo a clear one of the rare verdict.
 
     Tokens are looked up in an inverted index of the rules; a rule fits if as many of the
-    URL's tokens point to it as it has.
+    URL's tokens point to it as it has. With ``alike`` the rules are on representatives, for
+    which any of their tokens stands.
     """
     numbered = rules.withColumn("rule_id", F.xxhash64("items", "verdict"))
     index = written(
         numbered.select(F.explode("items").alias("item"), "rule_id", "verdict", "support", "confidence", "gain", F.size("items").alias("n_items")), "url-index"
     )
     items = urls.where("url IS NOT NULL").select("url").distinct().select("url", F.explode(url_items(F.col("url"))).alias("item"))
+    if alike is not None:
+        items = items.join(alike, "item").select("url", F.col("rep").alias("item")).distinct()
     fits = (
         items.join(index, "item")
         .groupBy("url", "rule_id", "verdict", "support", "confidence", "gain", "n_items")
@@ -155,12 +191,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Rules, **mining: floa
     taught = own.where("page_id IS NOT NULL").join(labels.select("page_id", "blocked"), "page_id").select("url", "blocked")
     if "min_lift" not in mining:
         mining = {"min_gain": MIN_GAIN, **mining}
-    mined_rules = mine_rules(taught, **mining)
+    mined_rules, alike = _mined(taught, **mining)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = own.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     based = split.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("fixed"))
-    mined = match_rules(based.where("fixed IS NULL"), mined_rules)
+    mined = match_rules(based.where("fixed IS NULL"), mined_rules, alike)
     return based.join(mined, "url", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("fixed", "mined", F.lit("allow")).alias("verdict"),
         (F.col("fixed").isNull() & F.col("mined").isNotNull()).alias("by_mined_rule"),
