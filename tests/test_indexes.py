@@ -84,6 +84,21 @@ def test_a_deep_page_reads_the_ranges_it_touches(spark, store):
     assert "range" in plan.split("PartitionFilters")[1][:80]
 
 
+def test_short_ranges_do_not_multiply_files(spark, table, tmp_path):
+    """Each partition of an exchange sends a sample to the driver, so short ranges must not make many."""
+    path = str(tmp_path)
+    indexes.write_indexes(table, path, range_rows=10)
+    for folder in (indexes.BY_ID, indexes.GRAMS):
+        assert len(glob.glob(f"{path}/{folder}/*.parquet")) <= indexes.FEW_FILES
+    ranges = spark.read.parquet(f"{path}/{indexes.BY_RATING}").groupBy("range").count().collect()
+    assert max(r["count"] for r in ranges) == 10 and sum(r["count"] for r in ranges) == 3000
+    assert len(glob.glob(f"{path}/{indexes.BY_RATING}/*/*.parquet")) == len(ranges) <= 300 + indexes.FEW_FILES
+    for number in (1, 75, 150, 151):
+        want = paging.page(table, number)
+        assert rows(indexes.page(spark, path, number).select(*want.columns)) == rows(want)
+    assert rows(indexes.search(spark, path, "kopi", 20)) == rows(recommend.search(table, "kopi", limit=20))
+
+
 @pytest.fixture
 def searches(monkeypatch):
     calls = []

@@ -11,7 +11,9 @@
   page counts rows by range, and sorts only the ranges that it touches.
 
 Every exchange is a range partitioning on values that no single key fills: ids, grams with
-ids, ratings with ids.
+ids, ratings with ids. Its partitions are few and large, as Spark draws their bounds from a
+sample of some hundred rows for each, which goes to the driver. A partition of the rating
+order is cut into ranges where it is written.
 """
 
 from __future__ import annotations
@@ -29,29 +31,46 @@ GRAM = 3
 BY_ID, GRAMS, GRAM_COUNTS, BY_RATING = "by_id", "name_grams", "name_gram_counts", "by_rating"
 #: Rows of one range of the rating order.
 RANGE_ROWS = 100_000
+#: A layout has up to so many files of a range each; more rows go to files of so many rows.
+FEW_FILES = 64
+FILE_ROWS = 100_000
+FILE_POSTINGS = 500_000
+#: Ranges that one partition of the rating order can have.
+PARTITION_RANGES = 1 << 31
 #: Rows of a Parquet page, so that a reader can pass over most of a row group.
 PAGE_ROWS = 2_000
 
 
+def _files(rows: int, ranges: int, file_rows: int) -> int:
+    """Files of a layout: one for each range, unless these are many and small."""
+    return max(1, min(ranges, max(FEW_FILES, -(-rows // file_rows))))
+
+
 def write_indexes(df: DataFrame, store: str, range_rows: int = RANGE_ROWS) -> None:
     """Write all layouts of a table of places below ``store``."""
-    n = df.count()
-    parts = max(1, -(-n // range_rows))
+    lower = F.lower("name")
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.length(lower) - (GRAM - 1), F.lit(0))), F.lit(0))).first()
+    ranges = -(-n // range_rows)
+    parts = _files(n, ranges, FILE_ROWS)
     sorted_rows = df.repartitionByRange(parts, ID).sortWithinPartitions(ID)
     sorted_rows.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).option(f"parquet.bloom.filter.enabled#{ID}", "true").parquet(f"{store}/{BY_ID}")
 
-    lower = F.lower("name")
     places = F.sequence(F.lit(1), F.length(lower) - (GRAM - 1))
     grams = F.array_distinct(F.transform(places, lambda at: F.substring(lower, at, GRAM)))
     postings = df.where(F.length(lower) >= GRAM).select(F.explode(grams).alias("gram"), ID, "name", "rating", "distance")
-    ordered = postings.repartitionByRange(8 * parts, "gram", ID).sortWithinPartitions("gram", ID)
+    ordered = postings.repartitionByRange(_files(held, 8 * ranges, FILE_POSTINGS), "gram", ID).sortWithinPartitions("gram", ID)
     ordered.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{store}/{GRAMS}")
     counts = df.sparkSession.read.parquet(f"{store}/{GRAMS}").groupBy("gram").agg(F.count("*").alias("rows"))
     counts.repartitionByRange(1 + parts // 64, "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{store}/{GRAM_COUNTS}")
 
     order = order_for("rating")
-    ranged = df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").partitionBy("range").parquet(f"{store}/{BY_RATING}")
+    # The number of a sorted row is its partition's, and below bit 33 its place there.
+    number = F.monotonically_increasing_id()
+    place = number.bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        "*", (F.shiftright(number, 33) * PARTITION_RANGES + F.floor(place / range_rows)).alias("range")
+    )
+    ranged.sortWithinPartitions("range", *order).write.mode("overwrite").partitionBy("range").parquet(f"{store}/{BY_RATING}")
 
 
 def lookup(spark: SparkSession, store: str, *ids: int) -> DataFrame:
