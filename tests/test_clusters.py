@@ -113,6 +113,30 @@ def test_scores_against_numpy(spark):
     assert -1 <= cluster_scores.squared_silhouette(df, "v", "y") <= 1
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 7])
+def test_every_two_blocks_meet_once(spark, blocks):
+    """Far from the origin, with points that nearly agree."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5)) + 1e4
+    x[::9] = x[0] + rng.normal(size=(10, 5)) * 1e-6
+    y = np.arange(90) % 3
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    inside = np.array([apart[i][y == y[i]].sum() / 29 for i in range(90)])
+    outside = np.array([min(apart[i][y == c].mean() for c in range(3) if c != y[i]) for i in range(90)])
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "v array<double>, y int")
+    got = cluster_scores.euclidean_silhouette(df, "v", ["y"], -(-90 // blocks)).first()["silhouette"]
+    assert got == pytest.approx(np.mean((outside - inside) / np.maximum(inside, outside)), rel=1e-9)
+
+
+def test_distances_come_from_one_product():
+    """Summing up each coordinate by itself takes a pass over the matrix for each."""
+    rng = np.random.default_rng(5)
+    y, x = rng.normal(size=(70, 64)), rng.normal(size=(50, 64))
+    x[:5] = y[:5] + 1e-9
+    want = np.sqrt(((y[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(cluster_scores._distances(y, x), want, rtol=1e-9, atol=0)
+
+
 def test_fit_finds_the_groups(groups, fitted):
     model, assigned = fitted
     sizes = assigned.groupBy("type").agg(F.countDistinct("cluster").alias("k")).collect()
