@@ -246,6 +246,29 @@ def test_neighbours_of_all(spark, k, options):
     assert knn_join.nearest_for_all(df.limit(0), 3).count() == 0
 
 
+def test_cells_out_of_reach_by_angle_are_not_visited():
+    """Cells of 0.1 around pivots on a circle: by the gap alone a third of them could hold a score of 0.99."""
+    turns = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    pivots = np.stack([np.cos(turns), np.sin(turns)], axis=1)
+    radii, floor = np.full(60, 0.1), np.array([0.99, 0.99, -0.5])
+    x = np.array([[1.0, 0.0], [0.0, 0.0], [1.0, 0.0]])
+    reached = knn_join._reached(x, pivots, radii, floor)
+    by_gap = x @ pivots.T + 0.1 >= floor[:, None]
+    # The cosine of the angle that is left between a query and the nearest that a cell can hold.
+    left = np.cos(np.maximum(np.minimum(turns, 2 * np.pi - turns) - 2 * np.arcsin(0.05), 0))
+    assert (reached[0] == (left >= 0.99 - 1e-6)).all() and reached[0].sum() < by_gap[0].sum()
+    assert (reached[2] == by_gap[2]).all()
+
+
+def test_best_breaks_ties_by_the_smaller_id():
+    rng = np.random.default_rng(6)
+    scores, ids = np.round(rng.normal(size=(40, 30)), 1), np.arange(30) * 3
+    for k in (1, 4, 30, 50):
+        best, found = knn_join._best(scores, ids, k)
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        assert (found == ids[order]).all() and (best == np.take_along_axis(scores, order, axis=1)).all()
+
+
 def test_type_codes_follow_sorted_types(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(["b", "a", None, "c", "b", "é", "B"])]
     df = spark.createDataFrame(rows, "place_id long, type string")

@@ -2,9 +2,10 @@
 
 A Voronoi-partitioned kNN join (a published technique), adapted to cosine.
 Directions are assigned to the nearest of a few pivots. For a query q of length
-one and any x in a cell with pivot p and radius r, ``q.x <= q.p + r``, so a cell
-is visited only if that bound reaches the k-th best score q already has from its
-own block. Cells are cut into blocks of limited size, and scores are computed
+one and any x in a cell with pivot p, the angle of q and x is at least that of q and p
+less the cell's radius, the largest angle of a member and p. A cell is visited only if
+the cosine of that reaches the k-th best score q already has from its own block. Where
+there are no angles, as a vector has no length, ``q.x <= q.p + |x - p|`` bounds the score. Cells are cut into blocks of limited size, and scores are computed
 block against block, so nothing depends on how rows are spread over cells.
 
 Places with equal features are merged first. Of each such group only the k + 1
@@ -61,10 +62,35 @@ def _nearest_pivot(pivots: np.ndarray):
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int):
-    """Per row the k best columns by rounded score, the smaller id on ties."""
+    """Per row the k best columns by rounded score, the smaller id on ties. ``ids`` ascend."""
     rounded = np.round(scores, DIGITS)
-    order = np.lexsort((np.broadcast_to(ids, rounded.shape), -rounded), axis=1)[:, :k]
-    return rounded[np.arange(len(scores))[:, None], order], ids[order]
+    if rounded.shape[1] <= k:
+        order = np.argsort(-rounded, axis=1, kind="stable")
+        return np.take_along_axis(rounded, order, axis=1), ids[order]
+    least = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, -k]
+    # All above the k-th best score, and of its ties the first ones.
+    above, tied = rounded > least[:, None], rounded == least[:, None]
+    keep = above | (tied & (tied.cumsum(axis=1, dtype=np.int32) <= (k - above.sum(axis=1))[:, None]))
+    columns = np.nonzero(keep)[1].reshape(len(rounded), k)
+    best = np.take_along_axis(rounded, columns, axis=1)
+    order = np.argsort(-best, axis=1, kind="stable")
+    return np.take_along_axis(best, order, axis=1), ids[np.take_along_axis(columns, order, axis=1)]
+
+
+def _has_direction(x: np.ndarray) -> np.ndarray:
+    return (x**2).sum(axis=1) > 0.5
+
+
+def _reached(x: np.ndarray, pivots: np.ndarray, radii: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Which cells may hold a vector that scores ``floor`` or more with each x. Vectors without
+    length score 0, so above that the angle counts; without length x and pivots have none."""
+    cosines = x @ pivots.T
+    by_gap = cosines + radii[None, :] >= floor[:, None] - SLACK
+    angles = 2.0 * np.arcsin(np.clip(radii / 2.0, 0.0, 1.0))
+    apart = np.arccos(np.clip(cosines, -1.0, 1.0)) - angles[None, :]
+    by_angle = np.cos(np.maximum(apart, 0.0)) >= floor[:, None] - SLACK
+    no_angle = (floor <= SLACK) | ~_has_direction(x)
+    return by_gap & (by_angle | no_angle[:, None] | ~_has_direction(pivots)[None, :])
 
 
 def _own_block(k: int, pivots: np.ndarray, radii: np.ndarray):
@@ -77,7 +103,7 @@ def _own_block(k: int, pivots: np.ndarray, radii: np.ndarray):
                 y, ids = _matrix(row.vectors), np.asarray(row.ids)
                 best, found = _best(x @ y.T, ids, k)
                 floor = best[:, -1] if best.shape[1] == k else np.full(len(x), -2.0)
-                reach = x @ pivots.T + radii[None, :] >= floor[:, None] - SLACK
+                reach = _reached(x, pivots, radii, floor)
                 yield pd.DataFrame(
                     {
                         "block": row.block,
