@@ -3,6 +3,8 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +322,17 @@ def test_partners_rule_out_only_pairs_that_cannot_reach_the_floor(spark):
             qualify.add(pair)
     assert qualify <= got
     assert len(got) <= 1.1 * len(within) < 0.8 * len(list(combinations(tid, 2)))
+
+
+def test_pairs_leave_a_task_in_parts(monkeypatch):
+    """All texts of a list may be pairs, many more than the task's postings."""
+    n = 300
+    texts = [f"abcdefghij {k:03d}" for k in range(n)]
+    table = pd.DataFrame({"token": 1, "first": 0, "second": 0, "role": 0, "tid": np.arange(n), "length": 14, "size": 13, "pos": 0})
+    table["words"] = list(signature_module._bitmaps(texts))
+    monkeypatch.setattr(text_join, "MOST_PAIRS", 3_000)
+    monkeypatch.setattr(text_join, "HELD_PAIRS", 2_000)
+    parts = list(text_join._meetings(text_join.GramBound(0.5), None)(iter([table.iloc[:100], table.iloc[100:]])))
+    assert len(parts) > 10 and max(map(len, parts)) <= 5_000
+    pairs = pd.concat(parts)
+    assert len(pairs) == n * (n - 1) // 2 == len(pairs.drop_duplicates()) and (pairs["tid_1"] < pairs["tid_2"]).all()
