@@ -3,7 +3,7 @@ import pytest
 from conftest import PLACE
 from pyspark.sql import functions as F
 
-from venuegrid.operators import cluster_scores, clustering, features, knn_join, profiles, similar
+from venuegrid.operators import cluster_scores, clustering, features, kmeans, knn_join, profiles, similar
 from venuegrid.plans.requests import Places
 from venuegrid.plans.workflow import run
 from venuegrid.schema import SOURCE_HEADERS, cluster_labels
@@ -137,6 +137,40 @@ def test_distances_come_from_one_product():
     assert np.allclose(cluster_scores._distances(y, x), want, rtol=1e-9, atol=0)
 
 
+def test_whole_cells_add_up_to_the_same_sums():
+    """A pass looks at few points singly, and its sums are those of all points."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(6000, 4)), np.round(rng.normal(size=(3000, 4)))]) + 3.0
+    w = rng.integers(1, 5, 9000).astype(float)
+    order = kmeans._compact_order(x)
+    assert sorted(order) == list(range(9000))
+    x, w = x[order], w[order]
+    centres = np.array([[2.0, 3.0, 3.0, 3.0], [4.0, 3.0, 3.0, 3.0], [3.0, 3.0, 9.0, 3.0]])
+    looked = []
+    with pytest.MonkeyPatch.context() as patch:
+        real = kmeans._squared
+        patch.setattr(kmeans, "_squared", lambda p, c: looked.append(len(p)) or real(p, c))
+        got = kmeans._Cells(x, w).sums(centres)
+    want = kmeans._added(x, w, centres, kmeans._squared(x, centres))
+    assert np.allclose(got, want, rtol=1e-12) and (got[:, 0] == want[:, 0]).all()
+    assert sum(looked) < 0.8 * len(x)
+
+
+def test_large_blocks_give_the_same_centres(spark, monkeypatch):
+    """Steps in cells against numpy; a centre that loses its points goes to the worst served one."""
+    monkeypatch.setattr(kmeans, "PARTITION_POINTS", 6000)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(6000, 2)), [[30.0, 1.0]]])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "point array<double>")
+    centres = start = np.array([[-1.0, 0.0], [1.0, 0.5], [90.0, 90.0]])
+    for _ in range(3):
+        gap = ((x[:, None] - centres[None]) ** 2).sum(2)
+        near = gap.argmin(1)
+        worst = x[gap.min(1).argmax()]
+        centres = np.array([x[near == c].mean(0) if (near == c).any() else worst for c in range(3)])
+    assert kmeans.lloyd(df, start.tolist(), 3) == pytest.approx(centres)
+
+
 def test_fit_finds_the_groups(groups, fitted):
     model, assigned = fitted
     sizes = assigned.groupBy("type").agg(F.countDistinct("cluster").alias("k")).collect()
