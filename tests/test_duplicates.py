@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from venuegrid.functions import signature as signature_module
 from venuegrid.functions.text import match_key
-from venuegrid.operators import duplicates, text_join
+from venuegrid.operators import duplicates, key_blocks, text_join
 from venuegrid.operators.duplicates import Limits
 from venuegrid.operators.components import component_labels
 from venuegrid.operators.survivors import removed_ids
@@ -336,3 +336,31 @@ def test_pairs_leave_a_task_in_parts(monkeypatch):
     assert len(parts) > 10 and max(map(len, parts)) <= 5_000
     pairs = pd.concat(parts)
     assert len(pairs) == n * (n - 1) // 2 == len(pairs.drop_duplicates()) and (pairs["tid_1"] < pairs["tid_2"]).all()
+
+
+@pytest.mark.parametrize("before", [None, 60])
+@pytest.mark.parametrize("threshold", [0.85, 0.95, 0.5])
+def test_blocks_and_lists_find_the_same_directed_pairs(spark, threshold, before, monkeypatch):
+    rng = random.Random(11)
+    rows = variants(rng, 150, ["kopi senja raya", "soto banjar asli", "bakso", "x"])
+    rows += [(1_000 + i, f"kopi senja {i}", "k" * rng.randint(195, 230) + str(i), 3.0) for i in range(8)]
+    keys = duplicates._comparable(duplicates.match_keys(spark.createDataFrame([r[:4] for r in rows], SCHEMA))).localCheckpoint()
+    limits = Limits(before=before)
+    columns = ["id_1", "id_2", "copies_1", "copies_2", "name_similarity", "location_similarity"]
+    found = lambda df: Counter(tuple(r) for r in df.select(*columns).collect())
+    lists = found(duplicates._listed_pairs(keys, threshold, limits))
+    assert lists and found(duplicates.directed_pairs(keys, threshold, limits)) == lists
+    # Many small blocks, and few pairs at a time.
+    for name, size in (("BLOCK_KEYS", 32), ("SOME_PAIRS", 50)):
+        monkeypatch.setattr(key_blocks, name, size)
+    assert found(duplicates.directed_pairs(keys, threshold, limits)) == lists
+
+
+def test_keys_that_are_alike_meet_block_by_block(spark, monkeypatch):
+    """Addresses of one pattern share their q-grams, so lists would form more pairs than there are."""
+    monkeypatch.setattr(duplicates, "FEW_KEYS", 0)
+    monkeypatch.setattr(duplicates, "_listed_pairs", None)
+    rows = [(i, f"title number {i % 7}", f"https://www.example.org/en/{1000 + i}", 3.0) for i in range(60)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.id_1, r.id_2) for r in duplicates.find_duplicates(table).collect()}
+    assert found == set(brute(unique(keyed(table))))

@@ -1,6 +1,8 @@
+import math
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,3 +160,24 @@ def test_similarity_columns(spark, floor):
         assert r.one == (s if s >= floor else None)
         if r.a and r.b:
             assert r.both.forward == r.one
+
+
+def test_texts_score_many_pairs_at_once():
+    rng = random.Random(5)
+    texts = ["", "a", "ab" * 40, "ab" * 110, "ß€x" * 30, "x" * 199]
+    texts += ["".join(rng.choice("abcd .é") for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(len(texts))]
+    left, right = (pd.Series([texts[p[k]] for p in pairs]) for k in (0, 1))
+    for floor in (0.0, 0.4, 0.85):
+        got = ratio._score_batch(left, right, pd.Series([floor] * len(pairs)))
+        for a, b, value in zip(left, right, got.tolist(), strict=True):
+            plain = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+            assert value == plain if plain >= floor else math.isnan(value)
+
+
+def test_a_batch_is_scored_without_a_loop_over_its_pairs(monkeypatch):
+    monkeypatch.setattr(ratio.Scorer, "ratio", None)
+    texts = [f"http://www.example.org/en/{i}" for i in range(200)]
+    left, right = pd.Series(texts * 200), pd.Series([t for t in texts for _ in range(200)])
+    both = ratio._score_both_batch(left, right, pd.Series([0.85] * len(left)))
+    assert (both.forward[left == right] == 1.0).all() and both.backward.notna().any()
