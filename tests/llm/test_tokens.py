@@ -123,3 +123,17 @@ def test_step_groups_are_balanced_over_all_tasks(spark, docs):
 def test_repeated_rows_are_packed_each(spark, docs):
     got = pack_documents(docs([(1, "a b"), (1, "a b")]), PATH, 2).collect()
     assert sum(r["length"] for r in got) == 2 * len(truth("a b"))
+
+
+def test_ascii_words_and_marks_behind_them_need_no_pattern(monkeypatch):
+    """Most words are such: they are told apart as bytes, and a piece is encoded once."""
+    from venuegrid.llm import tokens
+
+    monkeypatch.setattr(tokens, "_SIMPLE", None)
+    monkeypatch.setattr(tokens, "_MARKED", None)
+    encoder = Encoder(PATH)
+    seen, piece = [], encoder._piece
+    monkeypatch.setattr(encoder, "_piece", lambda p: seen.append(p) or piece(p))
+    words = "hello hello, world. world! Hello;"
+    assert np.frombuffer(encoder.encode([words], 2)[0], "<u4").tolist() == truth(words)
+    assert len(seen) == len(set(seen)) == 6

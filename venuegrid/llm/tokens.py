@@ -17,7 +17,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of (Latin-1) letters is one piece for the tokenizer, and so is a run of marks
 #: after it. Other letters may turn into letters and combining marks in lower case.
 _SIMPLE = re.compile(f"[{_LETTERS}]+")
-_MARKED = re.compile(rf"([{_LETTERS}]+)([.,;:!?%*#$&()|<>=+/-]+)")
+_MARKS = ".,;:!?%*#$&()|<>=+/-"
+_MARKED = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]+)")
+_MARK_BYTES = _MARKS.encode()
 
 
 def byte_characters() -> list[str]:
@@ -59,6 +61,15 @@ class Encoder:
         for word in words:
             code = old.get(word)
             if code is None:
+                stem = word.rstrip(_MARK_BYTES)
+                # Without a decoder or a pattern where letters are ASCII.
+                if stem.isalpha():
+                    code = young.get(stem) or old.get(stem) or self._remembered(stem.decode())
+                    if len(stem) < len(word):
+                        marks = word[len(stem) :]
+                        code += young.get(marks) or old.get(marks) or self._remembered(marks.decode())
+                    young[word] = code
+                    continue
                 text = word.decode()
                 if _SIMPLE.fullmatch(text):
                     code = self._piece(text)
