@@ -46,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if "Lowercase" not in str(self.tokenizer.normalizer) or "ByteLevel" not in str(self.tokenizer.pre_tokenizer):
             raise ValueError("needs a lower-casing byte-level tokenizer whose pieces end at spaces")
+        self.model = self.tokenizer.model
         self.memo_words = memo_words
         self.characters = byte_characters()
         self.young: dict[bytes, bytes] = {b"": b""}
@@ -92,8 +93,11 @@ class Encoder:
         and splitter would do to such a run is known."""
         lower = piece.lower()
         mapped = lower if lower.isascii() else "".join(map(self.characters.__getitem__, lower.encode()))
-        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._ids(mapped)
+
+    def _ids(self, mapped: str) -> bytes:
+        found = self.model.tokenize(mapped)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and ``end_id``, as little-endian unsigned 32-bit integers."""
