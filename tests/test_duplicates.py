@@ -364,3 +364,54 @@ def test_keys_that_are_alike_meet_block_by_block(spark, monkeypatch):
     table = spark.createDataFrame(rows, SCHEMA)
     found = {(r.id_1, r.id_2) for r in duplicates.find_duplicates(table).collect()}
     assert found == set(brute(unique(keyed(table))))
+
+
+def test_pairs_without_copies_stand_for_themselves(spark, monkeypatch):
+    """Only pairs with copies are grouped and looked up again."""
+    grouped, counted = [], duplicates._one_way_pairs
+
+    def watched(df, keys, pairs, *more):
+        grouped.append(pairs.count())
+        return counted(df, keys, pairs, *more)
+
+    monkeypatch.setattr(duplicates, "_one_way_pairs", watched)
+    rows = [(i, f"title number {i % 7}", f"https://www.example.org/en/{1000 + i}", 3.0) for i in range(30)]
+    table = spark.createDataFrame([*rows, (100, *rows[4][1:])], SCHEMA)
+    found = duplicates.duplicate_keys(table).collect()
+    assert sum(r["row_pairs"] for r in found) + 1 == len(brute(keyed(table)))
+    with_copies = sum(r["copies_1"] * r["copies_2"] > 1 for r in found)
+    assert len(found) > 2 * with_copies > 0 and grouped == [with_copies]
+
+
+def test_ids_that_repeat_are_grouped_as_before(spark):
+    rows = [(i % 5, f"title number {i % 7}", f"https://www.example.org/en/{1000 + i}", 3.0) for i in range(10)]
+    found = [(r["id_1"], r["id_2"]) for r in duplicates.duplicate_keys(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert found and len(found) == len(set(found))
+
+
+def test_keys_that_are_alike_are_removed_in_waves(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "WAVE_KEYS", 20, raising=False)
+    met, search = [], duplicates.block_pairs
+
+    def watched(keys, count, characters, rule, before):
+        met.append((count, before))
+        return search(keys, count, characters, rule, before)
+
+    monkeypatch.setattr(duplicates, "block_pairs", watched)
+    rng = random.Random(4)
+    table = spark.createDataFrame([(i, f"title number {i % 7}", f"https://www.example.org/en/{1000 + i}", float(rng.randint(1, 5))) for i in range(200)], SCHEMA)
+    rows = unique(keyed(table))
+    kept, _ = duplicates.remove_duplicates(table)
+    gone = greedy(brute(rows), {r[0]: r[3] for r in rows})
+    assert {r["place_id"] for r in kept.collect()} == {r[0] for r in rows} - set(gone)
+    assert [before is None for _, before in met] == [False, False, True] and met[-1][0] < 100
+
+
+def test_a_report_looks_texts_up_without_moving_pairs(spark):
+    table = spark.createDataFrame([(i, f"title number {i % 7}", f"https://www.example.org/en/{1000 + i}", 3.0) for i in range(20)], SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = duplicates.duplicate_report(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") >= 2
