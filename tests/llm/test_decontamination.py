@@ -1,6 +1,10 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from venuegrid.llm import decontamination
 from venuegrid.llm.decontamination import Templates, contaminated, decontaminate
 from document_tables import docs  # noqa: F401
 
@@ -92,3 +96,17 @@ def test_templates():
 def test_empty(docs, items):
     assert contaminated(docs([]), items).count() == 0
     assert contaminated(docs([(1, ITEM)]), items.limit(0)).count() == 0
+
+
+def test_words_of_few_texts_are_held_at_a_time():
+    """A task's memory hangs on the text of a slice, not on that of a batch."""
+    texts = [" ".join(f"word{(7 * i + k) % 5000}" for k in range(250)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts), pa.array(range(2000), pa.int64())], names=["doc_id", "text", "text_hash"])
+    find = decontamination._finder(np.zeros(1 << decontamination.MAP_BITS - 3, np.uint8), [8])
+    tracemalloc.start()
+    try:
+        assert not list(find(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 4_000_000 and peak < 35_000_000

@@ -30,7 +30,8 @@ COVERAGE = 0.5
 CONSISTENCY = 0.8
 #: Bits of the map of window hashes that all tasks know.
 MAP_BITS = 24
-SLICE_BYTES = 8 << 20
+#: Text whose words are held together: each of them takes some thirty times its bytes.
+SLICE_BYTES = 1 << 20
 
 #: Units of measure and of money, and numbers in words.
 UNITS = set(
@@ -218,8 +219,8 @@ def _hash_map(windows: DataFrame) -> np.ndarray:
 _HITS = "doc_id long, text_hash long, window long, size int, doc_at int, doc_slots string"
 
 
-def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """The windows of whole documents that may be windows of items."""
+def _finder(bits: np.ndarray, sizes: list[int]):
+    """The windows of batches of doc_id, text and text_hash that the map knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -244,7 +245,13 @@ def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=_HITS.replace(",", "").split()[::2])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("text").alias("text_hash")).mapInArrow(run, _HITS)
+    return run
+
+
+def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """The windows of whole documents that may be windows of items."""
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("text").alias("text_hash"))
+    return held.mapInArrow(_finder(bits, sizes), _HITS)
 
 
 def _read_window(window: tuple[int, int, int, str, str]) -> tuple[int, int, int, list[tuple[str, str]], list[str]] | None:
