@@ -1,12 +1,13 @@
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from venuegrid.llm import common
-from venuegrid.llm.common import only, row_key, without
+from venuegrid.llm.common import lean, only, row_key, without
 from venuegrid.llm.decontamination import decontaminate
 from venuegrid.llm.jaccard import keep_first
 from venuegrid.llm.quality import keep_good
@@ -119,3 +120,21 @@ def test_empty_tables(spark, docs, tmp_path):
 
 def test_crc_is_unsigned():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) > 0
+
+
+def _resident() -> int:
+    """Bytes of this process that are in memory."""
+    return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+
+def test_a_task_hands_freed_memory_back():
+    def run(batches):
+        held = [np.ones(4_000) for _ in range(8_000)]
+        pins.append(held[::400])
+        del held
+        sizes.append(_resident())
+        yield from batches
+
+    pins, sizes = [], []
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert sizes[0] - _resident() > 100 << 20

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 from typing import Any
 
 import pyarrow as pa
@@ -151,6 +153,39 @@ def per_process(name: str, make: Callable[[], Any]) -> Any:
     return getattr(kept, name)
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system. Python workers outlive
+    their tasks, and what their allocators keep adds to what the next stage takes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over a partition's batches, with the worker's freed memory handed back before
+    it starts and after it ends."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def lean_group(run: Callable):
+    """``run`` over the rows of a group, with the worker's freed memory handed back after it."""
+
+    def task(key, rows):
+        out = run(key, rows)
+        give_back()
+        return out
+
+    return task
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of text, one row at least."""
     for batch in batches:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, slices, without, written
+from .common import lean, row_key, slices, without, written
 
 #: Tokens of a template window; items that are shorter are one window each, but items
 #: below LEAST tokens are no evidence and are not searched.
@@ -188,7 +188,7 @@ def _item_windows(items: DataFrame) -> DataFrame:
                 kinds_ = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names=_ITEM_WINDOWS.replace(",", "").split()[::2])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, _ITEM_WINDOWS)
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(lean(run), _ITEM_WINDOWS)
 
 
 def _slots(words: list[str], kinds: np.ndarray, at: int, size: int, first: int | None = None, literals: bool = False) -> str:
@@ -251,7 +251,7 @@ def _finder(bits: np.ndarray, sizes: list[int]):
 def _hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     """The windows of whole documents that may be windows of items."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("text").alias("text_hash"))
-    return held.mapInArrow(_finder(bits, sizes), _HITS)
+    return held.mapInArrow(lean(_finder(bits, sizes)), _HITS)
 
 
 def _read_window(window: tuple[int, int, int, str, str]) -> tuple[int, int, int, list[tuple[str, str]], list[str]] | None:
@@ -338,7 +338,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
             names = [f.split()[0] for f in _FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
 
-    return met.mapInArrow(run, _FOUND).where(F.col("coverage") >= coverage)
+    return met.mapInArrow(lean(run), _FOUND).where(F.col("coverage") >= coverage)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:

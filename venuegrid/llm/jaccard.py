@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, row_key, slices, without
+from .common import Scratch, give_back, lean, lean_group, only, row_key, slices, without
 from .components import components
 
 WORDS = 5
@@ -109,7 +109,7 @@ def _keys(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "key", "n", "shingle", "texts", "text_hash"],
             )
 
-    return _texts(docs).mapInArrow(run, _KEYS)
+    return _texts(docs).mapInArrow(lean(run), _KEYS)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -216,8 +216,8 @@ def _shared_shingles(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, b
             out.append(_posting_row(p, shingles[a:b], owners, keys, counts[a:b]))
         return pd.DataFrame(out, columns=["part", "shingles", "owners", "texts", "counts"])
 
-    postings = _texts(docs).drop("text_hash").mapInArrow(cut, _POSTINGS)
-    return _dealt(postings, "bucket", 2 * buckets).groupBy("bucket").applyInPandas(keep_shared, _HELD)
+    postings = _texts(docs).drop("text_hash").mapInArrow(lean(cut), _POSTINGS)
+    return _dealt(postings, "bucket", 2 * buckets).groupBy("bucket").applyInPandas(lean_group(keep_shared), _HELD)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[list, list, list]:
@@ -272,6 +272,8 @@ def _candidates(held: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
                     matches, length = prefix_plan(n, counts[a:b])
                     some = shingles[a:b].astype(np.int64)
                     out.append((text, n, matches, some[:length].tolist(), some.tobytes()))
+            del rows, shingles, texts, counts, order, new
+            give_back()
         return pd.DataFrame(out, columns=["key", "n", "matches", "prefix", "shingles"])
 
     both = (_dealt(side, "part", 2 * parts).groupBy("part") for side in (held, sizes))
@@ -297,7 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(lean(run), "a long, b long")
 
 
 def local_links(keys: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray | None = None, every: bool = False) -> list[tuple[int, ...]]:
@@ -494,7 +496,7 @@ def near_duplicates(docs: DataFrame, unit: int = UNIT_SHINGLES, hot_share: float
         got = local_links(rows["key"].to_numpy(), rows["n"].to_numpy(), rows["matches"].to_numpy(), prefixes, values, codes, sides if sides.any() else None)
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    local = _dealt(dealt, "unit", 4 * size // unit).groupBy("unit").applyInPandas(join_unit, "a long, b long")
+    local = _dealt(dealt, "unit", 4 * size // unit).groupBy("unit").applyInPandas(lean_group(join_unit), "a long, b long")
     every = scratch.written(local if links is None else local.unionByName(links), "join-links")
     scratch.keep_only(keyed, texts, every)
     joined = components(every, "join-component", scratch).withColumnsRenamed({"node": "key", "component": "class"})
@@ -538,7 +540,7 @@ def _linked_texts(docs: DataFrame, unit: int, hot_share: float, hot_texts: int)
         )
         return pd.DataFrame(got, columns=["a", "b", "shared"], dtype="int64")
 
-    links = scratch.written(_dealt(dealt, "unit", 4 * size // unit).groupBy("unit").applyInPandas(join_unit, "a long, b long, shared long"), "join-pairs")
+    links = scratch.written(_dealt(dealt, "unit", 4 * size // unit).groupBy("unit").applyInPandas(lean_group(join_unit), "a long, b long, shared long"), "join-pairs")
     copies = rows.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     known = scratch.written(texts.join(copies, "key"), "join-copies")
     scratch.keep_only(keyed, links, known)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, lean, slices
 from .tokens import Encoder
 
 WINDOW = 4096
@@ -191,5 +191,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, tiers: tup
         packer.pack(last=True)
         yield from emit()
 
-    pieces = scratch.written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES), "pieces")
+    pieces = scratch.written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PIECES), "pieces")
     return pieces.join(_step_groups(pieces, step_tokens), "sequence_id").select(*[f.name for f in _SCHEMA if f.name != "size"], "step_group")

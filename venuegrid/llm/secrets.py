@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 #: (kind, start, end), in code points, end exclusive.
 Span = tuple[str, int, int]
@@ -372,5 +372,5 @@ def scan_secrets(docs: DataFrame, redact: bool = False, threshold: float = THRES
             yield batch
 
     if redact:
-        return docs.mapInArrow(clean, docs.schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counts, "doc_id long, " + _FIELDS)
+        return docs.mapInArrow(lean(clean), docs.schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(counts), "doc_id long, " + _FIELDS)
