@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import PLACE
 from pyspark.sql import functions as F
@@ -156,6 +157,22 @@ def test_whole_cells_add_up_to_the_same_sums():
     assert sum(looked) < 0.8 * len(x)
 
 
+def test_few_points_are_looked_at_one_by_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    size = rng.integers(1, 51, 60_007)
+    x = np.column_stack([rng.uniform(-2, 2, len(size)), 1 + size % 5, size / 10, rng.integers(0, 6, len(size))])
+    part = pd.DataFrame(x).assign(weight=rng.integers(1, 4, len(x)).astype(float), hash=np.arange(len(x)))
+    ((x, w, hashes, table),) = kmeans._blocks(kmeans._pack(iter([part])))
+    assert w.sum() == part["weight"].sum() and set(hashes) == set(part["hash"])
+    cells, looked, points = kmeans._Cells(x, w, table), [], kmeans._Cells._points
+    monkeypatch.setattr(kmeans._Cells, "_points", lambda own, some, *rest: looked.append(len(some)) or points(own, some, *rest))
+    for _ in range(10):
+        centres = rng.normal(size=(3, 4)) + x.mean(axis=0)
+        want = kmeans._added(x, w, centres, kmeans._squared(x, centres))
+        np.testing.assert_allclose(cells.sums(centres), want, rtol=1e-9, atol=1e-6)
+    assert sum(looked) * kmeans.CELL_POINTS < 0.3 * 10 * len(x)
+
+
 def test_large_blocks_give_the_same_centres(spark, monkeypatch):
     """Steps in cells against numpy; a centre that loses its points goes to the worst served one."""
     monkeypatch.setattr(kmeans, "PARTITION_POINTS", 6000)
