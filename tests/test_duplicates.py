@@ -415,3 +415,39 @@ def test_a_report_looks_texts_up_without_moving_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("BroadcastHashJoin") >= 2
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.6])
+def test_similar_texts_meet_block_by_block(spark, threshold, monkeypatch):
+    """Without candidates of index lists; two texts of one id are no pair, and no id is none."""
+    rng = random.Random(31)
+    texts = sorted({f"http//www{rng.choice(['abba', 'baab', 'cab'])}example{rng.choice(['com', 'org'])}/en/{rng.randrange(200)}" for _ in range(150)} | {"x", "ab" * 30})
+    rng.shuffle(texts)
+    rows = [(i % 100 * 3, t) for i, t in enumerate(texts)] + [(None, texts[0] + "/1")]
+    df = spark.createDataFrame(rows, "tid long, text string").repartition(4)
+    want = {}
+    for a, b in combinations(sorted(r for r in rows if r[0] is not None), 2):
+        both = tuple(s if s >= threshold else None for s in (sim(a[1], b[1]), sim(b[1], a[1])))
+        if a[0] < b[0] and any(both):
+            want.setdefault((a[0], b[0]), []).append(both)
+    lists = text_join.candidate_texts
+    monkeypatch.setattr(text_join, "candidate_texts", None)
+    for size in (4_096, 20):
+        monkeypatch.setattr(key_blocks, "BLOCK_KEYS", size)
+        got = {}
+        for r in text_join.similar_texts(df, threshold).collect():
+            got.setdefault((r["tid_1"], r["tid_2"]), []).append((r["forward"], r["backward"]))
+        order = lambda found: sorted(found, key=str)
+        assert {p: order(f) for p, f in got.items()} == {p: order(f) for p, f in want.items()}
+    monkeypatch.setattr(text_join, "candidate_texts", lists)
+    monkeypatch.setattr(text_join, "FEW_LONG", -1)
+    by_lists = text_join.similar_texts(df, threshold).collect()
+    assert Counter((r[0], r[1]) for r in by_lists) == Counter({p: len(f) for p, f in want.items()})
+
+
+def test_many_texts_that_are_alike_meet_block_by_block_too(spark, monkeypatch):
+    alike = spark.createDataFrame([(i, f"http//www.example.org/en/{i}") for i in range(300)], "tid long, text string")
+    rng = random.Random(5)
+    unlike = spark.createDataFrame([(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))) for i in range(300)], "tid long, text string")
+    monkeypatch.setattr(text_join, "FEW_TEXTS", 10)
+    assert text_join._blocks_suit(alike, 300, 0, 0.85) and not text_join._blocks_suit(unlike, 300, 0, 0.85)

@@ -2,6 +2,7 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -181,3 +182,20 @@ def test_a_batch_is_scored_without_a_loop_over_its_pairs(monkeypatch):
     left, right = pd.Series(texts * 200), pd.Series([t for t in texts for _ in range(200)])
     both = ratio._score_both_batch(left, right, pd.Series([0.85] * len(left)))
     assert (both.forward[left == right] == 1.0).all() and both.backward.notna().any()
+
+
+def test_both_orders_are_scored_at_once():
+    """They are followed together as long as only one longest block can be chosen."""
+    rng = random.Random(8)
+    texts = ["", "a", "abab", "baba", "ab" * 40, "x" * 199, "ab" * 110]
+    texts += ["".join(rng.choice("ab /1é") for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    texts += [f"http//www{rng.choice(['abba', 'baab', 'cab'])}.examplecom/en/{rng.randrange(300)}" for _ in range(30)]
+    scored = ratio.Texts(texts)
+    a, b = (x.ravel() for x in np.divmod(np.arange(len(texts) ** 2), len(texts)))
+    plain = np.array([SequenceMatcher(None, texts[i], texts[j]).ratio() if texts[i] and texts[j] else 0.0 for i, j in zip(a, b, strict=True)])
+    back = plain.reshape(len(texts), -1).T.ravel()
+    assert (plain != back).any()
+    for floor in (0.0, 0.4, 0.85):
+        straight, swapped = scored.ratios_both_ways(a, b, np.full(len(a), floor))
+        for got, want in ((straight, plain), (swapped, back)):
+            assert np.array_equal(got, np.where(want >= floor, want, np.nan), equal_nan=True)
